@@ -262,7 +262,7 @@ def cross_pairs(blocks: DataFrame, labels: DataFrame, sets: DataFrame, chunk: in
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: the connected components of the Jaccard links.
 
-    Words are [^\x20\\x09-\\x0D]+ of the text lower-cased in A-Z only. A set is a text's distinct 5-word shingles (all
+    Words are runs of bytes other than white space (0x20, 0x09 to 0x0D) of the text lower-cased in A-Z only. A set is a text's distinct 5-word shingles (all
     its words if it has fewer); a null, empty or blank text has none and links with nothing. Rows with equal sets
     link, whatever their ids. component_id is the least id in the component; a null id counts only where no row of
     the component has another. Tokens and sets are told apart by 64-bit hashes. Other columns are not read.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import exact, jaccard, lines, packing, telephony, warc
+from concordat.llm import exact, jaccard, langid, lines, packing, telephony, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(table(spark, sf_dir, "documents"), packing.vocabulary("word_bpe_49k.json"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs.select("doc_id", langid.held_out("doc_id").alias("held_out"), "text"), langid.fit(docs)).drop("text")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_digest(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.write_bundles(table(spark, sf_dir, "pages"))).drop("body")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_repeated_passages, op3_packing, op5_media, op8_exact_dedup, op9_ngram_jaccard_join, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_repeated_passages, op3_packing, op4_language_id, op5_media, op8_exact_dedup, op9_ngram_jaccard_join, op10_warc)}
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

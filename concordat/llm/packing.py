@@ -32,6 +32,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def split_pattern() -> str:
+    """The public pattern that splits text before the merges of the rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def _encoder(path: str) -> tuple:
     """The tokenizer of a file and the ids of words that this worker has met."""
     if path not in _tokenizers:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import exact, jaccard, langid, lines, packing, telephony, warc
+from concordat.llm import bpe, exact, jaccard, langid, lines, packing, telephony, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), packing.vocabulary("byte_bpe_multi_50k.tiktoken"), packing.split_pattern(), digests=True)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), packing.vocabulary("byte_bpe_50k.tiktoken"), packing.split_pattern())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
@@ -44,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.write_bundles(table(spark, sf_dir, "pages"))).drop("body")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_repeated_passages, op3_packing, op4_language_id, op5_media, op8_exact_dedup, op9_ngram_jaccard_join, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_repeated_passages, op3_packing, op4_language_id, op5_media, op6_byte_bpe, op7_token_counts, op8_exact_dedup, op9_ngram_jaccard_join, op10_warc)}
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

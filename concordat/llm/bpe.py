@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordat.llm.memory import Memory
 from concordat.llm.stage import small_batches
 from concordat.llm.text import buffers
 
 #: Matches of more bytes are contracted with a heap: a step of the query contracts one pair of a word.
 LONGEST = 256
-#: Units and matches that a worker remembers, and matches that go into one query.
-MEMORY, QUERY_WORDS = 250_000, 20_000
+#: Units and matches that a worker remembers, twice over, and matches that go into one query.
+UNITS, MATCHES, QUERY_WORDS = 150_000, 400_000, 40_000
 
-SQL = """
+ENCODE = """
+CREATE OR REPLACE TEMP TABLE tokens AS
 WITH RECURSIVE t(step, w, pos, id, np, nid, key) AS (
     SELECT 0, w, pos, id, np, nid, c * 65536 + pos
     FROM start LEFT JOIN merges ON ab = id::BIGINT * 65536 + nid
@@ -44,10 +46,9 @@ WITH RECURSIVE t(step, w, pos, id, np, nid, key) AS (
                        JOIN t b ON b.w = m.w AND b.pos = a.np) x ON x.w = t.w
           WHERE t.pos <> q) n
     LEFT JOIN merges ON changed AND ab = id::BIGINT * 65536 + nid)
-SELECT w, list(id ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS decoded
-FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) JOIN vocabulary USING (id)
-GROUP BY w
+SELECT w, pos, id FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)
 """
+DECODE = "SELECT w, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY w ORDER BY w"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -79,8 +80,8 @@ class Codec:
             self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self._db.unregister("given")
         self._bytes = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self._known: dict[bytes, tuple[bytes, bytes]] = {}
-        self._units: dict[str, tuple[bytes, bytes]] = {}
+        self._known, self._units = Memory(MATCHES), Memory(UNITS)
+        self._odd: dict[bytes, bytes] = {}
 
     def _positions(self, words: list[bytes]) -> pa.Table:
         n = np.array([len(x) for x in words])
@@ -94,12 +95,21 @@ class Codec:
 
     def _query(self, words: list[bytes]) -> None:
         self._db.register("start", self._positions(words))
-        for w, ids, decoded in self._db.execute(SQL).fetchall():
-            found = bytes.fromhex(decoded)
-            self._known[words[w]] = (np.array(ids, "<u4").tobytes(), words[w] if found == words[w] else found)
+        self._db.execute(ENCODE)
         self._db.unregister("start")
-
-    def _heap(self, word: bytes) -> tuple[bytes, bytes]:
+        found = self._db.execute("SELECT w, id FROM tokens ORDER BY w, pos").fetchnumpy()
+        data = found["id"].astype("<u4").tobytes()
+        cuts = (4 * np.searchsorted(found["w"], np.arange(len(words) + 1))).tolist()
+        self._known.now.update(zip(words, (data[a:b] for a, b in zip(cuts, cuts[1:]))))
+        for word, (_, decoded) in zip(words, self._db.execute(DECODE).fetchall()):
+            self._decoded(word, bytes.fromhex(decoded))
+
+    def _decoded(self, word: bytes, decoded: bytes) -> None:
+        """Note what the ids of a match decode to, if it is not the match."""
+        if decoded != word:
+            self._odd[word] = decoded
+
+    def _heap(self, word: bytes) -> bytes:
         """The same contraction for a long match, in time n log n: the pairs lie in a heap by rank and position."""
         parts, n = [word[i : i + 1] for i in range(len(word))], len(word)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -120,7 +130,8 @@ class Codec:
                 if k >= 0 and (r := rank(k)) is not None:
                     heapq.heappush(heap, (r, k, len(parts[k]) + len(parts[after[k]])))
         kept = [p for p, a in zip(parts, alive) if a]
-        return np.array([self.ranks[p] for p in kept], "<u4").tobytes(), b"".join(kept)
+        self._decoded(word, b"".join(kept))
+        return np.array([self.ranks[p] for p in kept], "<u4").tobytes()
 
     def _cut(self, text: str) -> list[str]:
         if self._touching(text):
@@ -129,33 +140,26 @@ class Codec:
         return [first, *[" " + x for x in rest]]
 
     def encode_decode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each text its ids, as little-endian 32-bit integers, and the bytes that the ids decode to."""
-        if len(self._units) > MEMORY:
-            self._units.clear()
-        if len(self._known) > MEMORY:
-            self._known.clear()
+        """For each text its ids, as little-endian 32-bit integers, and the bytes that the ids decode to.
+
+        Every match's ids have been decoded on their own. If all give the match, their succession gives the text.
+        """
         cuts = [self._cut(t) for t in texts]
-        fresh = {u for units in cuts for u in units if u not in self._units}
-        split = {u: [m.encode() for m in self._matches(u)] for u in fresh}
+        split = {u: [m.encode() for m in self._matches(u)] for u in self._units.missing(set().union(*cuts))}
         todo = []
-        for m in {m for ms in split.values() for m in ms if m not in self._known}:
+        for m in self._known.missing(set().union(*split.values())):
             if m in self.ranks:
-                self._known[m] = (np.array([self.ranks[m]], "<u4").tobytes(), m)
+                self._known.now[m] = np.array([self.ranks[m]], "<u4").tobytes()
             elif len(m) > LONGEST:
-                self._known[m] = self._heap(m)
+                self._known.now[m] = self._heap(m)
             else:
                 todo.append(m)
         for at in range(0, len(todo), QUERY_WORDS):
             self._query(todo[at : at + QUERY_WORDS])
-        for u, ms in split.items():
-            both = [self._known[m] for m in ms]
-            self._units[u] = both[0] if len(both) == 1 else (b"".join(x for x, _ in both), b"".join(y for _, y in both))
-        get = self._units.__getitem__
-        out = []
-        for units in cuts:
-            both = list(map(get, units))
-            out.append((b"".join([x for x, _ in both]), b"".join([y for _, y in both])))
-        return out
+        known, get = self._known.now, self._units.now.__getitem__
+        self._units.now.update((u, b"".join([known[m] for m in ms])) for u, ms in split.items())
+        decode = (lambda t: t.encode()) if not self._odd else lambda t: b"".join(self._odd.get(m, m) for m in (x.encode() for x in self._matches(t)))
+        return [(b"".join(map(get, units)), decode(t)) for t, units in zip(texts, cuts)]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -167,13 +171,13 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, texts_at_once: int = 1 << 20) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, texts_at_once: int = 1 << 22) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and decoded (binary) of every text; with digests SHA-256 values instead.
 
     Each match of the pattern is encoded on its own, without special tokens. A null or empty text has no ids. Rows are
     handled one by one; other columns are not read. A batch is encoded in parts of about texts_at_once bytes.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1024)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

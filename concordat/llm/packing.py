@@ -15,13 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordat.llm.memory import Memory
 from concordat.llm.stage import small_batches
-from concordat.llm.text import buffers
+from concordat.llm.text import LOWER_BYTES, buffers
 
 MAX_LENGTH = 4096
 END_ID = 2
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+#: Words, and words without punctuation at their end, whose ids a Python worker remembers, twice over.
+WORDS, CORES = 150_000, 250_000
+#: Punctuation that is cut from a word's end; a run of it is a token run of its own after a letter or digit.
+TAIL = b".,!?;:$%&*#|"
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -46,29 +49,47 @@ def _encoder(path: str) -> tuple:
 
         found = Tokenizer.from_file(path)
         found.encode_special_tokens = True
-        _tokenizers[path] = (found, {})
+        _tokenizers[path] = (found, Memory(WORDS), Memory(CORES))
     return _tokenizers[path]
 
 
+def _core(word: bytes) -> bytes:
+    """word without the punctuation at its end, if a letter or digit stands before that."""
+    core = word.rstrip(TAIL)
+    if not core or len(core) == len(word) or (core[-1] < 128 and not core[-1:].isalnum()):
+        return word
+    return core if core[-1] < 128 or core.decode()[-1].isalpha() else word
+
+
+def _encode_words(tokenizer, words: list[bytes]) -> list[bytes]:
+    """Ids of words, encoded as one text with blanks between; a token is its word's by the place where it begins."""
+    joined = b" ".join(words).decode()
+    starts = np.cumsum([0, *(len(w.decode()) + 1 for w in words[:-1])])
+    found = tokenizer.encode(joined, add_special_tokens=False)
+    ids, places = np.array(found.ids, dtype="<u4"), np.array([a for a, _ in found.offsets], dtype=np.int64)
+    cuts = np.searchsorted(places, np.append(starts, len(joined) + 1), side="left") * 4
+    data = ids.tobytes()
+    return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     """The ids of UTF-8 texts by the tokenizers library, without special tokens, as little-endian 32-bit integers.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its words one
-    after another. Words, cut at ASCII white space, are encoded once and remembered; the memory is emptied when full.
+    The tokenizer lower-cases, drops white space and never joins what it separates, so a text's ids are those of its
+    words one after another. Words, cut at ASCII white space, are encoded once and remembered. A-Z is lower-cased
+    before, where no combining mark can change what that does.
     """
-    tokenizer, known = _encoder(path)
-    split = [t.split() for t in texts]
-    fresh = {w for words in split for w in words if w not in known}
-    if fresh:
-        if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-            fresh = {w for words in split for w in words}
-        fresh = list(fresh)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-    get = known.__getitem__
+    tokenizer, known, cores = _encoder(path)
+    split = [(t if b"\xcc" in t or b"\xcd" in t else t.translate(LOWER_BYTES)).split() for t in texts]
+    fresh = {w: _core(w) for w in known.missing(set().union(*split))}
+    tails = {w: w[len(c) :] for w, c in fresh.items()}
+    todo = list(cores.missing({*fresh.values(), *filter(None, tails.values())}))
+    for at in range(0, len(todo), 4096):
+        part = todo[at : at + 4096]
+        cores.now.update(zip(part, _encode_words(tokenizer, part)))
+    for w, c in fresh.items():
+        known.now[w] = cores.now[c] + cores.now[tails[w]] if tails[w] else cores.now[c]
+    get = known.now.__getitem__
     return [b"".join(map(get, words)) for words in split]
 
 

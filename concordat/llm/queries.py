@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import bpe, exact, jaccard, langid, lines, packing, telephony, token_counts, warc
+from concordat.llm import bpe, exact, jaccard, langid, lines, lm, packing, telephony, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_passages(table(spark, sf_dir, "documents")).drop("row")
 
@@ -52,7 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.write_bundles(table(spark, sf_dir, "pages"))).drop("body")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_repeated_passages, op3_packing, op4_language_id, op5_media, op6_byte_bpe, op7_token_counts, op8_exact_dedup, op9_ngram_jaccard_join, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_repeated_passages, op3_packing, op4_language_id, op5_media, op6_byte_bpe, op7_token_counts, op8_exact_dedup, op9_ngram_jaccard_join, op10_warc)}
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -7,8 +7,9 @@ verified on the sets. A tree over the whole corpus cannot prune in so many dimen
 whose tokens stand in one global order shares one of its first |A| - ceil(0.75 |A|) + 1 tokens with each set that it
 links to. The order puts tokens of frequent hash buckets last, so blocks stay small; it needs a table of fixed size.
 
-Only connection is asked for. In each block all sets are verified against the block's least one; what that joins is
-contracted, and only blocks that still hold several components go through the tree, for pairs across components.
+Only connection is asked for. In each block all sets are verified against the block's least one and what that joins is
+contracted; another turn verifies what lies outside a block's largest component against other members of it. Only
+blocks that still hold several components go through the tree, for all pairs across components.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ WORDS = 5
 PERCENT = 75
 #: Hash buckets of the order of tokens, and groups of a point.
 BUCKETS = 1 << 16
-GROUPS = 64
+GROUPS = 256
 #: Rows of one token that one task takes before the token is dealt to several.
 HOT_ROWS = 4096
 MAX_BITS = 1 << 27
 LEAF = 32
+#: Turns of stars around other pivots before the tree takes what is left.
+TURNS = 1
 
 
 def token_sets(column: pa.Array, k: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -51,24 +54,26 @@ def token_sets(column: pa.Array, k: int = WORDS) -> Iterator[tuple[int, np.ndarr
 
 
 def describe_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document (doc_id, n_shingles, set) and one for each task, with counts: how many tokens fell into
-    each hash bucket. Written once; everything later that needs no tokens reads it."""
+    """A row for each document (doc_id, n_shingles, set, point) and one for each task, with counts: how many tokens fell
+    into each hash bucket. Written once; everything later that needs no tokens reads it."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "set", "counts"]
+        names = ["doc_id", "n_shingles", "set", "point", "counts"]
         total, ids = np.zeros(BUCKETS, np.int64), None
         for batch in batches:
             ids = batch.column(0)
-            sizes, sets = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.uint64)
+            sizes, sets, points = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.uint64), []
             for a, flat, offsets, value in token_sets(batch.column(1)):
                 sizes[a : a + len(value)], sets[a : a + len(value)] = np.diff(offsets), value
                 total += np.bincount((flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sets.view(np.int64)), pa.nulls(len(ids), pa.binary())], names)
+                group = (flat >> np.uint64(40) & np.uint64(GROUPS - 1)).astype(np.int64)
+                points += [packed_point(np.bincount(group[x:y], minlength=GROUPS)) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sets.view(np.int64)), pa.array(points, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         if ids is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
-    return materialise(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, f"doc_id {kind}, n_shingles long, set long, counts binary"), "sets")
+    return materialise(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, f"doc_id {kind}, n_shingles long, set long, point binary, counts binary"), "sets")
 
 
 def bucket_counts(described: DataFrame) -> np.ndarray:
@@ -130,37 +135,100 @@ def shared_tokens(emitted: DataFrame) -> DataFrame:
     return materialise(found.filter("pivot <> _last or salts > 1").drop("_last"), "blocks")
 
 
-def set_table(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """set, n, tokens and point for the sets of wanted (and a few that its Bloom filter lets through), one row each."""
-    distinct = materialise(wanted.select("set").distinct(), "wanted")
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(distinct, "set", filter_bits(distinct.count(), MAX_BITS)))
+def packed_point(counts: np.ndarray) -> bytes:
+    """Group counts as bytes, in 32 bits each if one of them needs it."""
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def unpacked_points(column: pa.Array) -> np.ndarray:
+    """A row of group counts for each packed point."""
+    values = column.to_pylist()
+    narrow = [len(x) == GROUPS for x in values]
+    if all(narrow):
+        return np.frombuffer(b"".join(values), "u1").reshape(-1, GROUPS).astype(np.int16)
+    return np.stack([np.frombuffer(x, "u1" if k else "<u4").astype(np.int64) for x, k in zip(values, narrow)])
+
+
+def _among(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of sets that occur in pairs (and a few more), picked by a Bloom filter before any shuffle."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set"))
+    shared = sets.sparkSession.sparkContext.broadcast(bit_filter(ends, "set", filter_bits(2 * pairs.count(), MAX_BITS)))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hits(shared.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return sets.mapInArrow(pick, sets.schema)
+
+
+def bounded(pairs: DataFrame, least: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The distinct pairs (a, b) that the bound on the overlap cannot exclude; only sizes and points are read."""
+    pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
+    sets = _among(least.select("set", "n", "point"), pairs)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+                common = np.minimum(unpacked_points(batch.column(4)), unpacked_points(batch.column(5))).sum(axis=1, dtype=np.int64)
+                ok = ((100 + percent) * common >= percent * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
+
+    one = sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
+    two = sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
+    met = pairs.join(one, "a").join(two, "b")
+    return materialise(met.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(keep, "a long, b long"), "bounded")
+
+
+def _both(sets: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return mix(sets.astype(np.int64).view(np.uint64) + mix(keys.astype(np.int64).view(np.uint64)))
+
+
+def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, least: DataFrame) -> DataFrame:
+    """set and tokens for the sets of wanted, each from the document with its least id.
+
+    Those documents are found by a Bloom filter over (set, id), so a few rows too many come along, some of them copies
+    of others; what reads the table takes pairs as a set.
+    """
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_both(sets, keys).view(np.int64))], ["name"])
+
+    chosen = wanted.distinct().join(least.select("set", "doc"), "set").select("set", F.xxhash64("doc").alias("key"))
+    chosen = materialise(chosen.mapInArrow(name, "name long"), "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(chosen, "name", filter_bits(chosen.count(), MAX_BITS)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, flat, offsets, names in token_sets(batch.column(0)):
-                new = np.zeros(len(names), dtype=bool)
-                new[np.unique(names, return_index=True)[1]] = True
-                rows = np.flatnonzero(new & hits(shared.value, names) & (names != 0))
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, flat, offsets, names in token_sets(batch.column(0)):
+                rows = np.flatnonzero(hits(shared.value, _both(names.view(np.int64), keys[a : a + len(names)])) & (names != 0))
                 if not len(rows):
                     continue
                 parts = [flat[x:y] for x, y in zip(offsets[rows].tolist(), offsets[rows + 1].tolist())]
                 cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                points = [np.bincount((p >> np.uint64(40) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes() for p in parts]
                 tokens = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(parts).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(names[rows].view(np.int64)), pa.array(np.diff(cuts)), tokens, pa.array(points, pa.binary())], ["set", "n", "tokens", "point"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[rows].view(np.int64)), tokens], ["set", "tokens"])
 
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(scan, "set long, n int, tokens array<long>, point binary")
-    return materialise(found.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "point"))), "tokens")
+    found = docs.select(F.col(text_col).cast("string"), F.xxhash64(id_col).alias("key")).mapInArrow(scan, "set long, tokens array<long>")
+    return materialise(found, "tokens")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link, by the size of the intersection of their sets."""
-    one = sets.select(F.col("set").alias("a"), F.col("tokens").alias("tokens_a"))
-    two = sets.select(F.col("set").alias("b"), F.col("tokens").alias("tokens_b"))
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The distinct pairs (a, b) that link, by the size of the intersection of their sets.
+
+    Only the tokens of sets that occur in pairs are taken from the documents again and shuffled.
+    """
+    pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
+    some = set_table(docs, id_col, text_col, pairs.select(F.explode(F.array("a", "b")).alias("set")), least)
+    one = some.select(F.col("set").alias("a"), F.col("tokens").alias("tokens_a"))
+    two = some.select(F.col("set").alias("b"), F.col("tokens").alias("tokens_b"))
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    met = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").withColumn("both", both)
+    met = pairs.join(one, "a").join(two, "b").withColumn("both", both)
     links = met.filter(100 * F.col("both") >= percent * (F.size("tokens_a") + F.size("tokens_b") - F.col("both")))
-    return materialise(links.select("a", "b"), "links")
+    return materialise(links.select("a", "b").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -196,7 +264,7 @@ def rtree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, minor:
         if (comps[rows] == comps[rows[0]]).all():
             live &= comps[asked] != comps[rows[0]]
         asked = asked[live]
-        asked = asked[(100 + percent) * np.minimum(points[asked], top).sum(axis=1) >= low(sizes[asked], least)]
+        asked = asked[(100 + percent) * np.minimum(points[asked], top).sum(axis=1, dtype=np.int64) >= low(sizes[asked], least)]
         if not len(asked):
             return
         if len(rows) > LEAF:
@@ -207,7 +275,7 @@ def rtree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, minor:
             visit(order[len(order) // 2 :], asked)
             return
         for y in rows.tolist():
-            common = np.minimum(points[asked], points[y]).sum(axis=1)
+            common = np.minimum(points[asked], points[y]).sum(axis=1, dtype=np.int64)
             ok = (comps[asked] != comps[y]) & ((100 + percent) * common >= low(sizes[asked], sizes[y]))
             ok &= (100 * np.minimum(sizes[asked], sizes[y]) >= percent * np.maximum(sizes[asked], sizes[y])) & (~minor[y] | (asked < y))
             if ok.any():
@@ -218,22 +286,47 @@ def rtree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, minor:
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (queries[:0], queries[:0])
 
 
-def cross_pairs(blocks: DataFrame, labels: DataFrame, sets: DataFrame, chunk: int = HOT_ROWS) -> DataFrame:
-    """Pairs (a, b) of sets in different components that share a block's token and pass the tree's bound.
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links: what they join gets one label."""
 
-    In a block the largest component is the major one. Its rows are dealt to chunks; the rows of the others go to
-    every chunk, and pairs among them are taken in the first.
-    """
+    def to(df: DataFrame, key: str) -> DataFrame:
+        moves = labels.select(F.col("node").alias(key), F.col("label").alias("_to"))
+        return df.join(moves, key, "left").withColumn(key, F.coalesce("_to", key)).drop("_to")
+
+    again = components(to(to(links, "a"), "b"))
+    # a label that moves is a node of its own, so nodes that were in no component before come in as well
+    known = labels.unionByName(again.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min_by("label", F.when(F.col("label") == F.col("node"), 1).otherwise(0)).alias("label"))
+    moves = again.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    return materialise(known.join(moves, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
+
+
+def mixed_rows(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, set, comp of the blocks (all salts of a token) that hold several components, and major and chunks of
+    each: the block's largest component, and how many chunks of HOT_ROWS its rows fill."""
     rows = blocks.select("token", "set").distinct().join(labels, blocks["set"] == labels["node"], "left").select("token", "set", F.coalesce("label", "set").alias("comp"))
     rows = materialise(rows, "block-rows")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    rows = materialise(rows.join(mixed, "token", "left_semi"), "mixed-rows")
     per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    tops = per.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
+    tops = per.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("rows"), F.max("n").alias("most")).filter("rows > most")
+    tops = tops.select("token", "major", F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("chunks"))
+    return materialise(rows.join(materialise(tops, "tops"), "token"), "mixed-rows")
+
+
+def more_stars(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a block's pivot and each row outside its largest component. The pivot is a member of that
+    component, another one in each block and turn, so a set meets as many members as it has blocks."""
+    pivots = rows.filter("comp = major").groupBy("token").agg(F.min_by("set", F.xxhash64("token", "set", F.lit(turn))).alias("a"))
+    return rows.filter("comp <> major").join(pivots, "token").select("a", F.col("set").alias("b")).distinct()
+
+
+def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different components that share a block's token and pass the tree's bound.
+
+    The rows of a block's largest component are dealt to chunks; the rows of the others go to every chunk, and pairs
+    among them are taken in the first.
+    """
     minor = F.col("comp") != F.col("major")
     dealt = (
-        rows.join(materialise(tops, "tops"), "token")
-        .withColumn("minor", minor)
+        rows.withColumn("minor", minor)
         .withColumn("chunk", F.explode(F.when(minor, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int")))))
         .join(sets.select("set", "n", "point"), "set")
     )
@@ -241,20 +334,21 @@ def cross_pairs(blocks: DataFrame, labels: DataFrame, sets: DataFrame, chunk: in
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
             for k in range(batch.num_rows):
                 rows = batch.column(1)[k].values
                 name, size, comp, minor, point = (rows.field(f) for f in ("set", "n", "comp", "minor", "point"))
                 name, size, comp = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (name, size, comp))
                 order = np.argsort(name)
                 minor = minor.to_numpy(zero_copy_only=False)[order]
-                points = np.frombuffer(b"".join(point.to_pylist()), "<i4").reshape(-1, GROUPS).astype(np.int64)[order]
+                points = unpacked_points(point)[order]
                 name, size, comp = name[order], size[order], comp[order]
                 x, y = rtree_pairs(points, size, comp, minor)
                 if len(x) and batch.column(0)[k].as_py():
-                    first = ~minor[y]
-                    x, y = x[first], y[first]
-                a, b = np.minimum(name[x], name[y]), np.maximum(name[x], name[y])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    x, y = x[~minor[y]], y[~minor[y]]
+                found.append(np.stack([np.minimum(name[x], name[y]), np.maximum(name[x], name[y])], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return gathered.select("chunk", "rows").mapInArrow(search, "a long, b long")
 
@@ -276,15 +370,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stars = blocks.filter((F.col("set") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("set").alias("b"))
     hot = blocks.filter("salts > 1").select("token", "pivot").distinct()
     over = hot.join(hot.groupBy("token").agg(F.min("pivot").alias("a")), "token").filter("a <> pivot").select("a", F.col("pivot").alias("b"))
-    sets = set_table(docs, text_col, blocks)
-    labels = components(verified(stars.unionByName(over), sets))
-    more = verified(cross_pairs(blocks, labels, sets), sets)
-    if not more.isEmpty():
-        to = lambda df, key: df.join(labels.select(F.col("node").alias(key), F.col("label").alias("_to")), key, "left").withColumn(key, F.coalesce("_to", key)).drop("_to")
-        again = components(to(to(more, "a"), "b"))
-        known = labels.unionByName(again.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min_by("label", F.when(F.col("label") == F.col("node"), 1).otherwise(0)).alias("label"))
-        labels = materialise(known.join(again.select(F.col("node").alias("label"), F.col("label").alias("_to")), "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
-    least = rows.filter("set <> 0").groupBy("set").agg(F.min("doc_id").alias("doc"))
+    least = materialise(rows.filter("set <> 0").groupBy("set").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("point").alias("point")), "least")
+    check = lambda pairs: verified(pairs, docs, id_col, text_col, least)
+    labels = components(check(bounded(stars.unionByName(over), least)))
+    for turn in range(TURNS + 1):
+        mixed = mixed_rows(blocks, labels)
+        links = check(bounded(more_stars(mixed, turn), least) if turn < TURNS else cross_pairs(mixed, least))
+        if not links.isEmpty():
+            labels = merged(labels, links)
     placed = least.join(labels, least["set"] == labels["node"], "left").select("set", "doc", F.coalesce("label", "set").alias("label"))
     placed = materialise(placed, "placed")
     roots = placed.groupBy("label").agg(F.min("doc").alias("component_id"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.llm.stage import materialise, salted_left_join, small_batches
+from concordat.llm.stage import materialise, salted_left_join, small_batches, with_plain_names
 from concordat.llm.text import LOWER_BYTES, buffers
 
 PROBES = 2
@@ -116,5 +116,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with docs' own columns."""
-    return exact_duplicates(docs, id_col, text_col).filter("_kept").select(*docs.columns)
+    """The rows of docs that exact_duplicates keeps, with docs' own columns, whatever their names."""
+    return with_plain_names(docs, lambda d, at: exact_duplicates(d, at[id_col], at[text_col]).filter("_kept"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,12 @@ def salted_left_join(rows: DataFrame, groups: DataFrame, key: str, salt_from: st
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
+def with_plain_names(docs: DataFrame, step: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
+    """step(docs under names that clash with nothing, those names by the given ones), back under the given names."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    return step(docs.toDF(*plain), dict(zip(docs.columns, plain))).select(*plain).toDF(*docs.columns)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Lower the number of rows in an Arrow batch, so that long texts do not add up to one large batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.llm import exact, jaccard, langid, lines, packing
-from concordat.llm.stage import materialise
+from concordat.llm.stage import materialise, with_plain_names
 
 #: Documents whose language is less sure are rejected, as are those without letters.
 LEAST_SCORE = 0.3
@@ -18,8 +18,9 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a recognised language; lang keeps its given value."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    net = langid.fit(docs)
+    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return with_plain_names(docs, lambda d, at: langid.identify(d, net, at["text"]).filter(sure))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +34,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Only the ids of the others are joined back. Rows that share a doc_id stay or go together, and rows without a
     doc_id stay.
     """
-    similar = jaccard.similar_documents(docs)
-    gone = similar.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(materialise(gone, "near-copies"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    similar = jaccard.similar_documents(docs.select("doc_id", "text"))
+    gone = materialise(similar.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return with_plain_names(docs, lambda d, at: d.join(gone, F.col(at["doc_id"]) == F.col("doc_id"), "left_anti"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has; n_chars follows, and documents stay."""
-    cut = lines.remove_passages(docs)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+
+    def step(d: DataFrame, at: dict[str, str]) -> DataFrame:
+        cut = lines.remove_passages(d, at["doc_id"], at["text"])
+        if "n_chars" not in at:
+            return cut
+        n = at["n_chars"]
+        return cut.withColumn(n, F.when(F.col("removed").isNull(), F.col(n)).otherwise(F.length(at["text"])).cast(docs.schema["n_chars"].dataType))
+
+    return with_plain_names(docs, step)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

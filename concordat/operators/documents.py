@@ -109,7 +109,7 @@ def _split(text: str, size: int, separators: tuple[str, ...] = ("\n\n", "\n", ".
             yield from cut(at, end, level + 1)
             at = end
 
-    return list(cut(0, len(text), 0))
+    return list(cut(0, len(text), 0)) if text else []
 
 
 def chunk_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.bits import bit_filter, filter_bits, hits
-from concordat.llm.stage import materialise, small_batches
+from concordat.llm.stage import discard, materialise, small_batches
 from concordat.llm.text import mix, pieces, shingles, words
 
 WORDS = 5
@@ -177,7 +177,9 @@ def bounded(pairs: DataFrame, least: DataFrame, percent: int = PERCENT) -> DataF
     one = sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
     two = sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
     met = pairs.join(one, "a").join(two, "b")
-    return materialise(met.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(keep, "a long, b long"), "bounded")
+    out = materialise(met.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(keep, "a long, b long"), "bounded")
+    discard(pairs)
+    return out
 
 
 def _both(sets: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -213,7 +215,9 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, le
                 yield pa.RecordBatch.from_arrays([pa.array(names[rows].view(np.int64)), tokens], ["set", "tokens"])
 
     found = docs.select(F.col(text_col).cast("string"), F.xxhash64(id_col).alias("key")).mapInArrow(scan, "set long, tokens array<long>")
-    return materialise(found, "tokens")
+    out = materialise(found, "tokens")
+    discard(chosen)
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -228,7 +232,9 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, leas
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     met = pairs.join(one, "a").join(two, "b").withColumn("both", both)
     links = met.filter(100 * F.col("both") >= percent * (F.size("tokens_a") + F.size("tokens_b") - F.col("both")))
-    return materialise(links.select("a", "b").distinct(), "links")
+    out = materialise(links.select("a", "b").distinct(), "links")
+    discard(pairs, some)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,8 +249,11 @@ def components(links: DataFrame) -> DataFrame:
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         moved = materialise(ways.groupBy("u").agg(F.min("v").alias("to")).select("u", F.least("u", "to").alias("to")), "moves")
         step = lambda df, key: df.join(moved.withColumnRenamed("u", key), key, "left").withColumn(key, F.coalesce("to", key)).drop("to")
+        old = labels, edges, moved
         labels = materialise(step(labels, "label").select("node", "label"), "labels")
         edges = materialise(step(step(edges, "u"), "v").filter("u <> v").select("u", "v").distinct(), "edges")
+        discard(*old)
+    discard(edges)
     return labels
 
 
@@ -297,7 +306,9 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     # a label that moves is a node of its own, so nodes that were in no component before come in as well
     known = labels.unionByName(again.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min_by("label", F.when(F.col("label") == F.col("node"), 1).otherwise(0)).alias("label"))
     moves = again.select(F.col("node").alias("label"), F.col("label").alias("_to"))
-    return materialise(known.join(moves, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
+    out = materialise(known.join(moves, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
+    discard(again, labels)
+    return out
 
 
 def mixed_rows(blocks: DataFrame, labels: DataFrame) -> DataFrame:
@@ -308,7 +319,10 @@ def mixed_rows(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
     tops = per.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("rows"), F.max("n").alias("most")).filter("rows > most")
     tops = tops.select("token", "major", F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("chunks"))
-    return materialise(rows.join(materialise(tops, "tops"), "token"), "mixed-rows")
+    tops = materialise(tops, "tops")
+    out = materialise(rows.join(tops, "token"), "mixed-rows")
+    discard(rows, tops)
+    return out
 
 
 def more_stars(rows: DataFrame, turn: int) -> DataFrame:
@@ -371,13 +385,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hot = blocks.filter("salts > 1").select("token", "pivot").distinct()
     over = hot.join(hot.groupBy("token").agg(F.min("pivot").alias("a")), "token").filter("a <> pivot").select("a", F.col("pivot").alias("b"))
     least = materialise(rows.filter("set <> 0").groupBy("set").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("point").alias("point")), "least")
-    check = lambda pairs: verified(pairs, docs, id_col, text_col, least)
-    labels = components(check(bounded(stars.unionByName(over), least)))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        out = verified(pairs, docs, id_col, text_col, least)
+        discard(pairs)
+        return out
+
+    links = check(bounded(stars.unionByName(over), least))
+    labels = components(links)
     for turn in range(TURNS + 1):
+        discard(links)
         mixed = mixed_rows(blocks, labels)
         links = check(bounded(more_stars(mixed, turn), least) if turn < TURNS else cross_pairs(mixed, least))
+        discard(mixed)
         if not links.isEmpty():
             labels = merged(labels, links)
+    discard(links, blocks)
     placed = least.join(labels, least["set"] == labels["node"], "left").select("set", "doc", F.coalesce("label", "set").alias("label"))
     placed = materialise(placed, "placed")
     roots = placed.groupBy("label").agg(F.min("doc").alias("component_id"))

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Has Spark remove a query's shuffle files as soon as the query ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where the tables of materialise are.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
@@ -23,15 +29,33 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """Write df as Parquet to the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs only tasks of the running stage, and whatever is read twice is
-    computed once. Each call writes to a path of its own, so retries and parallel jobs do not meet.
+    computed once. Each call writes to a path of its own, so retries and parallel jobs do not meet. The shuffle files
+    of the write go when it ends: nothing reads them once the table stands.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/concordat/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise that nothing reads any more; whatever came of them has to be a table by then."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(session.sessionState().newHadoopConf()).delete(at, True)
 
 
 def salted_left_join(rows: DataFrame, groups: DataFrame, key: str, salt_from: str, salts: int = 32) -> DataFrame:

@@ -295,6 +295,34 @@ def rtree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, minor:
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (queries[:0], queries[:0])
 
 
+def leaf_pairs(name: np.ndarray, size: np.ndarray, comp: np.ndarray, minor: np.ndarray, first: np.ndarray, points: pa.Array, cuts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """What rtree_pairs finds, as rows of two names, for many blocks of LEAF rows at most, whose tree is one leaf.
+
+    Block k has the rows from cuts[k, 0] to cuts[k, 1], and first says of each row whether its block takes pairs among
+    minor rows. Blocks of equal length are compared together, and a pair that several blocks have is bounded once.
+    """
+    lengths, xs, ys = cuts[:, 1] - cuts[:, 0], [], []
+    for m in np.unique(lengths[lengths > 1]).tolist():
+        i, j = np.triu_indices(m, 1)
+        at = cuts[lengths == m, 0][:, None]
+        xs.append((at + i).ravel())
+        ys.append((at + j).ravel())
+    if not xs:
+        return np.zeros((0, 2), np.int64)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    ok = (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+    ok &= np.where(first[x], minor[x] | minor[y], minor[x] ^ minor[y])
+    x, y = x[ok], y[ok]
+    pairs, at = np.unique(np.stack([np.minimum(name[x], name[y]), np.maximum(name[x], name[y])], axis=1), axis=0, return_index=True)
+    if not len(at):
+        return pairs
+    x, y = x[at], y[at]
+    rows, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+    counts = unpacked_points(points.take(pa.array(rows)))
+    common = np.minimum(counts[back[: len(x)]], counts[back[len(x) :]]).sum(axis=1, dtype=np.int64)
+    return pairs[(100 + percent) * common >= percent * (size[x] + size[y])]
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels after more links: what they join gets one label."""
 
@@ -348,19 +376,21 @@ def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
-            for k in range(batch.num_rows):
-                rows = batch.column(1)[k].values
-                name, size, comp, minor, point = (rows.field(f) for f in ("set", "n", "comp", "minor", "point"))
-                name, size, comp = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (name, size, comp))
-                order = np.argsort(name)
-                minor = minor.to_numpy(zero_copy_only=False)[order]
-                points = unpacked_points(point)[order]
-                name, size, comp = name[order], size[order], comp[order]
-                x, y = rtree_pairs(points, size, comp, minor)
-                if len(x) and batch.column(0)[k].as_py():
-                    x, y = x[~minor[y]], y[~minor[y]]
-                found.append(np.stack([np.minimum(name[x], name[y]), np.maximum(name[x], name[y])], axis=1))
+            lists, chunk = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+            rows = lists.flatten()
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            cuts = np.stack([np.concatenate([[0], ends[:-1]]), ends], axis=1).astype(np.int64)
+            name, size, comp, minor = (rows.field(f).to_numpy(zero_copy_only=False) for f in ("set", "n", "comp", "minor"))
+            size, points = size.astype(np.int64), rows.field("point")
+            small = cuts[:, 1] - cuts[:, 0] <= LEAF
+            found = [leaf_pairs(name, size, comp, minor, np.repeat(chunk == 0, cuts[:, 1] - cuts[:, 0]), points, cuts[small])]
+            for k in np.flatnonzero(~small).tolist():
+                at = cuts[k, 0] + np.argsort(name[cuts[k, 0] : cuts[k, 1]])
+                x, y = rtree_pairs(unpacked_points(points.take(pa.array(at))), size[at], comp[at], minor[at])
+                if len(x) and chunk[k]:
+                    x, y = x[~minor[at[y]]], y[~minor[at[y]]]
+                x, y = name[at[x]], name[at[y]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 

@@ -147,6 +147,69 @@ def test_repeated_passages(docs, empty):
     assert lines.remove_passages(docs).count() == len(ROWS)
 
 
+def brute_passages(rows, size=25):
+    """(doc_id, start, end, n_words, keep_doc_id, copies) of rows with unlike ids, window by window."""
+    spots = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for _, t in rows]
+    where = collections.defaultdict(list)
+    for r in sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0])):
+        for at in range(len(spots[r]) - size + 1):
+            where[tuple(fold(rows[r][1][a:b]) for a, b in spots[r][at : at + size])].append((r, at))
+    gone = collections.defaultdict(list)
+    for places in where.values():
+        for r, at in places[1:]:
+            first, begin = places[0]
+            gone[r].append((max(at, begin + size) if r == first else at, at + size, rows[first][0], len(places)))
+    out = []
+    for r, parts in gone.items():
+        runs = []
+        for a, b, keep, n in sorted(parts, key=lambda x: x[:2]):
+            if runs and a <= runs[-1][1]:
+                a, b, keep, n = runs[-1][0], max(b, runs[-1][1]), min((k for k in (keep, runs[-1][2]) if k is not None), default=None), max(n, runs[-1][3])
+                runs.pop()
+            runs.append((a, b, keep, n))
+        out += [(rows[r][0], spots[r][a][0], spots[r][b - 1][1], b - a, keep, n) for a, b, keep, n in runs]
+    return sorted(out, key=repr)
+
+
+def test_whole_passages_go(spark):
+    rng = np.random.default_rng(6)
+    fresh = lambda n: [f"z{x}" for x in rng.integers(0, 1 << 40, n)]
+    wrapped = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    rows, want = [], {}
+    for k in range(160):
+        passage = fresh(51 + k % 10)
+        rows.append((k, wrapped(fresh(k % 13) + passage + fresh(9), 12)))
+        text = " ".join(fresh(k % 17)) + "\n\n" * (k % 2) + " é "
+        copy = (" ".join(passage), wrapped(passage, 7).upper())[k % 3 == 0]
+        rows.append((1000 + k, text + copy + " " + " ".join(fresh(5))))
+        want[1000 + k] = (len(text), len(text) + len(copy), len(passage), k, 2)
+    found = {r["doc_id"]: (r["start"], r["end"], r["n_words"], r["keep_doc_id"], r["copies"]) for r in lines.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == want
+
+
+def test_passages_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    few, many = [f"Wört{i}" for i in range(3)], [f"u{i}" for i in range(5000)]
+    parts = [list(rng.choice(many, n)) for n in (24, 25, 26, 40, 70)] + [["again"] * 70, list(rng.choice(few, 30)), few * 20]
+    rows = []
+    for k in [*range(50), None]:
+        words = sum((list(rng.choice(many, rng.integers(0, 12))) + parts[rng.integers(0, len(parts))][rng.integers(0, 9) :] for _ in range(rng.integers(0, 7))), [])
+        rows.append((k, "".join(w + " \n"[int(rng.random() < 0.1)] for w in words)))
+    table = spark.createDataFrame(rows + [(90, None), (91, "")], "doc_id long, text string")
+    want = brute_passages(rows)
+    assert len(want) > 60
+    for cut, bits in ((lines.CUT, lines.MAX_BITS), (1, 64)):  # a full filter changes nothing
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lines, "MAX_BITS", bits)
+            assert sorted((tuple(r)[1:] for r in lines.repeated_passages(table, cut=cut).collect()), key=repr) == want
+    texts = dict(rows)
+    for r in lines.remove_passages(table).filter("removed is not null").collect():
+        at, left = 0, ""
+        for _, a, b, *_ in sorted((x for x in want if x[0] == r["doc_id"]), key=lambda x: x[1]):
+            left, at = left + texts[r["doc_id"]][at:a], b
+        assert r["text"] == left + texts[r["doc_id"]][at:]
+
+
 def test_packing(docs, empty, spark):
     from tokenizers import Tokenizer
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: So many vectors are compared with as many at a time.
+BLOCK = 1024
+
 
 def term_counts(docs: DataFrame, key: str, group: str, text: str = "text") -> DataFrame:
     """group, key, term, tf and the document's length; terms are split at white space, case kept."""
@@ -34,15 +42,56 @@ def top_k(df: DataFrame, keys: list[str], score: str, tie: str, k: int) -> DataF
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dot(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def vector_blocks(df: DataFrame, key: str, vector: str, ids: str, data: str, rows: int) -> DataFrame:
+    """A row for so many vectors at most: ids in ascending order, and the vectors at length 1 as 64-bit floats. A null
+    vector and one of length 0 become NaN; rows without a key are left out."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                part = part.take(pc.sort_indices(part.column(0)))
+                known = part.column(1).is_valid().to_numpy(zero_copy_only=False)
+                flat = part.column(1).drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                x = np.full((len(known), len(flat) // max(1, known.sum())), np.nan)
+                x[known] = flat.reshape(known.sum(), x.shape[1])
+                length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                x /= np.where(length > 0, length, np.nan)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([lists, pa.array([x.tobytes()], pa.binary())], [ids, data])
+
+    return df.filter(F.col(key).isNotNull()).select(key, vector).mapInArrow(pack, f"{ids} array<{df.schema[key].dataType.simpleString()}>, {data} binary")
+
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, rows: int = BLOCK) -> DataFrame:
+    """The k nearest vectors of each query (query_id, vector) by cosine to six places, itself left out.
+
+    Each block of queries meets each block of vectors and keeps its k best, so that neither side has to fit anywhere
+    whole. An unknown cosine is null and ranks last.
+    """
+    asked = vector_blocks(queries, "query_id", "vector", "query_ids", "asked", rows)
+    pairs = asked.crossJoin(vector_blocks(vectors, "vec_id", "embedding", "vec_ids", "held", rows))
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                query_ids, vec_ids = batch.column(0)[i].values, batch.column(2)[i].values
+                q, v = query_ids.to_numpy(), vec_ids.to_numpy()
+                x, y = (np.frombuffer(batch.column(c)[i].as_py()).reshape(n, -1) for c, n in ((1, len(q)), (3, len(v))))
+                if 0 in (x.shape[1], y.shape[1]):  # a block of nulls
+                    x, y = np.full((len(q), 1), np.nan), np.full((len(v), 1), np.nan)
+                cosine = x @ y.T
+                cosine = np.copysign(np.floor(np.abs(cosine) * 1e6 + 0.5), cosine) / 1e6
+                score = np.where(np.isnan(cosine), -2.0, cosine)
+                score[q[:, None] == v] = -3.0
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # vec_ids ascend: the least of equals comes first
+                row, at = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
+                other = score[row, at] > -3.0
+                row, at = row[other], at[other]
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(row)), vec_ids.take(pa.array(at)), pa.array(cosine[row, at] + 0.0, from_pandas=True)], ["query_id", "vec_id", "cosine"])
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors of each query by cosine; queries (query_id, vector) are a stated, bounded set."""
-    norm = lambda c: F.sqrt(dot(c, c))
-    pairs = vectors.select("vec_id", "embedding").join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    near = pairs.select("query_id", "vec_id", F.round(dot("embedding", "vector") / (norm("embedding") * norm("vector")), 6).alias("cosine"))
+    kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString())
+    near = pairs.mapInArrow(search, "query_id {}, vec_id {}, cosine double".format(*kinds))
     return top_k(near, ["query_id"], "cosine", "vec_id", k)
 
 

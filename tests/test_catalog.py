@@ -56,3 +56,28 @@ def test_chunks_cover_texts():
         assert all(0 <= a < b <= len(text) and b - a <= 40 for a, b in spans)
         covered = {i for a, b in spans for i in range(a, b)}
         assert covered == set(range(len(text)))
+
+
+def test_nearest_vectors_go_in_blocks(spark):
+    import numpy as np
+
+    from concordat.operators import retrieval
+
+    x = np.random.default_rng(5).normal(size=(130, 8)).round(1)
+    x[90:] = x[7]
+    table = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (500, None), (501, [0.0] * 8), (None, [1.0] * 8)], "vec_id long, embedding array<float>").repartition(3)
+    asked = table.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    x = x.astype(np.float32).astype(float)
+    cosine = (x @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(x, axis=1)[:, None]).round(6)
+    want = {(q, v, r + 1): cosine[q, v] for q in range(0, 130, 20) for r, v in enumerate(sorted(set(range(130)) - {q}, key=lambda v: (-cosine[q, v], v))[:10])}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (7, 1000):
+            near = retrieval.cosine_top_k(table, asked, 10, rows=rows)
+            assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+            found = {(r.query_id, r.vec_id, r["rank"]): r.cosine for r in near.collect()}
+            assert {k for k in found if k[0] != 500} == set(want) and all(abs(found[k] - want[k]) < 2e-6 for k in want)
+            assert [k[1] for k in found if k[0] == 500] == list(range(10)) and all(found[k] is None for k in found if k[0] == 500)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

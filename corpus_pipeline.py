@@ -29,14 +29,21 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each component of similar documents.
+    """Keeps one row of each component of similar documents: one with the least doc_id, a null id ranking last.
 
-    Only the ids of the others are joined back. Rows that share a doc_id stay or go together, and rows without a
-    doc_id stay.
+    Rows are told apart by their place in docs, so that repeated and null ids do no harm; only those numbers are
+    joined back.
     """
-    similar = jaccard.similar_documents(docs.select("doc_id", "text"))
-    gone = materialise(similar.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return with_plain_names(docs, lambda d, at: d.join(gone, F.col(at["doc_id"]) == F.col("doc_id"), "left_anti"))
+
+    def step(d: DataFrame, at: dict[str, str]) -> DataFrame:
+        rows = d.withColumn("row", F.monotonically_increasing_id())
+        similar = jaccard.similar_documents(rows.select(F.col("row").alias("doc_id"), F.col(at["text"]).alias("text")))
+        named = similar.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", F.col(at["doc_id"]).alias("id")), "row")
+        least = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row"))
+        kept = materialise(named.groupBy("component_id").agg(least.alias("least")).select("least.row"), "not-near-copies")
+        return rows.join(kept, "row", "left_semi")
+
+    return with_plain_names(docs, step)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

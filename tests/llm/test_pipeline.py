@@ -23,3 +23,13 @@ def test_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_near_copies_go_by_row(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(5, a), (5, b), (7, a + " end"), (3, c), (3, c + " end"), (3, c + " stop"), (None, d), (None, d + " end"), (9, b + " end"), (None, "alone"), (2, ""), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    found = corpus_pipeline.near_copies(spark, spark.read.parquet(f"{tmp_path}/docs"), SF).collect()
+    by = {x: [r.doc_id for r in found if (r.text or "").startswith(x)] for x in ("a0", "b0", "c0", "d0", "alone")}
+    assert by == {"a0": [5], "b0": [5], "c0": [3], "d0": [None], "alone": [None]}
+    assert len(found) == 7

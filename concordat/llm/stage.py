@@ -34,7 +34,7 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/concordat/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     before = spark.conf.get(CLEAN_UP, None)

@@ -117,21 +117,77 @@ def test_similar_documents_near_the_threshold(spark):
     assert sorted((tuple(r) for r in found), key=repr) == brute_components(rows)
 
 
-def test_tree_finds_all_pairs_of_the_bound():
-    rng = np.random.default_rng(2)
-    points = rng.poisson(1.5, (150, 16))
-    points[75:] = points[:75] + (rng.random((75, 16)) < 0.1)
-    sizes, comps, minor = points.sum(axis=1), rng.integers(0, 40, 150), rng.random(150) < 0.6
-    x, y = jaccard.rtree_pairs(points, sizes, comps, minor)
-    got = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
+def a_block(rng, n=150, major=True):
+    points = rng.poisson(1.5, (n, 16))
+    points[n // 2 :] = points[: n // 2] + (rng.random((n // 2, 16)) < 0.1)
+    comp = rng.integers(0, 40, n)
+    columns = {"set": np.arange(n), "size": points.sum(axis=1), "pos": rng.integers(0, 3, n), "comp": comp, "major": comp == 3, "role": np.full(n, 3)}
+    return jaccard.Block(columns), points
+
+
+def bound_pairs(b, points):
     want = set()
-    for i in range(150):
-        for j in range(i):
-            common = np.minimum(points[i], points[j]).sum()
-            fits = 100 * min(sizes[i], sizes[j]) >= 75 * max(sizes[i], sizes[j])
-            if (minor[i] or minor[j]) and comps[i] != comps[j] and fits and 175 * common >= 75 * (sizes[i] + sizes[j]):
-                want.add((j, i))
-    assert got == want
+    for y in range(len(b.name)):
+        for x in range(y):
+            n, m = b.size[x], b.size[y]
+            fits = 100 * min(n, m) >= 75 * max(n, m) and 175 * min(n - b.pos[x], m - b.pos[y]) >= 75 * (n + m)
+            if b.comp[x] != b.comp[y] and fits and 175 * np.minimum(points[x], points[y]).sum() >= 75 * (n + m):
+                want.add((x, y))
+    return want
+
+
+def test_tree_finds_all_pairs_of_the_bound():
+    b, points = a_block(np.random.default_rng(2))
+    got = list(zip(*(v.tolist() for v in jaccard.all_pairs(b, points, np.arange(150)))))
+    assert len(got) == len(set(got)) and set(got) == bound_pairs(b, points)
+
+
+def test_tree_with_roles():
+    b, points = a_block(np.random.default_rng(3))
+    b.role = np.random.default_rng(4).integers(1, 4, 150)
+    b.major &= b.role == 1
+    got = list(zip(*(v.tolist() for v in jaccard.all_pairs(b, points, np.arange(150)))))
+    met = lambda x, y: bool((b.role[x] & 1 and b.role[y] & 2) or (b.role[y] & 1 and b.role[x] & 2 and b.major[y]))
+    assert len(got) == len(set(got)) and set(got) == {(x, y) for x, y in bound_pairs(b, points) if met(x, y)}
+
+
+def test_each_row_with_a_partner_gets_one():
+    b, points = a_block(np.random.default_rng(5))
+    want = bound_pairs(b, points)
+    got = list(zip(*(v.tolist() for v in jaccard.least_partners(b, points, np.arange(150)))))
+    assert set(got) <= want and {y for _, y in got} | {x for x, _ in got} == {z for p in want for z in p}
+    got = set(zip(*(v.tolist() for v in jaccard.best_partners(b, points, np.arange(150)))))
+    share = lambda x, y: np.minimum(points[x], points[y]).sum() / (b.size[x] + b.size[y])
+    for z in {z for p in want for z in p if not b.major[z]}:
+        assert max((share(*p) for p in got if z in p)) == max(share(*p) for p in want if z in p)
+    assert got <= want
+
+
+def test_finer_points_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    for n, m, k in ((3, 4, 2), (300, 280, 250), (200, 900, 100), (3000, 2900, 2500)):
+        tokens = rng.integers(0, 1 << 63, n + m - k).astype(np.uint64)
+        a, b = tokens[:n], tokens[n - k :]
+        bound = jaccard.fine_bound(jaccard.fine_point(a), jaccard.fine_point(b))
+        assert k <= bound <= min(n, m)
+    assert jaccard.fine_point(np.zeros(300, np.uint64))[0] == 1
+
+
+@pytest.mark.parametrize("hot", [3, 40])
+def test_large_blocks_go_to_several_trees(spark, monkeypatch, hot):
+    """Small limits, so that parts, pivots, lines and columns all occur."""
+    monkeypatch.setattr(jaccard, "HOT_ROWS", hot)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for k in range(60):
+            words = list(base)
+            for at in rng.choice(80, rng.integers(0, 6), replace=False):
+                words[at] = f"n{g}_{k}_{at}"
+            rows.append((100 * g + k, " ".join(words)))
+    found = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(r) for r in found), key=repr) == brute_components(rows)
 
 
 def test_repeated_passages(docs, empty):

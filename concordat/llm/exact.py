@@ -78,8 +78,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a power of two between 2**16 and max_bits.
     """
     small_batches(docs.sparkSession)
-    mine = ("_digest", "_keep_id", "_group_size", "_kept", "_maybe", "_row", "_keep")
-    docs = docs.drop(*mine)
+    docs = docs.drop("_digest", "_keep_id", "_group_size", "_kept")
+    names = docs.columns
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    found = _marked_copies(docs.toDF(*at.values()), at[id_col], at[text_col], fold, max_bits, salts)
+    return found.toDF(*names, "_digest", "_keep_id", "_group_size", "_kept")
+
+
+def _marked_copies(docs: DataFrame, id_col: str, text_col: str, fold: bool, max_bits: int, salts: int) -> DataFrame:
+    """exact_duplicates of a table whose column names clash with nothing."""
     n = docs.count()
     bits = min(max_bits, 1 << max(16, (16 * n).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs, text_col, bits, fold))

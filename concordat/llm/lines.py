@@ -1,11 +1,13 @@
-"""Removal of passages that repeat across a corpus: every run of MIN_WORDS words that occurs earlier.
-
-A passage repeats where a run of MIN_WORDS words (a window, beginning at any word, line ends being white space like any
-other) occurs in an earlier document or earlier in its own; overlapping windows add up to one passage. Words are
-compared lower-cased in A-Z. Not all windows are shuffled: a window holds shorter runs of words, and the one of the
-least hash (its seed) depends on the window's words only, so windows can be equal only where their seeds are. First
-the seeds are counted, one in CUT words on average, then the windows whose seed occurs more than once are compared by
-64-bit hashes. A passage's place is kept as character offsets of the original text.
+"""Removal of text that repeats across a corpus: lines (or paragraphs), and runs of MIN_WORDS words.
+
+Units are lines, or paragraphs if asked for: their words, lower-cased in A-Z and with any white space between, are
+hashed, digests are grouped globally, the earliest ranked occurrence stays and every later one goes, however short. A
+second pass finds what is wrapped otherwise: a passage repeats where a run of MIN_WORDS words (a window, beginning at
+any word, line ends being white space like any other) occurs in an earlier document or earlier in its own; overlapping
+windows and lines add up to one passage. Not all windows are shuffled: a window holds shorter runs of words, and the
+one of the least hash (its seed) depends on the window's words only, so windows can be equal only where their seeds
+are. First seeds and units are counted, one seed in CUT words on average, then the windows whose seed occurs more than
+once are compared by 64-bit hashes. A passage's place is kept as character offsets of the original text.
 """
 
 from __future__ import annotations
@@ -80,29 +82,64 @@ class Windows:
         return self
 
 
+#: Line ends between two units, white space apart.
+LINE, PARAGRAPH = 1, 2
+
+
+class Units:
+    """The lines or paragraphs of some texts that have words. at, end: numbers of the first word and the one after the
+    last; text: the text's number; digest: of all words."""
+
+    def __init__(self, w: Words, gap: int):
+        n = len(w.start)
+        text = np.repeat(np.arange(len(w.first) - 1), w.counts())
+        line = np.cumsum(w.data == 10)[w.start] if n else np.zeros(0, np.int64)
+        new = np.ones(n, dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (np.diff(line) >= gap)
+        self.at = np.flatnonzero(new)
+        self.end = np.append(self.at[1:], n) if n else self.at
+        self.text = text[self.at]
+        up, down = powers(n)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(w.hash * up[:n], out=total[1:])
+        self.digest = mix((total[self.end] - total[self.at]) * down[self.at] + (self.end - self.at).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+    def only(self, keep: np.ndarray) -> Units:
+        self.at, self.end, self.text, self.digest = self.at[keep], self.end[keep], self.text[keep], self.digest[keep]
+        return self
+
+    def new(self) -> np.ndarray:
+        """Whether each unit is the first of its words in its text."""
+        order = np.lexsort((self.digest, self.text))
+        out = np.ones(len(order), dtype=bool)
+        d, t = self.digest[order], self.text[order]
+        out[order[1:]] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+        return out
+
+
 def _scan(column: pa.Array, size: int, cut: int) -> Iterator[tuple[int, np.ndarray, Words, Windows]]:
     for a, _, raw, off in pieces(column):
         w = words(raw, off)
         yield a, off, w, Windows(w, size, cut)
 
 
-def repeated_seeds(docs: DataFrame, text_col: str, cut: int, min_words: int) -> DataFrame:
-    """seed: those with two occurrences or more; from the shared folder."""
+def repeated_seeds(docs: DataFrame, text_col: str, cut: int, min_words: int, gap: int) -> DataFrame:
+    """seed: the seeds and digests of units with two occurrences or more; from the shared folder."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *_, u in _scan(batch.column(0), min_words, cut):
-                seeds, times = np.unique(u.seeds, return_counts=True)
+            for _, _, w, u in _scan(batch.column(0), min_words, cut):
+                seeds, times = np.unique(np.concatenate([u.seeds, Units(w, gap).digest]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(times)], ["seed", "times"])
 
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(scan, "seed long, times long")
     return materialise(found.groupBy("seed").agg(F.sum("times").alias("times")).filter("times > 1").select("seed"), "seeds")
 
 
-def _marked(docs: DataFrame, text_col: str, cut: int, min_words: int):
-    """docs with _row and _maybe (a window may be repeated), and the broadcast filter of repeated seeds."""
+def _marked(docs: DataFrame, text_col: str, cut: int, min_words: int, gap: int):
+    """docs with _row and _maybe (a window or unit may be repeated), and the broadcast filter of what repeats."""
     small_batches(docs.sparkSession)
-    seeds = repeated_seeds(docs, text_col, cut, min_words)
+    seeds = repeated_seeds(docs, text_col, cut, min_words, gap)
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(seeds, "seed", filter_bits(seeds.count(), MAX_BITS)))
     discard(seeds)
     at = docs.columns.index(text_col)
@@ -111,19 +148,43 @@ def _marked(docs: DataFrame, text_col: str, cut: int, min_words: int):
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maybe = np.zeros(batch.num_rows, dtype=bool)
-            for a, _, _, u in _scan(batch.column(at), min_words, cut):
+            for a, _, w, u in _scan(batch.column(at), min_words, cut):
+                units = Units(w, gap)
                 maybe[a + u.text[hits(shared.value, u.seed)]] = True
+                maybe[a + units.text[hits(shared.value, units.digest)]] = True
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], schema.fieldNames())
 
     return docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(flag, schema), shared
 
 
-def _passages(maybe: DataFrame, shared, id_col: str, text_col: str, cut: int, min_words: int) -> DataFrame:
+def _later_units(texts: DataFrame, shared, kind: str, gap: int) -> DataFrame:
+    """row, first_doc, copies, word, end_word of each unit that occurs earlier; from the shared folder."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, raw, off in pieces(batch.column(2)):
+                w = words(raw, off)
+                u = Units(w, gap)
+                u.only(hits(shared.value, u.digest))
+                rows, first = pa.array(a + u.text), w.first[:-1][u.text]
+                values = (u.digest.view(np.int64), u.at - first, u.end - first, u.new())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, values)], ["row", "doc_id", "digest", "word", "end_word", "new"])
+
+    found = materialise(texts.mapInArrow(place, f"row long, doc_id {kind}, digest long, word long, end_word long, new boolean"), "units")
+    firsts = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    earlier = F.coalesce(F.col("doc_id") > F.col("first_doc"), F.col("doc_id").isNull() & F.col("first_doc").isNotNull())
+    out = materialise(found.join(firsts, "digest").filter(earlier | ~F.col("new")).select("row", "first_doc", "copies", "word", "end_word"), "later-units")
+    discard(found)
+    return out
+
+
+def _passages(maybe: DataFrame, shared, id_col: str, text_col: str, cut: int, min_words: int, gap: int) -> DataFrame:
     """The passages to remove from the marked documents, in words: row, word, end_word (first after it), keep_doc_id,
     copies; from the shared folder. Windows are many, so no more of them is shuffled than has to be."""
     kind = maybe.schema[id_col].dataType.simpleString()
     texts = maybe.select("_row", F.col(id_col), F.col(text_col).cast("string"))
     base = min_words + 1
+    units = _later_units(texts, shared, kind, gap)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,28 +212,29 @@ def _passages(maybe: DataFrame, shared, id_col: str, text_col: str, cut: int, mi
     later = materialise(found.filter(earlier | (again > 0)).select("row", at.alias("at"), "first_doc", "copies"), "later-windows")
     discard(firsts)
     start = F.floor(F.col("at") / base)
-    cover = later.repartition("row").select("row", "first_doc", "copies", (start + F.col("at") % base).alias("word"), (start + min_words).alias("end_word"))
+    cover = later.select("row", "first_doc", "copies", (start + F.col("at") % base).alias("word"), (start + min_words).alias("end_word")).unionByName(units)
     order = Window.partitionBy("row").orderBy("word", "end_word")
     reach = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = (
-        cover.withColumn("new", F.coalesce(F.col("word") > reach, F.lit(True)).cast("int"))
+        cover.repartition("row")
+        .withColumn("new", F.coalesce(F.col("word") > reach, F.lit(True)).cast("int"))
         .withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("row", "island")
         .agg(F.min("word").alias("word"), F.max("end_word").alias("end_word"), F.min("first_doc").alias("keep_doc_id"), F.max("copies").alias("copies"))
         .drop("island")
     )
     out = materialise(islands, "passages")
-    discard(later)
+    discard(later, units)
     return out
 
 
-def _with_passages(docs: DataFrame, id_col: str, text_col: str, cut: int, min_words: int) -> tuple[DataFrame, DataFrame]:
+def _with_passages(docs: DataFrame, id_col: str, text_col: str, cut: int, min_words: int, gap: int) -> tuple[DataFrame, DataFrame]:
     """The documents that surely have no passage to remove, and the others with an array column _passages in the order
     of the text, of structs (start, end, n_words, keep_doc_id, copies), null where there are none; both with _row."""
-    flagged, shared = _marked(docs, text_col, cut, min_words)
+    flagged, shared = _marked(docs, text_col, cut, min_words, gap)
     maybe = materialise(flagged.filter("_maybe"), "maybe-passages")
     names = ["start", "end", "n_words", "keep_doc_id", "copies"]
-    found = _passages(maybe, shared, id_col, text_col, cut, min_words)
+    found = _passages(maybe, shared, id_col, text_col, cut, min_words, gap)
     lists = found.groupBy(F.col("row").alias("_at")).agg(F.sort_array(F.collect_list(F.struct("word", "end_word", "keep_doc_id", "copies"))).alias("_passages"))
     met = maybe.join(lists, F.col("_row") == F.col("_at"), "left").drop("_at", "_maybe").withColumn("_text", F.col(text_col).cast("string"))
     others = [f for f in met.schema.fields if f.name not in ("_passages", "_text")]
@@ -201,36 +263,41 @@ def _with_passages(docs: DataFrame, id_col: str, text_col: str, cut: int, min_wo
     return flagged.filter("not _maybe").drop("_maybe"), met.select(*(f.name for f in others), "_passages", "_text").mapInArrow(to_chars, schema)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: int = CUT, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: int = CUT, min_words: int = MIN_WORDS, gap: int = LINE) -> DataFrame:
     """The passages to remove, a row each: row, doc_id, start, end (characters of the original text), n_words,
     keep_doc_id, copies.
 
-    A window's earliest occurrence is its first in the document with the least doc_id and stays, but for words that
-    are also in another window with an earlier occurrence; a null id ranks last. Rows that share a doc_id rank alike,
-    so each of them keeps what first occurs under that id. Repeats inside one text count too; where they overlap their
-    first occurrence, only what is beyond it goes. keep_doc_id is the least document with a window of the passage,
-    copies the most occurrences of one. Null and empty texts have no passages; other columns are
-    not read.
+    The earliest occurrence of a unit or window is its first in the document with the least doc_id and stays, but for
+    words that are also in another one with an earlier occurrence; a null id ranks last. Rows that share a doc_id rank
+    alike, so each of them keeps what first occurs under that id. Repeats inside one text count too; where windows
+    overlap their first occurrence, only what is beyond it goes. Passages that touch are one; keep_doc_id is the least
+    document with one of its units or windows, copies the most occurrences of one. gap is LINE or PARAGRAPH: the line
+    ends between two units. Null, empty and blank texts have no passages, and an empty table gives an empty table;
+    other columns are not read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    _, met = _with_passages(docs, "doc_id", "text", cut, min_words)
+    _, met = _with_passages(docs, "doc_id", "text", cut, min_words, gap)
     return met.select(F.col("_row").alias("row"), "doc_id", F.inline("_passages"))
 
 
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: int = CUT, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: int = CUT, min_words: int = MIN_WORDS, gap: int = LINE) -> DataFrame:
     """docs without its repeated passages, and with an array column removed of their (start, end) in the original.
 
-    Documents without a possibly repeated window pass straight through; only the others are shuffled. What
-    stays on both sides of a removed passage is joined as it is, and a text may become empty; rows stay.
+    Documents without a possibly repeated unit or window pass straight through; only the others are shuffled. What
+    stays on both sides of a removed passage is joined as it is, and a text may become empty; rows stay. A column named
+    removed is replaced, all others pass unchanged whatever their names.
     """
-    docs = docs.drop("_row", "_maybe", "_passages", "_text", "_at", "removed")
-    alone, met = _with_passages(docs, id_col, text_col, cut, min_words)
+    docs = docs.drop("removed")
+    names, plain = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(names, plain))
+    text = at[text_col]
+    alone, met = _with_passages(docs.toDF(*plain), at[id_col], text, cut, min_words, gap)
     kind = "array<struct<start:bigint,end:bigint>>"
     keep = F.expr(
-        f"""array_join(transform(sequence(0, size(removed)), i -> substring({text_col},
+        f"""array_join(transform(sequence(0, size(removed)), i -> substring({text},
             cast(if(i = 0, 0, removed[greatest(i - 1, 0)].end) as int) + 1,
-            cast(if(i = size(removed), length({text_col}), removed[least(i, size(removed) - 1)].start)
+            cast(if(i = size(removed), length({text}), removed[least(i, size(removed) - 1)].start)
                  - if(i = 0, 0, removed[greatest(i - 1, 0)].end) as int))), '')"""
     )
-    met = met.withColumn("removed", F.expr("transform(_passages, p -> struct(p.start as start, p.end as end))")).withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(keep))
-    return alone.select(*docs.columns, F.lit(None).cast(kind).alias("removed")).unionByName(met.select(*docs.columns, F.col("removed").cast(kind)))
+    met = met.withColumn("removed", F.expr("transform(_passages, p -> struct(p.start as start, p.end as end))")).withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(keep))
+    return alone.select(*plain, F.lit(None).cast(kind).alias("removed")).unionByName(met.select(*plain, F.col("removed").cast(kind))).toDF(*names, "removed")

@@ -71,6 +71,13 @@ def test_exact_duplicates(docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(groups) and {r["_row"] for r in kept.collect()} == {7}
 
 
+def test_exact_duplicates_with_clashing_columns(spark):
+    names = ["doc_id", "text", "_salt", "_keep", "_maybe", "_row"]
+    table = spark.createDataFrame([(1, "a", 1, 2, 3, 4), (2, "A", 5, 6, 7, 8)], "a long, b string, c int, d int, e int, f int").toDF(*names)
+    found = sorted(exact.exact_duplicates(table).collect())
+    assert [tuple(r)[:6] for r in found] == [(1, "a", 1, 2, 3, 4), (2, "A", 5, 6, 7, 8)] and [r["_kept"] for r in found] == [False, True]
+
+
 def test_bloom_filter_that_is_full_changes_nothing(docs):
     a, b = ({(r["text"], r["_keep_id"], r["_group_size"]) for r in exact.exact_duplicates(docs, max_bits=bits).collect()} for bits in (64, 1 << 26))
     assert a == b
@@ -204,17 +211,25 @@ def test_repeated_passages(docs, empty):
 
 
 def brute_passages(rows, size=25):
-    """(doc_id, start, end, n_words, keep_doc_id, copies) of rows with unlike ids, window by window."""
+    """(doc_id, start, end, n_words, keep_doc_id, copies) of rows with unlike ids, window by window and line by line."""
     spots = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for _, t in rows]
-    where = collections.defaultdict(list)
+    where, units = collections.defaultdict(list), collections.defaultdict(list)
     for r in sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0])):
         for at in range(len(spots[r]) - size + 1):
             where[tuple(fold(rows[r][1][a:b]) for a, b in spots[r][at : at + size])].append((r, at))
+        done = 0
+        for line in (rows[r][1] or "").split("\n"):
+            if ws := word_list(line):
+                units[tuple(ws)].append((r, done, done + len(ws)))
+                done += len(ws)
     gone = collections.defaultdict(list)
     for places in where.values():
         for r, at in places[1:]:
             first, begin = places[0]
             gone[r].append((max(at, begin + size) if r == first else at, at + size, rows[first][0], len(places)))
+    for places in units.values():
+        for r, at, end in places[1:]:
+            gone[r].append((at, end, rows[places[0][0]][0], len(places)))
     out = []
     for r, parts in gone.items():
         runs = []
@@ -227,6 +242,24 @@ def brute_passages(rows, size=25):
     return sorted(out, key=repr)
 
 
+def test_lines_and_paragraphs(spark):
+    text = ["One  two\nThree.\n \nfour five\nsix", "zero\none\ttwo\nFour\nfive six\n\none two", "\n\nfour five six\n\nOne two three.", "four\nfive\nsix\n\n\nx", None, "", "\n \n"]
+    table = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    gone = lambda gap: sorted((r["doc_id"], text[r["doc_id"]][r["start"] : r["end"]]) for r in lines.repeated_passages(table, gap=gap).collect())
+    assert gone(lines.LINE) == [(1, "one\ttwo"), (1, "one two"), (3, "four"), (3, "six")]
+    assert gone(lines.PARAGRAPH) == [(2, "four five six\n\nOne two three."), (3, "four\nfive\nsix")]  # neighbours are one
+
+
+def test_passages_with_clashing_columns(spark):
+    rows = [(k, "a line that is there twice\nand one of its own " + str(k), k, "r", "p", "m", None) for k in range(3)] + [(1, None, 1, "r", "p", "m", None)]
+    names = ["doc_id", "text", "row", "_row", "_passages", "the `odd`  name", "removed"]
+    table = spark.createDataFrame(rows, "doc_id long, text string, a long, b string, c string, d string, e string").toDF(*names)
+    found = lines.remove_passages(table)
+    assert sorted(found.columns) == sorted(names)
+    assert sorted((r["doc_id"], r["text"], r["row"], r["_row"]) for r in found.filter("text is not null").collect()) == [(k, ("a line that is there twice" if k == 0 else "") + f"\nand one of its own {k}", k, "r") for k in range(3)]
+    assert found.filter("text is null").count() == 1
+
+
 def test_whole_passages_go(spark):
     rng = np.random.default_rng(6)
     fresh = lambda n: [f"z{x}" for x in rng.integers(0, 1 << 40, n)]
@@ -259,6 +292,7 @@ def test_passages_equal_brute_force(spark):
             m.setattr(lines, "MAX_BITS", bits)
             assert sorted((tuple(r)[1:] for r in lines.repeated_passages(table, cut=cut).collect()), key=repr) == want
     texts = dict(rows)
+    assert any(n < 5 for _, _, _, n, _, _ in want)  # short lines go as well
     for r in lines.remove_passages(table).filter("removed is not null").collect():
         at, left = 0, ""
         for _, a, b, *_ in sorted((x for x in want if x[0] == r["doc_id"]), key=lambda x: x[1]):

@@ -3,8 +3,10 @@
 A batch of texts is cut into units at single blanks between other characters, where a match of the split pattern
 always begins; units and matches seen before are taken from a bounded memory. The other matches become rows of token
 positions. Each step of the recursive query joins neighbouring tokens with the merge table and contracts every word's
-leftmost pair of minimum rank, until no word has a pair left; an aggregation ordered by position gives the ids, and
-another one over the ids' bytes decodes them.
+leftmost pair of minimum rank, until no word has a pair left; an aggregation ordered by position gives the ids.
+
+Decoding starts from ids alone: rows of id positions join the vocabulary, and an aggregation ordered by position puts
+the bytes together. Runs of ids that were decoded before come from a bounded memory whose keys are the ids.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from concordat.llm.memory import Memory
 from concordat.llm.stage import small_batches
 from concordat.llm.text import buffers
 
-#: Matches of more bytes are contracted with a heap: a step of the query contracts one pair of a word.
-LONGEST = 256
+#: Stretches of more bytes that some token could cross everywhere are contracted with a heap, to the same result: a
+#: step of the query contracts one pair of a word, so a word of n bytes costs it n * n row visits.
+LONGEST = 1024
 #: Units and matches that a worker remembers, twice over, and matches that go into one query.
 UNITS, MATCHES, QUERY_WORDS = 150_000, 400_000, 40_000
 
@@ -48,7 +51,7 @@ WITH RECURSIVE t(step, w, pos, id, np, nid, key) AS (
     LEFT JOIN merges ON changed AND ab = id::BIGINT * 65536 + nid)
 SELECT w, pos, id FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)
 """
-DECODE = "SELECT w, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY w ORDER BY w"
+DECODE = "SELECT w, string_agg(hex, '' ORDER BY pos) AS hex FROM given_ids LEFT JOIN vocabulary USING (id) GROUP BY w ORDER BY w"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -69,7 +72,7 @@ class Codec:
             raise ValueError("ids must fit into 16 bits")
         self._matches = regex.compile(pattern).findall
         self._touching = regex.compile(r" \s|\s ").search
-        self._db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self._db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = [(a * 65536 + b, c) for piece, c in self.ranks.items() for k in range(1, len(piece)) if (a := self.ranks.get(piece[:k])) is not None and (b := self.ranks.get(piece[k:])) is not None]
         tables = {
             "merges": {"ab": pa.array([x for x, _ in merges], pa.int64()), "c": pa.array([y for _, y in merges], pa.int64())},
@@ -80,8 +83,8 @@ class Codec:
             self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self._db.unregister("given")
         self._bytes = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self._known, self._units = Memory(MATCHES), Memory(UNITS)
-        self._odd: dict[bytes, bytes] = {}
+        self._known, self._units, self._texts = Memory(MATCHES), Memory(UNITS), Memory(UNITS)
+        self._inner = {piece[i : i + 2] for piece in self.ranks for i in range(len(piece) - 1)}
 
     def _positions(self, words: list[bytes]) -> pa.Table:
         n = np.array([len(x) for x in words])
@@ -101,13 +104,21 @@ class Codec:
         data = found["id"].astype("<u4").tobytes()
         cuts = (4 * np.searchsorted(found["w"], np.arange(len(words) + 1))).tolist()
         self._known.now.update(zip(words, (data[a:b] for a, b in zip(cuts, cuts[1:]))))
-        for word, (_, decoded) in zip(words, self._db.execute(DECODE).fetchall()):
-            self._decoded(word, bytes.fromhex(decoded))
 
-    def _decoded(self, word: bytes, decoded: bytes) -> None:
-        """Note what the ids of a match decode to, if it is not the match."""
-        if decoded != word:
-            self._odd[word] = decoded
+    def _decode(self, runs: list[bytes]) -> None:
+        """Remember what runs of ids, as little-endian 32-bit integers, decode to."""
+        n = np.array([len(x) // 4 for x in runs])
+        ids = np.frombuffer(b"".join(runs), "<i4")
+        at = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+        self._db.register("given_ids", pa.table({"w": pa.array(np.repeat(np.arange(len(runs)), n)), "pos": pa.array(at), "id": pa.array(ids)}))
+        self._texts.now.update(dict.fromkeys(runs, b""))
+        self._texts.now.update((runs[w], bytes.fromhex(x or "")) for w, x in self._db.execute(DECODE).fetchall())
+        self._db.unregister("given_ids")
+
+    def _stretches(self, word: bytes) -> list[bytes]:
+        """word cut wherever no token has both neighbouring bytes inside: nothing is ever contracted across."""
+        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self._inner), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _heap(self, word: bytes) -> bytes:
         """The same contraction for a long match, in time n log n: the pairs lie in a heap by rank and position."""
@@ -130,7 +141,6 @@ class Codec:
                 if k >= 0 and (r := rank(k)) is not None:
                     heapq.heappush(heap, (r, k, len(parts[k]) + len(parts[after[k]])))
         kept = [p for p, a in zip(parts, alive) if a]
-        self._decoded(word, b"".join(kept))
         return np.array([self.ranks[p] for p in kept], "<u4").tobytes()
 
     def _cut(self, text: str) -> list[str]:
@@ -139,27 +149,37 @@ class Codec:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    def encode_decode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each text its ids, as little-endian 32-bit integers, and the bytes that the ids decode to.
-
-        Every match's ids have been decoded on their own. If all give the match, their succession gives the text.
-        """
-        cuts = [self._cut(t) for t in texts]
-        split = {u: [m.encode() for m in self._matches(u)] for u in self._units.missing(set().union(*cuts))}
-        todo = []
-        for m in self._known.missing(set().union(*split.values())):
+    def _encode(self, matches: set[bytes]) -> None:
+        """Remember the ids of matches."""
+        todo, long = [], {}
+        for m in matches:
             if m in self.ranks:
                 self._known.now[m] = np.array([self.ranks[m]], "<u4").tobytes()
             elif len(m) > LONGEST:
-                self._known.now[m] = self._heap(m)
+                long[m] = self._stretches(m)
             else:
                 todo.append(m)
+        if long:
+            parts = set().union(*long.values()).difference(long)
+            self._encode(parts.difference(self._known.now, todo))
         for at in range(0, len(todo), QUERY_WORDS):
             self._query(todo[at : at + QUERY_WORDS])
+        for m, parts in long.items():
+            self._known.now[m] = self._heap(m) if len(parts) == 1 else b"".join(self._known.now[x] for x in parts)
+
+    def encode_decode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """For each text its ids, as little-endian 32-bit integers, and the bytes that these ids decode to."""
+        cuts = [self._cut(t) for t in texts]
+        split = {u: [m.encode() for m in self._matches(u)] for u in self._units.missing(set().union(*cuts))}
+        self._encode(self._known.missing(set().union(*split.values())))
         known, get = self._known.now, self._units.now.__getitem__
         self._units.now.update((u, b"".join([known[m] for m in ms])) for u, ms in split.items())
-        decode = (lambda t: t.encode()) if not self._odd else lambda t: b"".join(self._odd.get(m, m) for m in (x.encode() for x in self._matches(t)))
-        return [(b"".join(map(get, units)), decode(t)) for t, units in zip(texts, cuts)]
+        ids = [list(map(get, units)) for units in cuts]
+        todo = list(self._texts.missing(set().union(*ids)))
+        for at in range(0, len(todo), QUERY_WORDS):
+            self._decode(todo[at : at + QUERY_WORDS])
+        back = self._texts.now.__getitem__
+        return [(b"".join(runs), b"".join(map(back, runs))) for runs in ids]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.llm.memory import Memory
@@ -43,13 +43,13 @@ def split_pattern() -> str:
 
 
 def _encoder(path: str) -> tuple:
-    """The tokenizer of a file and the ids of words that this worker has met."""
+    """The tokenizer of a file, the ids of words that this worker has met, and its special tokens in lower case."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
-        _tokenizers[path] = (found, Memory(WORDS), Memory(CORES))
+        special = [x.content.lower().encode() for x in found.get_added_tokens_decoder().values()]
+        _tokenizers[path] = (found, Memory(WORDS), Memory(CORES), special)
     return _tokenizers[path]
 
 
@@ -77,10 +77,13 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
 
     The tokenizer lower-cases, drops white space and never joins what it separates, so a text's ids are those of its
     words one after another. Words, cut at ASCII white space, are encoded once and remembered. A-Z is lower-cased
-    before, where no combining mark can change what that does.
+    before, where no combining mark can change what that does. A text with a special token's characters, which the
+    library takes as that token before it lower-cases, is encoded as it is.
     """
-    tokenizer, known, cores = _encoder(path)
-    split = [(t if b"\xcc" in t or b"\xcd" in t else t.translate(LOWER_BYTES)).split() for t in texts]
+    tokenizer, known, cores, special = _encoder(path)
+    low = [t.translate(LOWER_BYTES) for t in texts]
+    whole = {i: np.array(tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, "<u4").tobytes() for i, t in enumerate(low) if any(x in t for x in special)}
+    split = [[] if i in whole else (t if b"\xcc" in t or b"\xcd" in t else low[i]).split() for i, t in enumerate(texts)]
     fresh = {w: _core(w) for w in known.missing(set().union(*split))}
     tails = {w: w[len(c) :] for w, c in fresh.items()}
     todo = list(cores.missing({*fresh.values(), *filter(None, tails.values())}))
@@ -90,7 +93,7 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     for w, c in fresh.items():
         known.now[w] = cores.now[c] + cores.now[tails[w]] if tails[w] else cores.now[c]
     get = known.now.__getitem__
-    return [b"".join(map(get, words)) for words in split]
+    return [whole[i] if i in whole else b"".join(map(get, words)) for i, words in enumerate(split)]
 
 
 def decompose(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -157,6 +160,11 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
     pieces.write.partitionBy("bucket").parquet(path)
 
 
+def read_bucket(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """The pieces of one length that write_buckets has put into its folder; only that folder is read."""
+    return spark.read.parquet(path).filter(F.col("bucket") == length.bit_length() - 1)
+
+
 def pack_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """pack() with the CRC-32 of each piece's ids in place of the ids."""
     return pack(docs, path, id_col, text_col).drop("ids")

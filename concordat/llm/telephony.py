@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.stage import small_batches
+from concordat.llm.stage import materialise, small_batches
 from concordat.llm.text import buffers
 
 RATE = 8000
@@ -156,17 +157,23 @@ def _half_band() -> np.ndarray:
 TAPS = _half_band()
 
 
-def resample_double(pcm: np.ndarray) -> np.ndarray:
-    """16-bit PCM at twice the rate: each sample, then the filtered value half-way to the next; edges see silence."""
+def resample_double(pcm: np.ndarray, off: np.ndarray | None = None) -> np.ndarray:
+    """16-bit PCM at twice the rate: each sample, then the filtered value half-way to the next; edges see silence.
+
+    With off, the n + 1 offsets of n signals in pcm, all are filtered at once and none hears another.
+    """
+    off = np.array([0, len(pcm)]) if off is None else off
     half = len(TAPS) // 2
-    wide = np.zeros(len(pcm) + 2 * half, np.int32)
-    wide[half : half + len(pcm)] = pcm
-    between = np.full(len(pcm), 1 << 14, np.int32)
+    at = np.arange(len(pcm)) + 2 * half * np.repeat(np.arange(len(off) - 1), np.diff(off))
+    wide = np.zeros(len(pcm) + 2 * half * (len(off) - 1) + 1, np.int32)
+    wide[half + at] = pcm
+    n = len(wide) - 2 * half
+    between = np.full(max(n, 0), 1 << 14, np.int32)
     for j, tap in enumerate(TAPS.tolist()):
-        between += wide[j + 1 : j + 1 + len(pcm)] * tap
+        between += wide[j + 1 : j + 1 + n] * tap
     out = np.empty(2 * len(pcm), np.int16)
     out[0::2] = pcm
-    out[1::2] = np.clip(between >> 15, -32768, 32767)
+    out[1::2] = np.clip(between[at] >> 15, -32768, 32767)
     return out
 
 
@@ -195,43 +202,70 @@ def store_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(store, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def describe(pcm: np.ndarray) -> str:
-    """Level, peak and crossings of zero, and the CRC-32 of the samples."""
-    wide = pcm.astype(np.float32)
-    level = int(np.sqrt(float(np.dot(wide, wide)) / max(len(pcm), 1)))
-    return f"{level}:{int(np.abs(pcm.astype(np.int32)).max(initial=0))}:{int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))}:{zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+def describe(pcm: np.ndarray, off: np.ndarray | None = None) -> list[str]:
+    """For each signal its level, peak and crossings of zero, in integers, and the CRC-32 of its samples. off: the
+    n + 1 offsets of n signals that are not empty."""
+    off = np.array([0, len(pcm)]) if off is None else off
+    start, n = off[:-1], np.diff(off)
+    wide = pcm.astype(np.int64)
+    squares, peak = np.add.reduceat(wide * wide, start), np.maximum.reduceat(np.abs(wide), start)
+    turns = np.zeros(len(pcm), np.int64)
+    turns[1:] = (pcm[1:] < 0) != (pcm[:-1] < 0)
+    turns[start] = 0
+    turns = np.add.reduceat(turns, start)
+    data = memoryview(np.ascontiguousarray(pcm.astype("<i2"))).cast("B")
+    rows = zip(squares.tolist(), n.tolist(), peak.tolist(), turns.tolist(), start.tolist())
+    return [f"{math.isqrt(s // k)}:{p}:{t}:{zlib.crc32(data[2 * a : 2 * (a + k)]):08x}" for s, k, p, t, a in rows]
 
 
 def decode_media(media: DataFrame, keep_pcm: bool = True) -> DataFrame:
     """Read media files back: doc_id, n_bytes, payload figures, features and, with keep_pcm, the 16 kHz PCM.
 
     The feature describes the samples as the file's codec expands them, the same bytes read as A-law and as ADPCM
-    blocks, and the PCM at twice the rate.
+    blocks, and the PCM at twice the rate. The files of a batch are expanded together: codes by look-up tables, ADPCM
+    step by step along the blocks of all files.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            for value in batch.column(2):
-                stored = value.as_buffer().to_pybytes()
-                kind, block, data = read_wav(stored)
-                raw = np.frombuffer(data, dtype=np.uint8)
-                pcm = samples(kind, block, data)
-                wide = resample_double(pcm)
-                feature = "|".join((describe(pcm), describe(A[raw]), describe(adpcm_decode(raw).ravel()), describe(wide)))
-                row = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, wide.astype("<i2").tobytes() if keep_pcm else None)
-                for column, x in zip(columns, row):
-                    column.append(x)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm16k"]
-            out = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], ["doc_id", "n_bytes", *names])
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                stored = [x.as_buffer().to_pybytes() for x in part.column(2)]
+                files = [read_wav(x) for x in stored]
+                data = [x for _, _, x in files]
+                raw = np.frombuffer(b"".join(data), np.uint8)
+                off = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+                blocks = adpcm_decode(raw)
+                if {kind for kind, _, _ in files} == {MU_LAW}:
+                    pcm, cuts = MU[raw], off
+                else:
+                    own = [samples(*x) for x in files]
+                    pcm, cuts = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+                wide = resample_double(pcm, cuts)
+                feature = ["|".join(x) for x in zip(describe(pcm, cuts), describe(A[raw], off), describe(blocks.ravel(), off // BLOCK * blocks.shape[1]), describe(wide, 2 * cuts))]
+                kept = [wide[2 * a : 2 * b].astype("<i2").tobytes() if keep_pcm else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                columns = (
+                    pa.array([len(x) for x in data], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in data]),
+                    pa.array([zlib.crc32(x[-32:]) for x in data], pa.int64()),
+                    pa.array([len(x) for x in stored], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in stored]),
+                    pa.array(feature),
+                    pa.array(kept, pa.binary()),
+                )
+                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm16k"]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "n_bytes", *names])
 
     kind = media.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm16k binary"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(decode, fields)
 
 
+def write_pcm(media: DataFrame, path: str) -> None:
+    """Decode media files and store their resampled PCM, with the figures, as a Parquet table."""
+    decode_media(media).write.option("compression", "zstd").parquet(path)
+
+
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Store and read back every text of docs; the figures without the samples."""
-    return decode_media(store_text(docs), keep_pcm=False).drop("pcm16k")
+    """Store every text of docs as a media file in the shared folder, read the files back and describe them."""
+    return decode_media(materialise(store_text(docs), "media"), keep_pcm=False).drop("pcm16k")

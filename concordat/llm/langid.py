@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from concordat.llm.stage import small_batches
 from concordat.llm.text import buffers
 
-#: Bounds of the training sample: documents, windows a document and characters a window.
-FIT_DOCUMENTS, FIT_WINDOWS, FIT_CHARS = 2000, 3, 80
+#: The bound of the training sample in documents, whose whole texts are learned from, and the bytes of a window.
+FIT_DOCUMENTS, FIT_BYTES = 480, 80
 HIDDEN = 8
 #: Texts are labelled in stretches of so many bytes, each from a zero state; so many stretches go through a step at once.
 STRETCH, WIDTH = 128, 1024
@@ -110,7 +110,7 @@ def _back(w: np.ndarray, u: np.ndarray, codes: np.ndarray, kept: list, grad: np.
     return np.stack([np.bincount(flat, weights=x, minlength=256) for x in rows]).astype(np.float32), du
 
 
-def train(windows: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: int = 6, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Network:
+def train(windows: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: int = 4, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Network:
     """Fit a network to labelled windows by Adam; every position of a window is an example of its label."""
     net = Network.fresh(sorted(set(labels)), hidden, seed)
     number = {x: i for i, x in enumerate(net.languages)}
@@ -148,7 +148,11 @@ def train(windows: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs:
 
 
 def document_probabilities(net: Network, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Mean distribution over the bytes of each text; zeros for an empty text. Every byte of every text is labelled."""
+    """Mean distribution over the bytes of each text; zeros for an empty text. Every byte of every text is labelled.
+
+    A text is read in stretches of STRETCH bytes, both directions of each from a zero state, so a byte's label depends
+    on its stretch only, as in training on windows.
+    """
     sizes = np.diff(off)
     each = -(-sizes // STRETCH)
     owner = np.repeat(np.arange(len(sizes)), each)
@@ -192,25 +196,31 @@ def held_out(id_col: str, modulus: int = 3, remainder: int = 1) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = FIT_DOCUMENTS) -> Network | None:
-    """A network trained on windows of so many labelled documents that are not held out; None if there are none.
+    """A network trained on the whole texts of so many labelled documents that are not held out; None if there are
+    none with a letter.
 
     The documents are those with the least hashes of id and text, so the choice does not depend on how the table is
-    stored. Windows of FIT_CHARS characters are spread evenly over a document.
+    stored. A hash threshold from their number leaves about twice as many for the driver to choose from.
     """
-    text = F.col(text_col)
-    start = lambda i: (F.length(text) * i / FIT_WINDOWS).cast("int") + 1
-    rows = (
-        docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text) > 0))
-        .select(F.col(lang_col).alias("lang"), F.array(*(text.substr(start(i), F.lit(FIT_CHARS)) for i in range(FIT_WINDOWS))).alias("windows"), F.xxhash64(id_col, text_col).alias("order"))
-        .orderBy("order", "lang", "windows")
-        .limit(documents)
-        .select("lang", "windows")
-        .collect()
+    rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.shiftrightunsigned(F.xxhash64(id_col, text_col), 1).alias("order")
     )
-    pairs = sorted({(x.encode(), r["lang"]) for r in rows for x in r["windows"] if any(c.isalpha() for c in x)})
+    n, parts = rows.count(), 1 << 20
+    least = lambda some: some.orderBy("order", "lang", "text").limit(documents).collect()
+    found = least(rows.filter(F.shiftright("order", 43) < min(parts, -(-2 * documents * parts // max(n, 1)))))
+    if len(found) < min(n, documents):  # many rows that are alike
+        found = least(rows)
+    pairs = sorted({(x, r["lang"]) for r in found for x in _windows(r["text"])})
     return train([x for x, _ in pairs], [y for _, y in pairs]) if pairs else None
 
 
+def _windows(text: str) -> list[bytes]:
+    """The whole text in windows of FIT_BYTES bytes, without those that have no letter."""
+    data = text.encode()
+    cut = [data[i : i + FIT_BYTES] for i in range(0, len(data), FIT_BYTES)]
+    return [x for x in cut if has_letter(np.frombuffer(x, np.uint8))]
+
+
 def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score: a learned language and its mean probability over all bytes of the text.
 

@@ -6,12 +6,15 @@ a matrix for its place, add up to the vector expected next, whose products with
 normalised over all units. A word outside the frequent ones has its class's probability times its smoothed share of the
 class, so probabilities add up to one over all words and an unknown one for each class.
 
-Counts are taken over all training documents. The network starts from a fit to a bounded sample and is then trained by
-every task on all its training documents; the tasks' weights are averaged by their numbers of tokens.
+Counts are taken over all training documents. Documents are dealt to shards by a hash, as many as their tokens ask for,
+and read in its order. The network starts from a fit to one small shard of whole documents, is then trained on every
+shard, and the shards' weights are averaged by their numbers of tokens; so the scores do not depend on how the table is
+stored.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,17 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordat.llm.bits import CHUNK, chunk_rows, summed_chunks
 from concordat.llm.langid import held_out
 from concordat.llm.stage import materialise, small_batches
 from concordat.llm.text import Words, mix, pieces, words
 
 #: Units: begin (context only), end, frequent words, classes; and the length of vectors.
-FREQUENT, CLASSES, SIZE = 384, 126, 24
+FREQUENT, CLASSES, SIZE = 1536, 510, 24
 UNITS = 2 + FREQUENT + CLASSES
-#: Words whose counts every task holds; the counts of all others are joined.
+#: Words at most whose counts every task holds; the counts of all others are joined.
 HELD = 1 << 16
-#: Noise units and tokens in a step of training, the step size, and the sample of the first fit.
-NOISE, STEP_TOKENS, RATE, FIT_DOCUMENTS, FIT_CHARS = 64, 8192, 0.08, 600, 4000
+#: Noise units and tokens in a step of training, and the step size.
+NOISE, STEP_TOKENS, RATE = 64, 8192, 0.08
+#: Tokens of a shard on average, of the shard that the network starts from, and of what is shuffled at once.
+SHARD_TOKENS, START_TOKENS, BLOCK_TOKENS = 1 << 22, 1 << 18, 1 << 17
+START_EPOCHS = 6
 ADD = 0.1
 #: The end as a word.
 END = np.uint64(0x656E64)
@@ -61,7 +68,7 @@ def count_words(training: DataFrame, text_col: str) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Counts that every task holds. words: HELD most frequent, sorted; n: their counts; unit: of the frequent, else 0."""
+    """Counts that every task holds. words: the most frequent, sorted; n: their counts; unit: of the frequent, else 0."""
 
     words: np.ndarray
     n: np.ndarray
@@ -83,22 +90,35 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Totals over all counts, and the most frequent words: bounded numbers, whatever the corpus."""
+    """Totals over all counts, and the most frequent words: bounded numbers, whatever the corpus.
+
+    Words are ranked in sixteenths of a power of two; those of the first ranks that hold HELD words together go to the
+    driver, so no task sends more than it has of them.
+    """
     end = F.lit(int(END))
+    rank = F.floor(F.log2("n") * 16)
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("word") == end, F.col("n"))), F.lit(0)).alias("e")).first()
-    top = counts.filter(F.col("word") != end).orderBy(F.desc("n"), "word").limit(HELD).toPandas()
-    frequent = top.head(FREQUENT)
-    rest = counts.filter(F.col("word") != end).filter(~F.col("word").isin([int(x) for x in frequent["word"]]) if len(frequent) else F.lit(True))
-    per = rest.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
+    others = counts.filter(F.col("word") != end)
+    room, least = HELD, None
+    for r in others.groupBy(rank.alias("rank")).count().orderBy(F.desc("rank")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["rank"]
+    rows = [] if least is None else others.filter(rank >= least).collect()
+    rows.sort(key=lambda r: (-r["n"], r["word"]))
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
-    n[per["class"]], v[per["class"]] = per["n"], per["v"]
-    hashes = top["word"].to_numpy(np.int64).view(np.uint64)
-    unit = np.zeros(len(top), np.int64)
-    unit[: len(frequent)] = 2 + np.arange(len(frequent))
+    for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        n[r["class"]], v[r["class"]] = r["n"], r["v"]
+    unit, unit_counts = np.zeros(len(rows), np.int64), np.zeros(UNITS)
+    for k, r in enumerate(rows[:FREQUENT]):
+        unit[k], unit_counts[2 + k] = 2 + k, r["n"]
+        n[r["class"]] -= r["n"]
+        v[r["class"]] -= 1
+    hashes = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    unit_counts = np.zeros(UNITS)
-    unit_counts[1], unit_counts[2 : 2 + len(frequent)], unit_counts[2 + FREQUENT :] = totals["e"], frequent["n"], n
-    return Vocabulary(hashes[order], top["n"].to_numpy(np.float64)[order], unit[order], totals["e"], totals["n"], totals["v"], n + ADD * (v + 1), unit_counts)
+    unit_counts[1], unit_counts[2 + FREQUENT :] = totals["e"], n
+    return Vocabulary(hashes[order], np.array([r["n"] for r in rows], np.float64)[order], unit[order], totals["e"], totals["n"], totals["v"], n + ADD * (v + 1), unit_counts)
 
 
 class Model:
@@ -114,7 +134,8 @@ class Model:
             setattr(self, name, rng.normal(0, 0.1, self.SHAPES[name]).astype(np.float32))
         self.c1 += np.eye(SIZE, dtype=np.float32)
         self.c2 += 0.5 * np.eye(SIZE, dtype=np.float32)
-        self.noise = noise
+        self.noise, self.possible = noise, np.ones(UNITS, bool)
+        self.possible[0] = False  # the begin is never predicted
         self.b = np.log(noise).astype(np.float32)
         self.sums = {name: np.full(shape, 1e-3, np.float32) for name, shape in self.SHAPES.items()}
 
@@ -170,18 +191,13 @@ class Model:
                 self.learn(unit[rows], one[rows], two[rows], rng)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By (unit before, unit): its part of the score; by (second before, unit) with biases; by both contexts, in
-        batches of matrix products, the logarithm of the normaliser."""
-        before, second = self.r @ self.c1, self.r @ self.c2
-        bias = self.b.copy()
-        bias[0] = -np.inf  # the begin is never predicted
-        first, other = before @ self.q.T, second @ self.q.T + bias
-        log_z = np.empty((UNITS, UNITS), np.float32)
-        for two in range(UNITS):
-            x = (before + second[two]) @ self.q.T + bias
-            top = x.max(axis=1)
-            log_z[:, two] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-        return first.astype(np.float32), other.astype(np.float32), log_z
+        """By (unit before, unit): its part of the score; by (second before, unit) with biases; by both contexts the
+        logarithm of the normaliser, which as a sum of products is one matrix product of exponentials."""
+        bias = np.where(self.possible, self.b, -np.inf)
+        first, other = (self.r @ self.c1 @ self.q.T).astype(np.float64), (self.r @ self.c2 @ self.q.T + bias).astype(np.float64)
+        top_first, top_other = first.max(axis=1, keepdims=True), other.max(axis=1, keepdims=True)
+        log_z = np.log(np.exp(first - top_first) @ np.exp(other - top_other).T) + top_first + top_other.T
+        return first.astype(np.float32), other.astype(np.float32), log_z.astype(np.float32)
 
 
 def _sequences(v: Vocabulary, raw: np.ndarray, off: np.ndarray) -> tuple:
@@ -201,47 +217,87 @@ def _sequences(v: Vocabulary, raw: np.ndarray, off: np.ndarray) -> tuple:
     return w, held, at, is_word, text, unit, one, two
 
 
-def fit(training: DataFrame, text_col: str, v: Vocabulary) -> Model | None:
-    """A model of the training documents; None if there are none."""
-    if not v.total:
-        return None
-    noise = (v.unit_counts + 1) / (v.unit_counts + 1).sum()
-    model = Model(noise)
-    rows = training.filter(F.length(text_col) > 0).select(F.substring(text_col, 1, FIT_CHARS).alias("text"), F.xxhash64(text_col).alias("order")).orderBy("order", "text").limit(FIT_DOCUMENTS).collect()
-    rng = np.random.default_rng(11)
-    if rows:
-        data = [r["text"].encode() for r in rows]
-        off = np.concatenate([[0], np.cumsum([len(x) for x in data])])
-        *_, unit, one, two = _sequences(v, np.frombuffer(b"".join(data), np.uint8), off)
-        model.learn_all(unit, one, two, rng, epochs=6)
-    shared = training.sparkSession.sparkContext.broadcast((v, model))
+def _contexts(unit: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The units of texts of such sizes, and the two units before each, 0 where the text begins."""
+    place = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return unit, np.where(place > 0, np.roll(unit, 1), 0), np.where(place > 1, np.roll(unit, 2), 0)
+
+
+def _unit_rows(training: DataFrame, text_col: str, shared, shard) -> DataFrame:
+    """shard, h and units (16-bit integers) of each training document; h orders the documents of a shard."""
+    names = ["shard", "h", "units"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            for a, b, raw, off in pieces(batch.column(0)):
+                _, _, _, _, text, unit, _, _ = _sequences(v, raw, off)
+                cuts = 2 * np.searchsorted(text, np.arange(b - a + 1))
+                data = unit.astype("<u2").tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([data[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())], names)
+
+    h = F.xxhash64("doc_id", text_col)
+    return training.select(F.col(text_col).cast("string"), shard(h).alias("shard"), h.alias("h")).mapInArrow(scan, "shard long, h long, units binary")
+
+
+def _train(units: DataFrame, model: Model, epochs: int) -> np.ndarray:
+    """The weights of model after training on each shard on its own, averaged over shards by tokens.
+
+    A shard's tokens are taken in the order of h, in blocks of BLOCK_TOKENS, whatever batches they come in.
+    """
+    shared = units.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, mine = shared.value
-        rng, tokens = np.random.default_rng(13), 0
-        held: list[tuple] = []
+        total, shard, mine, rng = None, None, None, None
+        held: list[np.ndarray] = []
+        waiting = tokens = 0
 
         def flush() -> None:
-            mine.learn_all(*(np.concatenate(x) for x in zip(*held)), rng)
+            nonlocal waiting
+            if held:
+                sizes = np.array([len(x) for x in held])
+                mine.learn_all(*_contexts(np.concatenate(held).astype(np.int64), sizes), rng, epochs)
             held.clear()
+            waiting = 0
+
+        def close() -> None:
+            nonlocal total
+            if mine is not None:
+                flush()
+                sums = np.append(mine.flat().astype(np.float64), 1.0) * tokens
+                total = sums if total is None else total + sums
 
-        mine.b = mine.b.copy()
         for batch in batches:
-            for _, _, raw, off in pieces(batch.column(0)):
-                held.append(_sequences(v, raw, off)[-3:])
-                tokens += len(held[-1][0])
-                if sum(len(x[0]) for x in held) > 1 << 18:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if k != shard or mine is None:
+                    close()
+                    shard, mine, rng, tokens = k, copy.deepcopy(shared.value), np.random.default_rng([13, k]), 0
+                held.append(np.frombuffer(data, "<u2"))
+                waiting, tokens = waiting + len(held[-1]), tokens + len(held[-1])
+                if waiting >= BLOCK_TOKENS:
                     flush()
-        if held:
-            flush()
-        if tokens:
-            values = mine.flat().astype(np.float64) * tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values), pa.array(np.full(len(values), tokens))], ["at", "value", "tokens"])
-
-    found = training.select(F.col(text_col).cast("string")).mapInArrow(learn, "at long, value double, tokens long")
-    averaged = found.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).orderBy("at").toPandas()
-    if len(averaged):
-        model.load(averaged["value"].to_numpy())
+        close()
+        if total is not None:
+            yield from chunk_rows(np.append(total, np.zeros(-len(total) % CHUNK)).view(np.int64), CHUNK)
+
+    size = len(model.flat()) + 1
+    add = lambda a, b: (a.view(np.float64) + b.view(np.float64)).view(np.int64)
+    found = units.repartition("shard").sortWithinPartitions("shard", "h", "units").mapInArrow(learn, "chunk int, counts binary")
+    sums = summed_chunks(found, size + -size % CHUNK, CHUNK, add).view(np.float64)[:size]
+    return sums[:-1] / sums[-1] if sums[-1] else model.flat()
+
+
+def fit(training: DataFrame, text_col: str, v: Vocabulary) -> Model | None:
+    """A model of the training documents; None if there are none."""
+    if not v.total:
+        return None
+    model = Model((v.unit_counts + 1) / (v.unit_counts + 1).sum())
+    model.possible[2 + np.flatnonzero(v.unit_counts[2 : 2 + FREQUENT] == 0)] = False  # places without a word
+    shared = training.sparkSession.sparkContext.broadcast(v)
+    many, shards = max(1, v.total // START_TOKENS), max(1, -(-v.total // SHARD_TOKENS))
+    start = _unit_rows(training.filter(F.pmod(F.xxhash64("doc_id", text_col, F.lit(1)), F.lit(many)) == 0), text_col, shared, lambda h: F.lit(0).cast("long"))
+    model.load(_train(start, model, START_EPOCHS))
+    model.load(_train(_unit_rows(training, text_col, shared, lambda h: F.pmod(h, F.lit(shards))), model, 1))
     return model
 
 

@@ -305,8 +305,12 @@ def test_packing(docs, empty, spark):
 
     path = packing.vocabulary("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     assert packing.pack(empty, path).count() == 0
+    odd = [(50, "a<|endoftext|>B <|ENDOFTEXT|> c."), (51, "<|StartOfText|>"), (52, "no <| special |>"), (53, "<|startoftext|>")]
+    for r in packing.pack(spark.createDataFrame(odd, "doc_id long, text string"), path).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("p")).collect():
+        assert [i for p in r["p"] for i in p["ids"]] == plain.encode(dict(odd)[r["doc_id"]], add_special_tokens=False).ids + [2]
+    repeated = collections.Counter((r["doc_id"], r["start"], tuple(r["ids"])) for r in packing.pack(docs.filter("doc_id in (4, 12)"), path).collect())
+    assert repeated[4, 0, (2,)] == 2 and sum(n for (i, start, _), n in repeated.items() if i == 12 and start == 0) == 2
     found = packing.pack(docs.filter("doc_id is null or doc_id not in (4, 12)"), path).collect()
     by = collections.defaultdict(list)
     for r in found:
@@ -322,6 +326,15 @@ def test_packing(docs, empty, spark):
     assert len({r["sequence_id"] for r in found}) == len(found)
 
 
+def test_buckets_hold_one_length(docs, spark, tmp_path):
+    pieces = packing.pack(docs, packing.vocabulary("word_bpe_49k.json"))
+    packing.write_buckets(pieces, f"{tmp_path}/buckets")
+    for length in (1, 16, 4096):
+        found = packing.read_bucket(spark, f"{tmp_path}/buckets", length)
+        assert "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().toString()
+        assert sorted(r["ids_crc32"] for r in found.collect()) == sorted(r["ids_crc32"] for r in pieces.collect() if r["length"] == length)
+
+
 def test_byte_bpe(docs, empty):
     import tiktoken
 
@@ -332,6 +345,23 @@ def test_byte_bpe(docs, empty):
     assert found == sorted((repr(r[0]), own.encode_ordinary(r[1] or ""), (r[1] or "").encode()) for r in ROWS)
 
 
+def test_decoding_starts_from_ids(monkeypatch):
+    path, pattern = packing.vocabulary("byte_bpe_multi_50k.tiktoken"), packing.split_pattern()
+    codec = bpe.Codec(path, pattern)
+    (ids, _), = codec.encode_decode(["hello there"])
+    codec._units.now["hello"] = np.array([1], "<u4").tobytes()
+    assert codec.encode_decode(["hello there"])[0][1] == [k for k, v in codec.ranks.items() if v == 1][0] + b" there"
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = np.random.default_rng(1)
+    long = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 900))), "ab" * 900, "x" * 1025, "".join(map(chr, rng.integers(97, 123, 1200)))]
+    for longest in (8, 64, 1024):
+        monkeypatch.setattr(bpe, "LONGEST", longest)
+        for text, (ids, back) in zip(long, bpe.Codec(path, pattern).encode_decode(long)):
+            assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(text) and back == text.encode()
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
@@ -350,15 +380,57 @@ def test_token_counts(docs, empty):
     assert token_counts.allocate(first, last, np.array([0, 1]), "most")[0].tolist() == [1, 1]
 
 
-def test_media(docs, empty):
+def plain_adpcm(data):
+    """One block after another, one code at a time."""
+    out = []
+    for at in range(0, len(data), 48):
+        block = data[at : at + 48]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out.append(value)
+        for byte in block[4:]:
+            for code in (byte & 15, byte >> 4):
+                step = int(telephony.STEPS[index])
+                change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - change if code & 8 else value + change))
+                index = max(0, min(88, index + telephony.INDEX_CHANGE[code & 7]))
+                out.append(value)
+    return out
+
+
+def plain_description(pcm):
+    data = np.array(pcm, "<i2").tobytes()
+    turns = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+    return f"{math.isqrt(sum(x * x for x in pcm) // len(pcm))}:{max(map(abs, pcm))}:{turns}:{zlib.crc32(data):08x}"
+
+
+def plain_double(pcm):
+    taps, out = telephony.TAPS.tolist(), []
+    for i, x in enumerate(pcm):
+        around = [pcm[i + j - 3] if 0 <= i + j - 3 < len(pcm) else 0 for j in range(8)]
+        out += [x, max(-32768, min(32767, ((1 << 14) + sum(t * a for t, a in zip(taps, around))) >> 15))]
+    return out
+
+
+def test_media(docs, empty, spark, tmp_path):
     assert telephony.media_digest(empty).count() == 0
-    for r in telephony.decode_media(telephony.store_text(docs)).collect():
-        text = [x[1] or "" for x in ROWS if x[0] == r["doc_id"]][0].encode()
-        if r["doc_id"] == 12:
-            continue
+    texts = collections.Counter((r[1] or "").encode() for r in ROWS)
+    found = telephony.decode_media(telephony.store_text(docs)).collect()
+    assert len(found) == len(ROWS)
+    for text in texts:
         data = text + b"\xff" * (-len(text) % 576 or (576 if not text else 0))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
-        assert len(r["pcm16k"]) == 4 * len(data)
+        mine = [r for r in found if r["payload_sha256"] == hashlib.sha256(data).hexdigest()]
+        assert len(mine) == texts[text]
+        r = mine[0]
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(text), len(data), zlib.crc32(data[-32:]))
+        if len(data) < 4000:
+            pcm = telephony.MU[list(data)].tolist()
+            assert r["feature"] == "|".join(map(plain_description, (pcm, telephony.A[list(data)].tolist(), plain_adpcm(data), plain_double(pcm))))
+            assert bytes(r["pcm16k"]) == np.array(plain_double(pcm), "<i2").tobytes()
+    telephony.write_pcm(telephony.store_text(docs), f"{tmp_path}/pcm")
+    stored = sorted(bytes(r["pcm16k"]) for r in spark.read.parquet(f"{tmp_path}/pcm").collect())
+    assert stored == sorted(bytes(r["pcm16k"]) for r in found)
+    digest = sorted(tuple(r) for r in telephony.media_digest(docs.filter("doc_id is not null")).collect())
+    assert digest == sorted(tuple(r)[:-1] for r in found if r["doc_id"] is not None)
 
 
 def test_codecs():
@@ -430,6 +502,50 @@ def test_lm_is_normalised():
         assert abs(np.exp(first[one] + other[two] - log_z[one, two]).sum() - 1) < 1e-4
 
 
+def brute_lm_scores(rows, v, model):
+    """log10 probabilities of texts, word by word, each normalised over all units by itself."""
+    counts = {int(h): n for h, n in zip(v.words.tolist(), v.n.tolist())}
+    unit_of = {int(h): int(u) for h, u in zip(v.words.tolist(), v.unit.tolist()) if u}
+    out = []
+    for text in rows:
+        w = lm.words(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
+        kinds, score, before = lm._classes(w), 0.0, (0, 0)
+        for h, kind in [*zip(w.hash.tolist(), kinds.tolist()), (None, None)]:
+            unit = 1 if h is None else unit_of.get(h, 2 + lm.FREQUENT + kind)
+            x = (model.r[before[0]] @ model.c1 + model.r[before[1]] @ model.c2).astype(float) @ model.q.T.astype(float) + np.where(model.possible, model.b, -np.inf)
+            score += (x[unit] - np.log(np.exp(x).sum())) / np.log(10)
+            if unit >= 2 + lm.FREQUENT:
+                score += np.log10((counts.get(h, 0) + 0.1) / v.class_scale[kind])
+            before = (unit, before[0])
+        out.append(score)
+    return out
+
+
+def test_lm_scores_equal_brute_force_however_the_table_is_stored(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(vocabulary[int(x)] for x in np.minimum(59, rng.exponential(12, rng.integers(0, 90))))) for k in range(120)]
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1000)
+    monkeypatch.setattr(lm, "START_TOKENS", 700)
+    kept = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda t, c, v: kept.append((v, fit(t, c, v))) or kept[-1][1])
+    found = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found.append({r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()})
+    assert all(abs(found[0][k] - found[1][k]) < 1e-6 for k, _ in rows)
+    want = brute_lm_scores([t for _, t in rows], *kept[0])
+    assert np.allclose([found[0][k] for k, _ in rows], want, rtol=1e-4, atol=1e-3)
+
+
+def test_lm_learns_what_follows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{(s + i * i) % 40}" for i in range(60))) for k, s in enumerate(rng.integers(0, 40, 400).tolist())]
+    found = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").collect()
+    assert sum(r["score"] - r["base_score"] for r in found) > 0.1 * sum(r["n_tokens"] for r in found)
+
+
 def test_warc(spark):
     schema = "page_id long, url string, html string, text string, row long"
     assert warc.read_records(warc.write_bundles(spark.createDataFrame([], schema))).count() == 0

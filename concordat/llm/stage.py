@@ -17,9 +17,11 @@ _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; where that is unset a folder of this machine, in a local session only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="concordat-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -1,7 +1,8 @@
 """A corpus pipeline: language identification, exact and near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what one returns is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents, whatever other columns there are and however
+they are named. An empty table gives an empty table in every stage; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -17,14 +18,23 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a recognised language; lang keeps its given value."""
+    """Keeps documents in a recognised language; lang keeps its given value.
+
+    Null and empty texts and those without letters are in none and go. Each row is judged by its text alone, so rows
+    that share an id or a text do no harm. Where no document has a label nothing can be learned, and all stay.
+    """
     net = langid.fit(docs)
+    if net is None:
+        return docs
     sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
     return with_plain_names(docs, lambda d, at: langid.identify(d, net, at["text"]).filter(sure))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of equal texts."""
+    """Keeps the row with the largest doc_id of equal texts, a null id being smaller than any.
+
+    A null text equals an empty one. Of rows equal in text and id exactly one stays.
+    """
     return exact.exact_dedup(docs)
 
 
@@ -32,7 +42,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of similar documents: one with the least doc_id, a null id ranking last.
 
     Rows are told apart by their place in docs, so that repeated and null ids do no harm; only those numbers are
-    joined back.
+    joined back. Null, empty and blank texts are similar to nothing and stay.
     """
 
     def step(d: DataFrame, at: dict[str, str]) -> DataFrame:
@@ -47,7 +57,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document has; n_chars follows, and documents stay."""
+    """Cuts lines and passages that an earlier document has; n_chars follows, and documents stay.
+
+    Documents rank by doc_id, a null id last; rows that share an id rank alike. Null and empty texts stay as they are;
+    a text that has nothing of its own becomes empty.
+    """
 
     def step(d: DataFrame, at: dict[str, str]) -> DataFrame:
         cut = lines.remove_passages(d, at["doc_id"], at["text"])
@@ -60,7 +74,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two lengths with the CRC-32 of their ids."""
+    """Sequences of power-of-two lengths with the CRC-32 of their ids.
+
+    A null or empty text is the end id alone; rows that share an id or a text are packed one by one.
+    """
     return packing.pack_digest(docs, packing.vocabulary("word_bpe_49k.json"))
 
 
@@ -72,7 +89,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The network's decisions and the tokenizer are beyond SQL; tests compare the stages with brute force.
+#: The network's decisions and the tokenizer are beyond SQL; tests/llm/test_pipeline.py compares each stage with a plain
+#: version of its rule on tables with null, empty, long and repeated rows.
 ORACLE_SQL = None
 
 

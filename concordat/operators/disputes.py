@@ -86,10 +86,14 @@ def bloc_classes(parties: DataFrame, members: DataFrame) -> DataFrame:
     return found.select("case_id", kind.alias("kind"))
 
 
-def disaggregated(dyads: DataFrame, member_years: DataFrame, bloc: int) -> DataFrame:
-    """Rows whose first end is the bloc, as one row a member of that year; all others as they are."""
-    expanded = dyads.filter(F.col("a") == bloc).drop("a").join(F.broadcast(member_years.withColumnRenamed("code", "a")), "year")
-    return dyads.filter(F.col("a") != bloc).withColumn("from_bloc", F.lit(0)).unionByName(expanded.withColumn("from_bloc", F.lit(1)).select(*dyads.columns, "from_bloc"))
+def disaggregated(dyads: DataFrame, member_years: DataFrame, bloc: int, end: str = "a") -> DataFrame:
+    """Rows with the bloc at one end, as one row a member of that year; all others as they are."""
+    members = F.broadcast(member_years.groupBy("year").agg(F.collect_list("code").alias("_members")))
+    of_bloc = F.col(end) == bloc
+    rows = dyads.join(members, "year", "left")
+    codes = F.when(of_bloc, F.coalesce("_members", F.array().cast("array<int>"))).otherwise(F.array(end))
+    others = [F.col(c) for c in dyads.columns if c != end]
+    return rows.select(*others, of_bloc.cast("int").alias(f"{end}_from_bloc"), F.explode(codes).alias(end))
 
 
 def two_digit_date(text: str, pivot: int = 2068) -> Column:

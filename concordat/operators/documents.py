@@ -139,3 +139,18 @@ def chunks(docs: DataFrame, parent: tuple[int, int] = (6000, 800), child: tuple[
             yield pd.DataFrame(rows, columns=["doc_id", "parent_no", "child_no", "start", "end", "chunk"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, parent_no int, child_no int, start int, end int, chunk string")
+
+
+def problems(cases: DataFrame) -> DataFrame:
+    """case_id and problem, a row for each of the five classes of missing or contradictory data that a case has."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")).isin("", "nan")
+    filled = lambda c: ~F.trim(F.coalesce(F.col(c), F.lit(""))).isin("", "nan")
+    rules = {
+        "empty_product_descriptions": empty("products"),
+        "empty_hs_sections": empty("sections"),
+        "empty_title_hs": empty("title_sections"),
+        "mutual_exclusivity_violation": filled("products") == filled("policy"),
+        "failed_severity": F.col("severity").isNull(),
+    }
+    found = F.filter(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())), lambda x: x.isNotNull())
+    return cases.select("case_id", F.explode(found).alias("problem"))

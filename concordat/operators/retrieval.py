@@ -21,19 +21,22 @@ def term_counts(docs: DataFrame, key: str, group: str, text: str = "text") -> Da
     return cut.select(group, key, "length", F.explode("terms").alias("term")).groupBy(group, key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, group: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str, group: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """query_id, group, key, score of documents that share a term with a query, by Okapi BM25 within each group.
 
-    Only postings of the queries' terms are kept; lengths and sizes are aggregates over all documents of a group.
+    A term in more than half of a group's documents has epsilon times the mean weight of the group's terms instead of
+    its negative one, so document frequencies are taken over all terms. Scores keep postings of the queries' terms only.
     """
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     stats = docs.select(group, F.size(words).alias("n")).groupBy(group).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean_length"))
     asked = queries.select("query_id", F.explode(F.array_distinct(words)).alias("term"))
-    postings = term_counts(docs.join(F.broadcast(stats.select(group)), group, "left_semi"), key, group).join(asked.select("term").distinct(), "term", "left_semi")
-    df = postings.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = postings.join(df, [group, "term"]).join(F.broadcast(stats), group).select("term", group, key, weight.alias("weight"))
+    postings = term_counts(docs, key, group)
+    idf = postings.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df")).join(stats, group).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    means = idf.groupBy(group).agg(F.avg("idf").alias("mean_idf"))
+    wanted = asked.select("term").distinct()
+    idf = idf.join(wanted, "term", "left_semi").join(means, group).select(group, "term", "mean_length", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    scored = postings.join(wanted, "term", "left_semi").join(idf, [group, "term"]).select("term", group, key, weight.alias("weight"))
     return scored.join(asked, "term").groupBy("query_id", group, key).agg(F.round(F.sum("weight"), 6).alias("score"))
 
 

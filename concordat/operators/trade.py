@@ -132,7 +132,7 @@ def inherited_agreements(agreements: DataFrame, member_years: DataFrame, bloc: i
     """For each partner and year the deepest agreement of any member with it, as the bloc's."""
     ways = agreements.select("year", "a", "b", "label", "depth_index").unionByName(agreements.select("year", F.col("b").alias("a"), F.col("a").alias("b"), "label", "depth_index"))
     ever = member_years.select("code").distinct()
-    from_members = ways.join(F.broadcast(ever.withColumnRenamed("code", "a")), "a")
+    from_members = ways.filter("label = 1").join(F.broadcast(ever.withColumnRenamed("code", "a")), "a")
     w = Window.partitionBy("b", "year").orderBy(F.col("depth_index").desc_nulls_last(), F.col("label").desc(), F.col("a"))
     best = from_members.withColumn("n", F.row_number().over(w)).filter("n = 1")
     return best.select(F.lit(bloc).alias("bloc"), F.col("b").alias("partner"), "year", "label", "depth_index", F.col("a").alias("from_member"))

@@ -254,13 +254,13 @@ def win04_locf_nocb(s, d):
 
 
 @query(
-    """SELECT code, year, CASE WHEN idealpoint IS NULL AND year IN (1997, 1999) THEN ROUND((MAX(idealpoint) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)
+    """SELECT code, year, CASE WHEN idealpoint IS NULL AND year = 1995 THEN MAX(idealpoint) OVER (w RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) WHEN idealpoint IS NULL AND year IN (1997, 1999, 2001) THEN ROUND((MAX(idealpoint) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)
        + MAX(idealpoint) OVER (w RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING)) / 2, 6) ELSE idealpoint END AS idealpoint FROM v_node WINDOW w AS (PARTITION BY code ORDER BY year)"""
 )
 def win06_interpolate(s, d):
     near = lambda k: frames.gap_lag("idealpoint", ["code"], "year", k)
     mean = F.round((near(1) + near(-1)) / 2, 6)
-    return table(s, d, "v_node").select("code", "year", F.when(F.col("idealpoint").isNull() & F.col("year").isin(1997, 1999), mean).otherwise(F.col("idealpoint")).alias("idealpoint"))
+    return table(s, d, "v_node").select("code", "year", F.when(F.col("idealpoint").isNull() & (F.col("year") == 1995), near(-1)).when(F.col("idealpoint").isNull() & F.col("year").isin(1997, 1999, 2001), mean).otherwise(F.col("idealpoint")).alias("idealpoint"))
 
 
 def _bloc_nodes(s, d):
@@ -277,9 +277,18 @@ def agg12_gdp_weighted_bloc(s, d):
     return _bloc_nodes(s, d).groupBy("year").agg(frames.weighted_mean("idealpoint", "gdp").alias("idealpoint"))
 
 
-@query(_weighted("pop"), MEMBERS)
+@query(
+    """, m AS (SELECT code, year, idealpoint, CASE WHEN code % 4 = 1 THEN NULL ELSE CAST(pop AS DOUBLE) END AS pop FROM v_node JOIN member_years USING (code, year)),
+       w AS (SELECT *, COALESCE(pop, MEDIAN(pop) OVER (PARTITION BY year)) AS weight FROM m)
+       SELECT year, ROUND(SUM(CASE WHEN idealpoint IS NOT NULL THEN idealpoint * weight END) / SUM(CASE WHEN idealpoint IS NOT NULL THEN weight END), 6) AS idealpoint FROM w GROUP BY year""",
+    MEMBERS,
+)
 def agg13_pop_weighted_bloc(s, d):
-    return _bloc_nodes(s, d).groupBy("year").agg(frames.weighted_mean("idealpoint", "pop").alias("idealpoint"))
+    """A missing weight is the median of the year's known weights; weights are renormalised over known values."""
+    nodes = _bloc_nodes(s, d).withColumn("pop", F.when(F.col("code") % 4 != 1, F.col("pop").cast("double")))
+    median = F.broadcast(nodes.groupBy("year").agg(F.median("pop").alias("median")))
+    filled = nodes.join(median, "year").withColumn("weight", F.coalesce("pop", "median"))
+    return filled.groupBy("year").agg(frames.weighted_mean("idealpoint", "weight").alias("idealpoint"))
 
 
 @query("SELECT code, year, idealpoint FROM v_node WHERE code NOT IN (SELECT code FROM v_node WHERE gdp IS NULL)")
@@ -291,27 +300,32 @@ def flt10_complete_entities(s, d):
     """SELECT 999 AS bloc, b AS partner, year, label, depth_index, a AS from_member FROM (
          SELECT w.*, ROW_NUMBER() OVER (PARTITION BY b, year ORDER BY depth_index DESC NULLS LAST, label DESC, a) AS n
          FROM (SELECT year, a, b, label, depth_index FROM v_pta UNION ALL SELECT year, b, a, label, depth_index FROM v_pta) w
-         WHERE a IN (SELECT code FROM member_years)) WHERE n = 1""",
+         WHERE label = 1 AND a IN (SELECT code FROM member_years)) WHERE n = 1""",
     MEMBERS,
 )
 def jon26_bloc_agreement_inheritance(s, d):
     return trade.inherited_agreements(table(s, d, "v_pta"), _member_years(s, d))
 
 
-BLOC_ROLES = "bloc_roles AS (SELECT case_id, CASE WHEN a IN (SELECT code FROM v_bloc_member) THEN 999 ELSE a END AS a, b, relation, year FROM scored)"
+BLOC_ROLES = """bloc_roles AS (SELECT case_id, CASE WHEN a IN (SELECT code FROM v_bloc_member) THEN 999 ELSE a END AS a,
+    CASE WHEN b IN (SELECT code FROM v_bloc_member) THEN 999 ELSE b END AS b, relation, year FROM scored)"""
 
 
 @query(
-    """SELECT case_id, a, b, relation, year, 0 AS from_bloc FROM bloc_roles WHERE a <> 999
-       UNION ALL SELECT case_id, code, b, relation, r.year, 1 FROM bloc_roles r JOIN member_years m ON m.year = r.year WHERE a = 999""",
+    """, one AS (SELECT case_id, CASE WHEN a = 999 THEN m.code ELSE a END AS a, b, relation, r.year, CASE WHEN a = 999 THEN 1 ELSE 0 END AS a_from_bloc FROM bloc_roles r LEFT JOIN member_years m ON a = 999 AND m.year = r.year)
+       SELECT case_id, a, CASE WHEN b = 999 THEN m.code ELSE b END AS b, relation, o.year, a_from_bloc, CASE WHEN b = 999 THEN 1 ELSE 0 END AS b_from_bloc FROM one o LEFT JOIN member_years m ON b = 999 AND m.year = o.year
+       WHERE a IS NOT NULL AND (b <> 999 OR m.code IS NOT NULL)""",
     ROLES,
     BLOC_ROLES,
     MEMBERS,
 )
 def jon19_bloc_disaggregation(s, d):
-    codes = F.broadcast(table(s, d, "v_bloc_member").select(F.col("code").alias("a"), F.lit(True).alias("m")))
-    rows = _scored(s, d).join(codes, "a", "left").select("case_id", F.when(F.col("m"), F.lit(999)).otherwise(F.col("a")).alias("a"), "b", "relation", "year")
-    return disputes.disaggregated(rows, _member_years(s, d), 999)
+    members = [r["code"] for r in table(s, d, "v_bloc_member").select("code").collect()]  # a dimension of some members
+    bloc = lambda c: F.when(F.col(c).isin(members), F.lit(999)).otherwise(F.col(c)).alias(c)
+    rows = _scored(s, d).select("case_id", bloc("a"), bloc("b"), "relation", "year")
+    for end in ("a", "b"):
+        rows = disputes.disaggregated(rows, _member_years(s, d), 999, end)
+    return rows
 
 
 @query(
@@ -361,13 +375,15 @@ def grf04_conflict_density(s, d):
 
 
 @query(
-    """, ends AS (SELECT year, x AS v, sign FROM signed UNION ALL SELECT year, y, sign FROM signed), n AS (SELECT year, COUNT(DISTINCT v) - 1 AS others FROM ends GROUP BY year)
-       SELECT year, v, ROUND(COUNT(*) / others::DOUBLE, 6) AS degree, ROUND(COUNT(*) FILTER (sign > 0) / others::DOUBLE, 6) AS positive_degree,
-              ROUND(COUNT(*) FILTER (sign < 0) / others::DOUBLE, 6) AS negative_degree FROM ends JOIN n USING (year) GROUP BY year, v, others""",
-    SIGNED,
+    """, ends AS (SELECT year, a AS v, relation FROM scored WHERE a <> b UNION ALL SELECT year, b, relation FROM scored WHERE a <> b), n AS (SELECT year, COUNT(DISTINCT v) - 1 AS others FROM ends GROUP BY year)
+       SELECT year, v, ROUND(COUNT(*) / others::DOUBLE, 6) AS degree, ROUND(COUNT(*) FILTER (relation <> 'C-R') / others::DOUBLE, 6) AS positive_degree,
+              ROUND(COUNT(*) FILTER (relation = 'C-R') / others::DOUBLE, 6) AS negative_degree FROM ends JOIN n USING (year) GROUP BY year, v, others""",
+    ROLES,
 )
 def grf05_signed_degree(s, d):
-    return network.degree_centrality(agg10_signed_edges(s, d))
+    """Each edge counts, and a third party's with a respondent is positive here, though it is negative among signs."""
+    edges = _scored(s, d).filter("a <> b").select("year", F.col("a").alias("x"), F.col("b").alias("y"), F.when(F.col("relation") == "C-R", -1).otherwise(1).alias("sign"))
+    return network.degree_centrality(edges)
 
 
 @query(
@@ -470,9 +486,10 @@ def doc24_chunks(s, d):
 BM25 = """terms AS (SELECT source, doc_id, term, COUNT(*) AS tf FROM (SELECT source, doc_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS term FROM documents) GROUP BY ALL),
     lengths AS (SELECT source, doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents),
     sizes AS (SELECT source, COUNT(*) AS n_docs, AVG(n) AS mean_length FROM lengths GROUP BY source),
-    df AS (SELECT source, term, COUNT(*) AS df FROM terms GROUP BY ALL),
+    raw AS (SELECT source, term, ln(n_docs - COUNT(*) + 0.5) - ln(COUNT(*) + 0.5) AS idf FROM terms JOIN sizes USING (source) GROUP BY source, term, n_docs),
+    df AS (SELECT source, term, CASE WHEN idf < 0 THEN 0.25 * AVG(idf) OVER (PARTITION BY source) ELSE idf END AS idf FROM raw),
     asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS term FROM benchmark),
-    scores AS (SELECT query_id, source, doc_id, ROUND(SUM(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean_length))), 6) AS score
+    scores AS (SELECT query_id, source, doc_id, ROUND(SUM(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean_length))), 6) AS score
                FROM asked JOIN terms USING (term) JOIN df USING (source, term) JOIN sizes USING (source) JOIN lengths USING (source, doc_id) GROUP BY ALL)"""
 
 
@@ -487,11 +504,11 @@ def ret04_bm25_topk(s, d):
     """SELECT query_id, vec_id, cosine, rank FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INT) AS rank FROM (
          SELECT q.vec_id AS query_id, e.vec_id, ROUND(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])
            / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS cosine
-         FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= 10"""
+         FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= 10"""
 )
 def ret03_knn(s, d):
     vectors = table(s, d, "embeddings")
-    return retrieval.cosine_top_k(vectors, vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
+    return retrieval.cosine_top_k(vectors, vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
 
 
 @query(
@@ -521,13 +538,39 @@ def win09_occurrence(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", "role", (F.row_number().over(w.orderBy("turn", "text")) - 1).alias("occurrence"), F.count(F.lit(1)).over(w).alias("total"))
 
 
-@query("SELECT doc_id, 'empty_text' AS problem FROM documents WHERE trim(coalesce(text, '')) IN ('', 'nan') UNION ALL SELECT doc_id, 'length' FROM documents WHERE n_chars <> length(text) UNION ALL SELECT l.doc_id, 'orphan_label' FROM labels l ANTI JOIN documents d ON l.doc_id = d.doc_id")
+PROBLEMS = """checked AS (SELECT case_id, CASE CAST(case_id % 11 AS INT) WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'nan' ELSE 'steel' END AS products,
+    CASE CAST(case_id % 13 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 'nan' ELSE '15' END AS sections, CASE CAST(case_id % 17 AS INT) WHEN 0 THEN '' ELSE '15' END AS title_sections,
+    CASE CAST(case_id % 7 AS INT) WHEN 0 THEN 'subsidy' WHEN 1 THEN ' nan ' ELSE NULL END AS policy, severity FROM v_case)"""
+_EMPTY = "({0} IS NULL OR {0} IN ('', 'nan'))"
+_FILLED = "(trim(COALESCE({0}, '')) NOT IN ('', 'nan'))"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT case_id, '{name}' AS problem FROM checked WHERE {rule}"
+        for name, rule in {
+            "empty_product_descriptions": _EMPTY.format("products"),
+            "empty_hs_sections": _EMPTY.format("sections"),
+            "empty_title_hs": _EMPTY.format("title_sections"),
+            "mutual_exclusivity_violation": f"{_FILLED.format('products')} = {_FILLED.format('policy')}",
+            "failed_severity": "severity IS NULL",
+        }.items()
+    ),
+    PROBLEMS,
+)
 def doc27_violations(s, d):
-    docs, labels = table(s, d, "documents"), table(s, d, "labels")
-    empty = docs.filter(F.trim(F.coalesce("text", F.lit(""))).isin("", "nan")).select("doc_id", F.lit("empty_text").alias("problem"))
-    length = docs.filter(F.col("n_chars") != F.length("text")).select("doc_id", F.lit("length").alias("problem"))
-    orphan = labels.join(docs.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("orphan_label").alias("problem"))
-    return empty.unionByName(length).unionByName(orphan)
+    """Cases by the five classes of problems, from columns that hold planted ones; one pass over the cases."""
+    pick = lambda n, odd, other: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in odd.items() for x in kv)), (F.col("case_id") % n).cast("int")), F.lit(other))
+    null = lambda n, at, c: F.when(F.col("case_id") % n == at, F.lit(None)).otherwise(c)
+    rows = table(s, d, "v_case").select(
+        "case_id",
+        null(11, 0, pick(11, {1: "", 2: "nan"}, "steel")).alias("products"),
+        null(13, 0, pick(13, {1: "nan"}, "15")).alias("sections"),
+        pick(17, {0: ""}, "15").alias("title_sections"),
+        F.when(F.col("case_id") % 7 == 0, "subsidy").when(F.col("case_id") % 7 == 1, " nan ").alias("policy"),
+        "severity",
+    )
+    return documents.problems(rows)
 
 
 @query("SELECT year, COUNT(*) AS n, ROUND(COUNT(severity) / COUNT(*)::DOUBLE, 6) AS known FROM v_case GROUP BY year")

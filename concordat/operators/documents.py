@@ -9,7 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that mark French and Spanish lines.
-FOREIGN_WORDS = ("de", "la", "le", "les", "des", "du", "et", "en", "el", "los", "las", "del", "y", "que", "un", "une", "una", "por", "pour")
+FRENCH_WORDS = (
+    "le", "la", "les", "des", "du", "une", "un", "qui", "que",
+    "dans", "par", "pour", "avec", "sur", "sont", "cette",
+    "ces", "aux", "ont", "nous", "leur", "pas", "mais", "aussi",
+    "peut", "soit", "tous", "tout", "ses", "elle",
+)
+SPANISH_WORDS = (
+    "el", "los", "las", "del", "una", "un", "que", "por", "para",
+    "con", "como", "esta", "este", "sus", "pero", "sin",
+    "entre", "sobre", "desde", "hasta", "todos", "puede", "cada",
+)
+FOREIGN_WORDS = tuple(dict.fromkeys(FRENCH_WORDS + SPANISH_WORDS))
+#: A run of letters, digits and underscores, and the runs that are words here.
+RUN, WORD = r"[\p{L}\p{N}_]+", "^[a-zà-ÿ]+$"
 #: Month names in English, French and Spanish.
 MONTHS = {
     "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
@@ -23,7 +36,7 @@ def english_lines(text: str = "text", share: float = 0.2, least: int = 5) -> Col
     marks = F.array(*(F.lit(w) for w in FOREIGN_WORDS))
 
     def keep(line: Column) -> Column:
-        ws = F.filter(F.split(F.lower(line), " "), lambda w: w != "")
+        ws = F.filter(F.regexp_extract_all(F.lower(line), F.lit(RUN), F.lit(0)), lambda w: w.rlike(WORD))
         return (F.size(ws) < least) | (F.size(F.filter(ws, lambda w: F.array_contains(marks, w))) < share * F.size(ws))
 
     return F.array_join(F.filter(F.split(F.col(text), "\n"), keep), "\n")

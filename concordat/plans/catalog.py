@@ -468,11 +468,13 @@ def q02_two_digit_dates(s, d):
 _MARKS = "[" + ", ".join(f"'{w}'" for w in documents.FOREIGN_WORDS) + "]"
 
 
+def _line_words(line):
+    return f"list_filter(regexp_extract_all(lower({line}), '{documents.RUN}'), lambda w: regexp_matches(w, '{documents.WORD}'))"
+
+
 @query(
-    f"""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda line:
-        len(list_filter(string_split(lower(line), ' '), lambda w: w <> '')) < 5 OR
-        len(list_filter(string_split(lower(line), ' '), lambda w: list_contains({_MARKS}, w))) < 0.2 * len(list_filter(string_split(lower(line), ' '), lambda w: w <> ''))), chr(10)) AS text
-        FROM documents"""
+    f"""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda line: len({_line_words('line')}) < 5 OR
+        len(list_filter({_line_words('line')}, lambda w: list_contains({_MARKS}, w))) < 0.2 * len({_line_words('line')})), chr(10)) AS text FROM documents"""
 )
 def doc12_non_english_lines(s, d):
     return table(s, d, "documents").select("doc_id", documents.english_lines().alias("text"))

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from concordat.plans import catalog, files, panel, strings  # noqa: F401  all register their queries
+from concordat.plans import catalog, cleaning, files, panel, strings  # noqa: F401  all register their queries
 from concordat.sources.views import TABLES
 
 SF = "/root/testdata/sf0.001"

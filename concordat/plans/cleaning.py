@@ -63,7 +63,7 @@ def doc10_page_numbers(s, d):
     return _digested(_decorated(s, d), cleaning.blanked(F.col("text"), cleaning.PAGE_LINE))
 
 
-TITLED = "concat(substr(text, 1, 24), chr(10), text, chr(10), upper(substr(text, 1, 24)), ' ', substr(text, 1, 24))"
+TITLED = "concat(substr(text, 1, 24), chr(10), text, chr(10), lower(substr(text, 1, 24)), ' ', substr(text, 1, 24))"
 
 
 @query(_digest(f"CASE WHEN length(ti) >= 10 THEN concat(ti, regexp_replace(substr({TITLED}, length(ti) + 1), concat('(?i)\\Q', replace(ti, ' ', '\\E\\s+\\Q'), '\\E'), '', 'g')) ELSE {TITLED} END").replace("FROM documents)", "FROM (SELECT *, substr(text, 1, 24) AS ti FROM documents))"))

@@ -15,6 +15,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from concordat.llm.text import buffers
 #: step of the query contracts one pair of a word, so a word of n bytes costs it n * n row visits.
 LONGEST = 1024
 #: Units and matches that a worker remembers, twice over, and matches that go into one query.
-UNITS, MATCHES, QUERY_WORDS = 150_000, 400_000, 40_000
+UNITS, MATCHES, QUERY_WORDS = 500_000, 800_000, 150_000
 
 ENCODE = """
 CREATE OR REPLACE TEMP TABLE tokens AS
@@ -51,7 +52,8 @@ WITH RECURSIVE t(step, w, pos, id, np, nid, key) AS (
     LEFT JOIN merges ON changed AND ab = id::BIGINT * 65536 + nid)
 SELECT w, pos, id FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)
 """
-DECODE = "SELECT w, string_agg(hex, '' ORDER BY pos) AS hex FROM given_ids LEFT JOIN vocabulary USING (id) GROUP BY w ORDER BY w"
+#: A token's bytes stand in the vocabulary as characters of the same numbers.
+DECODE = "SELECT w, string_agg(bytes, '' ORDER BY pos) AS bytes FROM given_ids JOIN vocabulary USING (id) GROUP BY w"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -76,14 +78,15 @@ class Codec:
         merges = [(a * 65536 + b, c) for piece, c in self.ranks.items() for k in range(1, len(piece)) if (a := self.ranks.get(piece[:k])) is not None and (b := self.ranks.get(piece[k:])) is not None]
         tables = {
             "merges": {"ab": pa.array([x for x, _ in merges], pa.int64()), "c": pa.array([y for _, y in merges], pa.int64())},
-            "vocabulary": {"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([x.hex() for x in self.ranks])},
+            "vocabulary": {"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array([x.decode("latin-1") for x in self.ranks])},
         }
         for name, columns in tables.items():
             self._db.register("given", pa.table(columns))
             self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self._db.unregister("given")
         self._bytes = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self._known, self._units, self._texts = Memory(MATCHES), Memory(UNITS), Memory(UNITS)
+        self._known, self._runs = Memory(MATCHES), Memory(MATCHES)  # ids of matches, bytes of runs of ids
+        self._units = Memory(UNITS)  # runs of ids of units, one for each match
         self._inner = {piece[i : i + 2] for piece in self.ranks for i in range(len(piece) - 1)}
 
     def _positions(self, words: list[bytes]) -> pa.Table:
@@ -105,15 +108,18 @@ class Codec:
         cuts = (4 * np.searchsorted(found["w"], np.arange(len(words) + 1))).tolist()
         self._known.now.update(zip(words, (data[a:b] for a, b in zip(cuts, cuts[1:]))))
 
-    def _decode(self, runs: list[bytes]) -> None:
+    def _decode(self, runs: set[bytes]) -> None:
         """Remember what runs of ids, as little-endian 32-bit integers, decode to."""
-        n = np.array([len(x) // 4 for x in runs])
-        ids = np.frombuffer(b"".join(runs), "<i4")
-        at = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-        self._db.register("given_ids", pa.table({"w": pa.array(np.repeat(np.arange(len(runs)), n)), "pos": pa.array(at), "id": pa.array(ids)}))
-        self._texts.now.update(dict.fromkeys(runs, b""))
-        self._texts.now.update((runs[w], bytes.fromhex(x or "")) for w, x in self._db.execute(DECODE).fetchall())
-        self._db.unregister("given_ids")
+        todo = list(self._runs.missing(runs))
+        for first in range(0, len(todo), QUERY_WORDS):
+            part = todo[first : first + QUERY_WORDS]
+            n = np.array([len(x) // 4 for x in part])
+            ids = np.frombuffer(b"".join(part), "<i4")
+            at = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+            self._db.register("given_ids", pa.table({"w": pa.array(np.repeat(np.arange(len(part)), n)), "pos": pa.array(at), "id": pa.array(ids)}))
+            self._runs.now.update(dict.fromkeys(part, b""))
+            self._runs.now.update((part[w], x.encode("latin-1")) for w, x in self._db.execute(DECODE).fetchall())
+            self._db.unregister("given_ids")
 
     def _stretches(self, word: bytes) -> list[bytes]:
         """word cut wherever no token has both neighbouring bytes inside: nothing is ever contracted across."""
@@ -172,14 +178,20 @@ class Codec:
         cuts = [self._cut(t) for t in texts]
         split = {u: [m.encode() for m in self._matches(u)] for u in self._units.missing(set().union(*cuts))}
         self._encode(self._known.missing(set().union(*split.values())))
-        known, get = self._known.now, self._units.now.__getitem__
-        self._units.now.update((u, b"".join([known[m] for m in ms])) for u, ms in split.items())
-        ids = [list(map(get, units)) for units in cuts]
-        todo = list(self._texts.missing(set().union(*ids)))
-        for at in range(0, len(todo), QUERY_WORDS):
-            self._decode(todo[at : at + QUERY_WORDS])
-        back = self._texts.now.__getitem__
-        return [(b"".join(runs), b"".join(map(back, runs))) for runs in ids]
+        known, now, get = self._known.now, self._units.now, self._units.now.__getitem__
+        for u, ms in split.items():
+            now[u] = [known[m] for m in ms]
+        self._decode(set(chain.from_iterable(map(get, split))))
+        out = []
+        for units in cuts:
+            runs = list(chain.from_iterable(map(get, units)))
+            try:
+                text = b"".join(map(self._runs.now.__getitem__, runs))
+            except KeyError:  # runs of ids that were decoded long ago, or never
+                self._decode(set(runs))
+                text = b"".join(map(self._runs.now.__getitem__, runs))
+            out.append((b"".join(runs), text))
+        return out
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

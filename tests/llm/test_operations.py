@@ -349,7 +349,7 @@ def test_decoding_starts_from_ids(monkeypatch):
     path, pattern = packing.vocabulary("byte_bpe_multi_50k.tiktoken"), packing.split_pattern()
     codec = bpe.Codec(path, pattern)
     (ids, _), = codec.encode_decode(["hello there"])
-    codec._units.now["hello"] = np.array([1], "<u4").tobytes()
+    codec._units.now["hello"] = [np.array([1], "<u4").tobytes()]
     assert codec.encode_decode(["hello there"])[0][1] == [k for k, v in codec.ranks.items() if v == 1][0] + b" there"
     import tiktoken
 

@@ -22,7 +22,7 @@ from concordat.llm.text import LOWER_BYTES, buffers
 MAX_LENGTH = 4096
 END_ID = 2
 #: Words, and words without punctuation at their end, whose ids a Python worker remembers, twice over.
-WORDS, CORES = 150_000, 250_000
+WORDS, CORES = 500_000, 700_000
 #: Punctuation that is cut from a word's end; a run of it is a token run of its own after a letter or digit.
 TAIL = b".,!?;:$%&*#|"
 
@@ -119,8 +119,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             raw, off = buffers(batch.column(1))
             data, off = raw.tobytes(), off.tolist()
             ends, keys = np.array([end_id], "<u4").tobytes(), batch.column(0)
-            for first in range(0, len(keys), 64):
-                bounds = off[first : first + 65]
+            for first in range(0, len(keys), 256):
+                bounds = off[first : first + 257]
                 ids = [x + ends for x in encode_texts([data[a:b] for a, b in zip(bounds, bounds[1:])], path)]
                 rows, start, length, total, crc = [], [], [], [], []
                 for i, x in enumerate(ids):

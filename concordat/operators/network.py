@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NEGATIVE = ("C-R", "TP-R")
@@ -167,15 +167,100 @@ def louvain(pairs: DataFrame, seed: int = 42) -> DataFrame:
     return pairs.groupBy("year").applyInPandas(one, "year int, v int, community int, modularity double")
 
 
-def change_statistics(arcs: DataFrame, nodes: DataFrame, decay: float = 0.5) -> DataFrame:
-    """Features of every ordered pair and year for a pseudo-likelihood: the tie, its opposite, the tie a year before,
-    and the change in geometrically weighted out- and in-degree if the tie is added."""
+def eigenvector(pairs: DataFrame) -> DataFrame:
+    """Entries of the unit eigenvector of the largest eigenvalue, links unweighted, a year's graph at a time.
+
+    Where several parts of a graph share the largest eigenvalue, the vector is the one nearest to equal entries.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, w = _adjacency(pdf)
+        values, vectors = np.linalg.eigh((w > 0).astype(float))
+        top = vectors[:, values > values[-1] - 1e-9]
+        v = top @ top.sum(axis=0)
+        return pd.DataFrame({"year": pdf["year"].iloc[0], "v": nodes, "eigenvector": np.round(v / np.linalg.norm(v), 6)})
+
+    return pairs.groupBy("year").applyInPandas(one, "year int, v int, eigenvector double")
+
+
+#: Triads by mutual, one-way and null pairs, and a letter where these do not tell them apart.
+TRIADS = ("003", "012", "102", "021D", "021U", "021C", "111D", "111U", "030T", "030C", "201", "120D", "120U", "120C", "210", "300")
+
+
+def triad_type(code: int) -> str:
+    """The type of a triad p, q, r; bits of code are p to q, q to p, p to r, r to p, q to r and r to q, from the lowest."""
+    states = [code & 3, code >> 2 & 3, code >> 4 & 3]
+    m, n = states.count(3), states.count(0)
+    sent, got = [0] * 3, [0] * 3
+    for bit, (a, b) in enumerate(((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1))):
+        sent[a] += code >> bit & 1
+        got[b] += code >> bit & 1
+    name = f"{m}{3 - m - n}{n}"
+    letter = {
+        "021": "D" if 2 in sent else "U" if 2 in got else "C",
+        "111": "D" if 2 in got else "U",
+        "030": "C" if sent == [1, 1, 1] else "T",
+        "120": "D" if 0 in got else "U" if 0 in sent else "C",
+    }
+    return name + letter.get(name, "")
+
+
+def triad_census(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """year, triad and n for all 16 types over the nodes (year, v).
+
+    Only triads with two linked pairs or more are built, from pairs that share a node; how many have one linked pair or
+    none follows from the numbers of pairs and nodes.
+    """
+    way = F.when(F.col("a") < F.col("b"), 1).otherwise(2)
+    pairs = arcs.filter("a <> b").groupBy("year", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.bit_or(way).alias("s"))
+    ends = pairs.select("year", "x", "y", "s", F.explode(F.array("x", "y")).alias("c"))
+    other = ends.select("year", "c", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("s").alias("s2"))
+    wedges = ends.join(other, ["year", "c"]).filter("x < x2 OR (x = x2 AND y < y2)")
+    t = F.array_sort(F.array_distinct(F.array("x", "y", "x2", "y2")))
+    wedges = wedges.select("year", "x", "y", "s", "x2", "y2", "s2", t[0].alias("p"), t[1].alias("q"), t[2].alias("r"))
+    place = lambda x, y, s: F.col(s) * F.when(F.col(y) == F.col("q"), 1).when(F.col(x) == F.col("p"), 4).otherwise(16)
+    code = F.bit_or(place("x", "y", "s").bitwiseOR(place("x2", "y2", "s2")))
+    codes = wedges.groupBy("year", "p", "q", "r").agg(code.alias("code")).groupBy("year", "code").agg(F.count(F.lit(1)).alias("n"))
+
+    types = F.create_map(*(F.lit(x) for c in range(64) for x in (c, triad_type(c))))
+    linked = codes.select("year", types[F.col("code").cast("int")].alias("triad"), "n").groupBy("year", "triad").agg(F.sum("n").alias("n"))
+    kinds = F.substring("triad", 1, 1).cast("int"), F.substring("triad", 2, 1).cast("int")
+    used = linked.groupBy("year").agg(F.sum(kinds[0] * F.col("n")).alias("used_m"), F.sum(kinds[1] * F.col("n")).alias("used_a"), F.sum("n").alias("used"))
+    total = pairs.groupBy("year").agg(F.count_if(F.col("s") == 3).alias("m"), F.count_if(F.col("s") < 3).alias("a"))
+    size = nodes.select("year", "v").distinct().groupBy("year").agg(F.count(F.lit(1)).alias("size"))
+    year = size.join(total, "year", "left").join(used, "year", "left").fillna(0)
+    one_m, one_a = F.col("m") * (F.col("size") - 2) - F.col("used_m"), F.col("a") * (F.col("size") - 2) - F.col("used_a")
+    every = F.expr("size * (size - 1) * (size - 2) div 6")
+    row = lambda name, n: F.struct(F.lit(name).alias("triad"), n.cast("long").alias("n"))
+    rest = [row(name, F.lit(0)) for name in TRIADS[3:]]
+    few = year.select("year", F.inline(F.array(row("003", every - one_m - one_a - F.col("used")), row("012", one_a), row("102", one_m), *rest)))
+    return few.unionByName(linked).groupBy("year", "triad").agg(F.sum("n").alias("n"))
+
+
+def change_statistics(arcs: DataFrame, nodes: DataFrame, decay: float = 0.5, edge_covariates: DataFrame | None = None, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """Features of every ordered pair of a year's nodes for a pseudo-likelihood: the tie, its opposite, the tie and its
+    opposite a year before, whether a tie would keep the pair as it was (1) or change it (-1), and the change in
+    geometrically weighted out- and in-degree if the tie is added.
+
+    Columns of edge_covariates (year, a, b, ...) are taken as they are, 0 where a pair has none. Each attribute of
+    nodes (year, v, ...) gives that of the sender, of the receiver and their absolute difference. Arcs between others
+    than a year's nodes are passed over. Degrees and opposites are windows over the pairs, so arcs are read once.
+    """
     present = arcs.filter("a <> b").select("year", "a", "b").distinct().withColumn("tie", F.lit(1))
-    grid = nodes.select("year", F.col("v").alias("a")).join(nodes.select("year", F.col("v").alias("b")), "year").filter("a <> b")
-    out = grid.join(present, ["year", "a", "b"], "left")
-    out = out.join(present.select("year", F.col("b").alias("a"), F.col("a").alias("b"), F.col("tie").alias("mutual")), ["year", "a", "b"], "left")
-    out = out.join(present.select((F.col("year") + 1).alias("year"), "a", "b", F.col("tie").alias("before")), ["year", "a", "b"], "left").fillna(0)
-    for end, name in (("a", "out"), ("b", "in")):
-        out = out.join(present.groupBy("year", end).agg(F.count(F.lit(1)).alias(f"d_{name}")), ["year", end], "left").fillna(0)
-        out = out.withColumn(f"gw{name}", F.round(F.pow(F.lit(1 - float(np.exp(-decay))), F.col(f"d_{name}") - F.col("tie")), 6))
-    return out.select("year", "a", "b", "tie", "mutual", "before", "gwout", "gwin")
+    end = lambda side: nodes.select("year", F.col("v").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in attributes))
+    out = end("a").join(end("b"), "year").filter("a <> b").join(present, ["year", "a", "b"], "left").fillna(0, ["tie"])
+    both = Window.partitionBy("year", F.least("a", "b"), F.greatest("a", "b"))
+    out = out.withColumn("mutual", (F.sum("tie").over(both) - F.col("tie")).cast("int"))
+    earlier = Window.partitionBy("a", "b").orderBy("year").rangeBetween(-1, -1)
+    out = out.withColumns({name: F.coalesce(F.max(x).over(earlier), F.lit(0)) for name, x in (("before", "tie"), ("delrecip", "mutual"))})
+    for side, name in (("a", "out"), ("b", "in")):
+        degree = F.sum("tie").over(Window.partitionBy("year", side))
+        out = out.withColumn(f"gw{name}", F.round(F.pow(F.lit(1 - float(np.exp(-decay))), degree - F.col("tie")), 6))
+    extra = []
+    for x in attributes:
+        extra += [F.col(f"a_{x}").alias(f"sender_{x}"), F.col(f"b_{x}").alias(f"receiver_{x}"), F.abs(F.col(f"a_{x}") - F.col(f"b_{x}")).alias(f"absdiff_{x}")]
+    if edge_covariates is not None:
+        names = [c for c in edge_covariates.columns if c not in ("year", "a", "b")]
+        out = out.join(edge_covariates, ["year", "a", "b"], "left")
+        extra += [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names]
+    return out.select("year", "a", "b", "tie", "mutual", "before", "delrecip", (2 * F.col("before") - 1).alias("stability"), "gwout", "gwin", *extra)

@@ -419,9 +419,59 @@ def grf08_louvain(s, d):
 
 
 @query()
+def grf07_eigenvector(s, d):
+    return network.eigenvector(_pairs(s, d))
+
+
+CR_ARCS = "arcs AS (SELECT DISTINCT year, a, b FROM scored WHERE relation = 'C-R' AND a <> b)"
+TRIADS = """states AS (
+    SELECT n.year, p.code AS p, q.code AS q, r.code AS r, pq.a IS NOT NULL AS pq, qp.a IS NOT NULL AS qp, pr.a IS NOT NULL AS pr, rp.a IS NOT NULL AS rp, qr.a IS NOT NULL AS qr, rq.a IS NOT NULL AS rq
+    FROM (SELECT DISTINCT year FROM v_node) n JOIN v_node p ON p.year = n.year JOIN v_node q ON q.year = n.year AND p.code < q.code JOIN v_node r ON r.year = n.year AND q.code < r.code
+    """ + " ".join(f"LEFT JOIN arcs {x}{y} ON {x}{y}.year = n.year AND {x}{y}.a = {x}.code AND {x}{y}.b = {y}.code" for x, y in ("pq", "qp", "pr", "rp", "qr", "rq")) + """),
+counted AS (
+    SELECT year, (pq AND qp)::INT + (pr AND rp)::INT + (qr AND rq)::INT AS m, (pq <> qp)::INT + (pr <> rp)::INT + (qr <> rq)::INT AS a,
+           [pq::INT + pr::INT, qp::INT + qr::INT, rp::INT + rq::INT] AS sent, [qp::INT + rp::INT, pq::INT + rq::INT, pr::INT + qr::INT] AS got FROM states),
+typed AS (
+    SELECT year, concat(m, a, 3 - m - a, CASE
+        WHEN m = 0 AND a = 2 THEN CASE WHEN list_max(sent) = 2 THEN 'D' WHEN list_max(got) = 2 THEN 'U' ELSE 'C' END
+        WHEN m = 1 AND a = 1 THEN CASE WHEN list_max(got) = 2 THEN 'D' ELSE 'U' END
+        WHEN a = 3 THEN CASE WHEN list_max(sent) = 1 THEN 'C' ELSE 'T' END
+        WHEN m = 1 AND a = 2 THEN CASE WHEN list_min(got) = 0 THEN 'D' WHEN list_min(sent) = 0 THEN 'U' ELSE 'C' END ELSE '' END) AS triad FROM counted)"""
+
+
+@query(
+    "SELECT y.year, t.triad, COUNT(typed.triad) AS n FROM (SELECT DISTINCT year FROM v_node) y CROSS JOIN (SELECT unnest(["
+    + ", ".join(f"'{x}'" for x in network.TRIADS)
+    + "]) AS triad) t LEFT JOIN typed ON typed.year = y.year AND typed.triad = t.triad GROUP BY ALL",
+    ROLES,
+    CR_ARCS,
+    TRIADS,
+)
+def grf15_triad_census(s, d):
+    rows = _scored(s, d).filter("relation = 'C-R'").select("year", "a", "b")
+    return network.triad_census(rows, table(s, d, "v_node").select("year", F.col("code").alias("v")))
+
+
+@query(
+    """SELECT g.year, g.a, g.b, g.tie, g.mutual, COALESCE(l.tie, 0) AS before, COALESCE(l.mutual, 0) AS delrecip, 2 * COALESCE(l.tie, 0) - 1 AS stability,
+       ROUND(power(1 - exp(-0.5::DOUBLE), (SELECT COUNT(*) FROM arcs x WHERE x.year = g.year AND x.a = g.a) - g.tie), 6) AS gwout,
+       ROUND(power(1 - exp(-0.5::DOUBLE), (SELECT COUNT(*) FROM arcs x WHERE x.year = g.year AND x.b = g.b) - g.tie), 6) AS gwin,
+       g.sender_pop, g.receiver_pop, abs(g.sender_pop - g.receiver_pop) AS absdiff_pop, g.sender_idealpoint, g.receiver_idealpoint, ROUND(abs(g.sender_idealpoint - g.receiver_idealpoint), 6) AS absdiff_idealpoint,
+       COALESCE(e.exports, 0) AS exports, COALESCE(e.n_products, 0) AS n_products
+       FROM grid g LEFT JOIN grid l ON l.year = g.year - 1 AND l.a = g.a AND l.b = g.b LEFT JOIN dyads e ON e.year = g.year AND e.i = g.a AND e.j = g.b""",
+    ROLES,
+    DYADS,
+    CR_ARCS,
+    """grid AS (SELECT x.year, x.code AS a, y.code AS b, CAST(t.a IS NOT NULL AS INT) AS tie, CAST(o.a IS NOT NULL AS INT) AS mutual, x.pop AS sender_pop, y.pop AS receiver_pop,
+       x.idealpoint AS sender_idealpoint, y.idealpoint AS receiver_idealpoint FROM v_node x JOIN v_node y ON x.year = y.year AND x.code <> y.code
+       LEFT JOIN arcs t ON t.year = x.year AND t.a = x.code AND t.b = y.code LEFT JOIN arcs o ON o.year = x.year AND o.a = y.code AND o.b = x.code)""",
+)
 def grf21_change_statistics(s, d):
     rows = _scored(s, d).filter("relation = 'C-R'").select("year", "a", "b")
-    return network.change_statistics(rows, table(s, d, "v_node").select("year", F.col("code").alias("v")))
+    nodes = table(s, d, "v_node").select("year", F.col("code").alias("v"), "pop", "idealpoint")
+    flows = _dyads(s, d).select("year", F.col("i").alias("a"), F.col("j").alias("b"), "exports", "n_products")
+    found = network.change_statistics(rows, nodes, edge_covariates=flows, attributes=("pop", "idealpoint"))
+    return found.withColumn("absdiff_idealpoint", F.round("absdiff_idealpoint", 6))
 
 
 @query("SELECT party, COUNT(*) FILTER (role = 'complainant') AS complainant, COUNT(*) FILTER (role = 'respondent') AS respondent, COUNT(*) FILTER (role = 'third_party') AS third_party, COUNT(*) AS total FROM v_case_party GROUP BY party")

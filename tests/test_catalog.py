@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from concordat.plans import catalog, cleaning, files, panel, strings  # noqa: F401  all register their queries
+from concordat.plans import catalog, cleaning, files, labels, panel, strings  # noqa: F401  all register their queries
 from concordat.sources.views import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +48,34 @@ def test_betweenness_of_a_path(spark):
     assert found == {1: 0.0, 2: 0.666667, 3: 0.666667, 4: 0.0}
 
 
+def test_eigenvector_of_a_star_and_of_two_parts(spark):
+    from concordat.operators import network
+
+    star, parts = [(1, 0, k, 2.0) for k in range(1, 5)], [(2, 1, 2, 1.0), (2, 3, 4, 1.0), (3, 1, 2, 1.0), (3, 2, 3, 1.0), (3, 8, 9, 1.0)]
+    pairs = spark.createDataFrame(star + parts, "year int, x int, y int, w double")
+    found = {(r.year, r.v): r.eigenvector for r in network.eigenvector(pairs).collect()}
+    assert found == {
+        **{(1, k): 0.353553 for k in range(1, 5)}, (1, 0): 0.707107, **{(2, k): 0.5 for k in range(1, 5)},
+        (3, 1): 0.5, (3, 2): 0.707107, (3, 3): 0.5, (3, 8): 0.0, (3, 9): 0.0,
+    }
+
+
+def test_every_triad_has_its_type(spark):
+    from collections import Counter
+
+    from concordat.operators import network
+
+    ways = ((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1))
+    codes = Counter(network.triad_type(c) for c in range(64))
+    assert [codes[x] for x in network.TRIADS] == [1, 6, 3, 3, 3, 6, 6, 6, 6, 2, 3, 3, 3, 6, 6, 1]
+    arcs = spark.createDataFrame([(c, 7 - a, 7 - b) for c in range(64) for bit, (a, b) in enumerate(ways) if c >> bit & 1], "year int, a int, b int")
+    nodes = spark.createDataFrame([(c, v) for c in range(64) for v in (5, 6, 7)], "year int, v int")
+    found = network.triad_census(arcs, nodes).filter("n <> 0").collect()
+    assert {r.year: (r.triad, r.n) for r in found} == {c: (network.triad_type(c), 1) for c in range(64)} and len(found) == 64
+    known = {"021D": ((1, 0), (1, 2)), "021U": ((0, 1), (2, 1)), "111D": ((0, 1), (1, 0), (2, 1)), "111U": ((0, 1), (1, 0), (1, 2)), "120D": ((1, 0), (1, 2), (0, 2), (2, 0)), "120U": ((0, 1), (2, 1), (0, 2), (2, 0))}
+    assert {name: network.triad_type(sum(1 << ways.index(w) for w in arcs)) for name, arcs in known.items()} == {name: name for name in known}
+
+
 def test_chunks_cover_texts():
     from concordat.operators.documents import chunk_spans
 

@@ -5,9 +5,11 @@ All are built-in column expressions; a null input gives what the docstring says
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.functions import text as t
@@ -86,6 +88,10 @@ INSTITUTIONS = (
 )
 
 
+#: Lines of a first page that are no part of a title.
+NO_TITLE = r"(?i)^(WORLD\s+TRADE|ORGANIZATION|ORGANISATION|ORGANIZACIÓN|Original:|Page:)|^((?-i)WT/|G/|S/L/|IP/|\d{1,2}\s+\w+\s+\d{4}|\(\d{2}-\d{4,5}\))"
+
+
 def agreements(codes: Column) -> Column:
     """Distinct agreements of an array of codes in alphabetical order; codes of none are passed over, a null array has none."""
     begins = lambda prefix: F.exists(codes, lambda c: F.startswith(c, F.lit(prefix)))
@@ -114,6 +120,86 @@ def joiner(doc_type: Column, text: Column, first: int = 1500) -> Column:
     return F.when(F.contains(F.lower(doc_type), F.lit("join")), F.coalesce(*(F.nullif(x, F.lit("")) for x in found), F.lit("UNKNOWN")))
 
 
+def case_title(text: Column, first: int = 1500) -> Column:
+    """The title on a first page, empty if it has none: from the first line of capitals with a dash and over ten letters
+    on, all lines of capitals with over five, up to an empty or another line; heading lines in between do not end it."""
+    line = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    capital = lambda x: ((F.upper(x) == x) & (F.lower(x) != x)) | (F.length(F.regexp_replace(x, r"\P{Lu}", "")) > F.length(x) * 0.6)
+
+    def kinds(x: Column, i: Column) -> Column:
+        x = line(x)
+        heading = x.rlike(NO_TITLE)
+        body = ~heading & capital(x) & (F.length(x) > 5)
+        return F.struct(i.alias("i"), x.alias("x"), (body & (F.length(x) > 10) & x.rlike(r"[–\-—]")).alias("opens"), body.alias("body"), ((x == "") | ~(heading | body)).alias("ends"))
+
+    rows = F.transform(F.split(F.substring(text, 1, first), "\n"), kinds)
+    start = F.array_min(F.transform(F.filter(rows, lambda r: r["opens"]), lambda r: r["i"]))
+    after = F.filter(rows, lambda r: r["i"] >= start)
+    end = F.coalesce(F.array_min(F.transform(F.filter(after, lambda r: r["ends"]), lambda r: r["i"])), F.lit(first + 1))
+    return F.coalesce(F.array_join(F.transform(F.filter(after, lambda r: r["body"] & (r["i"] < end)), lambda r: r["x"]), " "), F.lit(""))
+
+
+_RULE, _NUMBERED = re.compile(r"_{3,}$"), re.compile(r"\d{1,3}[\s.)]")
+
+
+def _footnotes_cut(text: str | None) -> str | None:
+    if text is None or "___" not in text:
+        return text
+    kept: list[str] = []
+    blank: list[str] = []
+    block = numbered = False
+    for line in text.split("\n"):
+        bare = line.strip()
+        if block and not bare:
+            blank.append(line)
+            continue
+        if block and _NUMBERED.match(bare):
+            blank, numbered = [], True
+            continue
+        if block and numbered and not blank and not bare[0].isupper():
+            continue
+        kept += blank
+        blank, numbered, block = [], False, _RULE.match(bare) is not None
+        if not block:
+            kept.append(line)
+    return "\n".join(kept + blank)
+
+
+def without_footnotes(text: Column) -> Column:
+    """The text without rules of underscores and the numbered notes below them; a note goes on over lines that do not
+    begin with a capital, and empty lines between notes go too. One pass over the lines, as a note depends on those before.
+    """
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(_footnotes_cut)
+
+    return cut(text)
+
+
+def semantic_names(files: DataFrame) -> DataFrame:
+    """files with a column new_name from case_number, seq, doc_type, variant, variant_number and part_number.
+
+    A variant above the first has its number, parts have two digits, and plain files of a type that a case has several
+    of are numbered from 0 by seq. An empty variant is none; equal seq are numbered in any order.
+    """
+    no_variant = F.coalesce(F.col("variant"), F.lit("")) == ""
+    plain = no_variant & F.col("part_number").isNull()
+    group = Window.partitionBy("case_number", "doc_type", plain)
+    twice = plain & (F.count(F.lit(1)).over(group) > 1)
+    variant = F.concat(F.lit("_"), F.col("variant"), F.when(F.col("variant_number") > 1, F.col("variant_number").cast("string")).otherwise(""))
+    return files.withColumn(
+        "new_name",
+        F.concat(
+            F.format_string("DS%s_SEQ%02d_%s", F.col("case_number").cast("string"), "seq", "doc_type"),
+            F.when(no_variant, "").otherwise(variant),
+            F.when(F.col("part_number").isNull(), "").otherwise(F.format_string("_%02d", "part_number")),
+            F.when(twice, F.format_string("_%02d", F.row_number().over(group.orderBy("seq")) - 1)).otherwise(""),
+            F.lit(".pdf"),
+        ),
+    )
+
+
 def same_party(entity: Column, party: Column, aliases: Mapping[str, str]) -> Column:
     """Whether two names are one by normal form or alias, or one of at least three letters is part of the other."""
     a, b = (t.normal_name(x) for x in (entity, party))

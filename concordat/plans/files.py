@@ -94,3 +94,20 @@ def snk08_resumed_results(s, d):
 def snk14_recomputed(s, d):
     cases = table(s, d, "v_case").select("case_id", "severity")
     return files.recomputed(cases, cases.filter("severity is null"), ["case_id"], cases.withColumn("severity", F.lit(3)))
+
+
+@query("SELECT CAST(n_nationkey AS INT) AS number, length(n_name) + 1 AS bytes, md5(n_name || chr(10)) AS digest FROM nation")
+def src12_numbered_folders(s, d):
+    """A folder for each nation with one text file; the commit's marker beside them belongs to none."""
+    root = files.workspace(s, "folders")
+    table(s, d, "nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(root)
+    found = files.read_folders(s, root, "*.txt", r"=(\d+)/[^/]*$")
+    return found.select("number", F.col("length").alias("bytes"), F.md5("content").alias("digest"))
+
+
+@query("SELECT s_suppkey, ROUND(COALESCE(CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END, 0), 2) AS s_acctbal FROM supplier")
+def snk09_overwritten_input(s, d):
+    path = files.workspace(s, "table")
+    table(s, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("s_acctbal")).write.parquet(path)
+    files.overwrite_in_place(s.read.parquet(path).fillna(0), path)
+    return s.read.parquet(path).select("s_suppkey", F.round("s_acctbal", 2).alias("s_acctbal"))

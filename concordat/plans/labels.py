@@ -105,3 +105,47 @@ def src17_case_metadata(s, d):
     case = F.when(F.col("case_id") % 3 != 0, F.concat(F.lit("case DS"), F.col("case_id").cast("string"))).otherwise("withdrawn")
     cases = table(s, d, "v_case").select(case.alias("case"), F.concat(F.lit("severity "), F.col("severity").cast("string")).alias("summary"), "date_text")
     return labels.with_case_metadata(table(s, d, "documents").select("doc_id"), "doc_id", cases, "case", ["summary", "date_text"])
+
+
+FRONT = """concat(' WORLD  TRADE', chr(10), 'WT/DS', doc_id, '/R', chr(10), '7 March 1999', chr(10), 'Original: English', chr(10), CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN 'BRAZIL – MEASURES ON TYRES' WHEN 1 THEN ' EC - Xy BANANAS AND THE REST '
+    WHEN 2 THEN 'Japan - taxes on drinks' WHEN 3 THEN 'KOREA-TAX' ELSE concat('CANADA — PATENT TERM ', doc_id) END, chr(10), CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '' WHEN 1 THEN concat('Page: 1/9', chr(10), 'AND OTHER  GOODS', chr(10), 'OF IT') WHEN 2 THEN 'Report' ELSE 'RECOURSE BY INDIA' END,
+    chr(10), CASE WHEN doc_id % 2 = 0 THEN 'SECOND - TITLE LINE' ELSE '' END, chr(10), text)"""
+
+
+@query(
+    f"""SELECT doc_id, COALESCE(string_agg(x, ' ' ORDER BY i) FILTER (body AND i >= start AND i < stop), '') AS title FROM (
+       SELECT *, MIN(i) FILTER (i >= start AND (x = '' OR NOT (heading OR body))) OVER (PARTITION BY doc_id) AS first_end, COALESCE(first_end, 9999) AS stop FROM (
+       SELECT *, MIN(i) FILTER (body AND length(x) > 10 AND regexp_matches(x, '[–—-]')) OVER (PARTITION BY doc_id) AS start FROM (
+       SELECT *, NOT heading AND length(x) > 5 AND ((upper(x) = x AND lower(x) <> x) OR length(regexp_replace(x, '\\P{{Lu}}', '', 'g')) > 0.6 * length(x)) AS body FROM (
+       SELECT doc_id, i, x, regexp_matches(x, '(?i)^(WORLD\\s+TRADE|ORGANIZATION|ORGANISATION|ORGANIZACIÓN|Original:|Page:)') OR regexp_matches(x, '^(WT/|G/|S/L/|IP/|\\d{{1,2}}\\s+\\w+\\s+\\d{{4}}|\\(\\d{{2}}-\\d{{4,5}}\\))') AS heading FROM (
+       SELECT doc_id, generate_subscripts(l, 1) AS i, regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g') AS x FROM (SELECT doc_id, string_split(substr({FRONT}, 1, 1500), chr(10)) AS l FROM documents)))))) GROUP BY doc_id"""
+)
+def doc06_case_title(s, d):
+    return table(s, d, "documents").select("doc_id", labels.case_title(F.expr(FRONT)).alias("title"))
+
+
+NOTED = """concat(CASE WHEN doc_id % 3 = 0 THEN concat('____', chr(10)) ELSE '' END, text, chr(10), ' _____ ', chr(10), '1 See it,', chr(10), 'and more', chr(10), chr(10), ' ', chr(10), '22. Ibid.', chr(10), CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'Body goes on' WHEN 1 THEN concat(chr(10), 'body after a gap') WHEN 2 THEN '___'
+    WHEN 3 THEN concat('___ no rule', chr(10), 'A', chr(10), '___', chr(10), '___', chr(10), '7', chr(10), '8 ') ELSE concat(chr(10), chr(10)) END, chr(10), text, CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), '_______', chr(10), '3) end') ELSE '' END)"""
+_RULE = r"[^\S\n]*_{3,}[^\S\n]*"
+_NOTE = r"(?:\n(?:[^\S\n]*\n)*[^\S\n]*\d{1,3}(?:[.)][^\n]*|[^\S\n]+\S[^\n]*)(?:\n[^\S\n]*[^\s\p{Lu}][^\n]*)*)*"
+
+
+@query(f"SELECT doc_id, length(x) AS n, md5(x) AS digest FROM (SELECT doc_id, substr(regexp_replace(concat(chr(10), {NOTED}), '(?:\\n{_RULE}{_NOTE})+(\\n|$)', '\\1', 'g'), 2) AS x FROM documents)")
+def doc11_without_footnotes(s, d):
+    x = table(s, d, "documents").select("doc_id", labels.without_footnotes(F.expr(NOTED)).alias("x"))
+    return x.select("doc_id", F.length("x").cast("long").alias("n"), F.md5("x").alias("digest"))
+
+
+NAMED = """SELECT conv_id AS case_number, CAST(turn * 10 + ascii(role) % 7 AS INT) AS seq, role AS doc_type, CASE CAST((conv_id + turn) % 4 AS INT) WHEN 0 THEN 'Add' WHEN 1 THEN '' END AS variant,
+    CAST(turn AS INT) AS variant_number, CAST(CASE WHEN (conv_id * 3 + turn) % 5 = 0 THEN turn + 1 END AS INT) AS part_number FROM """
+
+
+@query(
+    f"""SELECT case_number, seq, concat('DS', case_number, '_SEQ', lpad(CAST(seq AS VARCHAR), greatest(2, length(CAST(seq AS VARCHAR))), '0'), '_', doc_type, CASE WHEN variant <> '' THEN concat('_', variant, CASE WHEN variant_number > 1 THEN CAST(variant_number AS VARCHAR) ELSE '' END) ELSE '' END,
+       COALESCE(format('_{{:02d}}', part_number), ''), CASE WHEN plain AND n > 1 THEN format('_{{:02d}}', earlier) ELSE '' END, '.pdf') AS new_name
+       FROM (SELECT *, COUNT(*) FILTER (plain) OVER w AS n, COUNT(*) FILTER (plain) OVER (w ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+       FROM (SELECT *, COALESCE(variant, '') = '' AND part_number IS NULL AS plain FROM ({NAMED} (SELECT DISTINCT conv_id, turn, role FROM conversations))) WINDOW w AS (PARTITION BY case_number, doc_type))"""
+)
+def doc18_semantic_names(s, d):
+    turns = table(s, d, "conversations").select("conv_id", "turn", "role").distinct()
+    return labels.semantic_names(s.sql(NAMED + "{turns}", turns=turns)).select("case_number", "seq", "new_name")

@@ -86,3 +86,33 @@ def recomputed(results: DataFrame, problems: DataFrame, key: list[str], again: D
     """results without the keys of problems, and the rows of again for these."""
     keys = problems.select(*key).distinct()
     return results.join(keys, key, "left_anti").unionByName(again.join(keys, key, "left_semi"))
+
+
+def read_folders(spark: SparkSession, root: str, glob: str = "*", number: str = r"(\d+)/[^/]*$") -> DataFrame:
+    """Files of numbered folders below root in the order of folder number and path: number, path, length and content.
+
+    number is the pattern of a path whose first group is the number; files of other folders are passed over.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    folder = F.nullif(F.regexp_extract("path", number, 1), F.lit("")).cast("int")
+    return found.select(folder.alias("number"), "path", "length", "content").filter("number is not null").orderBy("number", "path")
+
+
+def overwrite_in_place(df: DataFrame, path: str) -> None:
+    """Put df in the place of the Parquet table at path, which df may read.
+
+    The new table is written beside the old one and the two are swapped by renames, so readers never see half a table;
+    a run that stops between the renames leaves the old one under path.old.
+    """
+    spark = df.sparkSession
+    here, old, new = (spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".old", ".new"))
+    df.write.mode("overwrite").parquet(new.toString())
+    fs = here.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(here):
+        fs.delete(old, True)
+        if not fs.rename(here, old):
+            raise OSError(f"cannot move {path}")
+    if not fs.rename(new, here):
+        raise OSError(f"cannot move the new table to {path}")
+    fs.delete(old, True)
+    spark.catalog.refreshByPath(path)

@@ -141,7 +141,7 @@ NAMED = """SELECT conv_id AS case_number, CAST(turn * 10 + ascii(role) % 7 AS IN
 
 
 @query(
-    f"""SELECT case_number, seq, concat('DS', case_number, '_SEQ', lpad(CAST(seq AS VARCHAR), greatest(2, length(CAST(seq AS VARCHAR))), '0'), '_', doc_type, CASE WHEN variant <> '' THEN concat('_', variant, CASE WHEN variant_number > 1 THEN CAST(variant_number AS VARCHAR) ELSE '' END) ELSE '' END,
+    f"""SELECT case_number, seq, concat('DS', case_number, '_SEQ', format('{{:02d}}', seq), '_', doc_type, CASE WHEN variant <> '' THEN concat('_', variant, CASE WHEN variant_number > 1 THEN CAST(variant_number AS VARCHAR) ELSE '' END) ELSE '' END,
        COALESCE(format('_{{:02d}}', part_number), ''), CASE WHEN plain AND n > 1 THEN format('_{{:02d}}', earlier) ELSE '' END, '.pdf') AS new_name
        FROM (SELECT *, COUNT(*) FILTER (plain) OVER w AS n, COUNT(*) FILTER (plain) OVER (w ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
        FROM (SELECT *, COALESCE(variant, '') = '' AND part_number IS NULL AS plain FROM ({NAMED} (SELECT DISTINCT conv_id, turn, role FROM conversations))) WINDOW w AS (PARTITION BY case_number, doc_type))"""

@@ -123,20 +123,24 @@ def joiner(doc_type: Column, text: Column, first: int = 1500) -> Column:
 def case_title(text: Column, first: int = 1500) -> Column:
     """The title on a first page, empty if it has none: from the first line of capitals with a dash and over ten letters
     on, all lines of capitals with over five, up to an empty or another line; heading lines in between do not end it."""
-    line = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    capital = lambda x: ((F.upper(x) == x) & (F.lower(x) != x)) | (F.length(F.regexp_replace(x, r"\P{Lu}", "")) > F.length(x) * 0.6)
-
-    def kinds(x: Column, i: Column) -> Column:
-        x = line(x)
-        heading = x.rlike(NO_TITLE)
-        body = ~heading & capital(x) & (F.length(x) > 5)
-        return F.struct(i.alias("i"), x.alias("x"), (body & (F.length(x) > 10) & x.rlike(r"[–\-—]")).alias("opens"), body.alias("body"), ((x == "") | ~(heading | body)).alias("ends"))
-
-    rows = F.transform(F.split(F.substring(text, 1, first), "\n"), kinds)
-    start = F.array_min(F.transform(F.filter(rows, lambda r: r["opens"]), lambda r: r["i"]))
-    after = F.filter(rows, lambda r: r["i"] >= start)
-    end = F.coalesce(F.array_min(F.transform(F.filter(after, lambda r: r["ends"]), lambda r: r["i"])), F.lit(first + 1))
-    return F.coalesce(F.array_join(F.transform(F.filter(after, lambda r: r["body"] & (r["i"] < end)), lambda r: r["x"]), " "), F.lit(""))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    state = lambda title, place: F.struct(title.alias("title"), F.lit(place).alias("place"))
+
+    def step(seen: Column, x: Column) -> Column:
+        """place is 0 before the title, 1 in it and 2 after it."""
+        inside, title = seen["place"] == 1, seen["title"]
+        capital = ((F.upper(x) == x) & (F.lower(x) != x)) | (F.length(F.regexp_replace(x, r"\P{Lu}", "")) > F.length(x) * 0.6)
+        opens = inside | ((F.length(x) > 10) & x.rlike(r"[–\-—]"))
+        return (
+            F.when((seen["place"] == 2) | ((x != "") & x.rlike(NO_TITLE)), seen)
+            .when((F.length(x) > 5) & opens & capital, state(F.concat(title, F.array(x)), 1))
+            .when(inside, state(title, 2))
+            .otherwise(seen)
+        )
+
+    lines = F.transform(F.split(F.substring(text, 1, first), "\n"), strip)
+    found = F.aggregate(lines, state(F.array().cast("array<string>"), 0), step)
+    return F.coalesce(F.array_join(found["title"], " "), F.lit(""))
 
 
 _RULE, _NUMBERED = re.compile(r"_{3,}$"), re.compile(r"\d{1,3}[\s.)]")

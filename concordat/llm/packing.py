@@ -7,6 +7,7 @@ documents and none is padded. Pieces of one length share a bucket, from which ba
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -54,11 +55,12 @@ def _encoder(path: str) -> tuple:
 
 
 def _core(word: bytes) -> bytes:
-    """word without the punctuation at its end, if a letter or digit stands before that."""
+    """word without the punctuation at its end, if a letter or digit stands before that, in the form that the tokenizer
+    gives it: the lower case or composed form of some letters ends in a mark, which punctuation joins."""
     core = word.rstrip(TAIL)
     if not core or len(core) == len(word) or (core[-1] < 128 and not core[-1:].isalnum()):
         return word
-    return core if core[-1] < 128 or core.decode()[-1].isalpha() else word
+    return core if core[-1] < 128 or unicodedata.normalize("NFC", core.decode().lower())[-1].isalpha() else word
 
 
 def _encode_words(tokenizer, words: list[bytes]) -> list[bytes]:

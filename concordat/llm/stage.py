@@ -7,6 +7,7 @@ import uuid
 import weakref
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,18 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(session.sessionState().newHadoopConf()).delete(at, True)
 
 
+def placed_rows(df: DataFrame, name: str) -> DataFrame:
+    """df with a column of this name that tells its rows apart and is the same in every job that reads it.
+
+    A row of a Parquet table is known by its file and its place there, however the file is split between tasks. The
+    rows of anything else are numbered once, in a table of their own.
+    """
+    try:
+        return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
+    except AnalysisException:
+        return materialise(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "placed")
+
+
 def salted_left_join(rows: DataFrame, groups: DataFrame, key: str, salt_from: str, salts: int = 32) -> DataFrame:
     """rows left-joined with groups (one row a key, no larger than rows) where one key may hold a third of rows.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.llm import exact, jaccard, langid, lines, packing
-from concordat.llm.stage import materialise, with_plain_names
+from concordat.llm.stage import materialise, placed_rows, with_plain_names
 
 #: Documents whose language is less sure are rejected, as are those without letters.
 LEAST_SCORE = 0.3
@@ -41,12 +41,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of similar documents: one with the least doc_id, a null id ranking last.
 
-    Rows are told apart by their place in docs, so that repeated and null ids do no harm; only those numbers are
-    joined back. Null, empty and blank texts are similar to nothing and stay.
+    Rows are told apart by their place in the files of docs, so that repeated and null ids do no harm and every job of
+    the stage sees the same places, however it splits the files; only places are joined back. Null, empty and blank
+    texts are similar to nothing and stay.
     """
 
     def step(d: DataFrame, at: dict[str, str]) -> DataFrame:
-        rows = d.withColumn("row", F.monotonically_increasing_id())
+        rows = placed_rows(d, "row")
         similar = jaccard.similar_documents(rows.select(F.col("row").alias("doc_id"), F.col(at["text"]).alias("text")))
         named = similar.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", F.col(at["doc_id"]).alias("id")), "row")
         least = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row"))

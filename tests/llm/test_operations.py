@@ -326,6 +326,20 @@ def test_packing(docs, empty, spark):
     assert len({r["sequence_id"] for r in found}) == len(found)
 
 
+def test_packing_after_every_letter():
+    """A letter whose lower case or composed form ends in a mark joins the punctuation after it."""
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(128, 0x20000) if chr(c).isalpha() and not 0x4E00 <= c < 0xD7A4]
+    texts = [f"{a}{c}{b} x" for c in letters for a, b in (("x", "."), ("", "!?"))] + ["A\u0130. x", "e\u0301. x", "\u0927\u093c, \u0928"]
+    for at in range(0, len(texts), 4096):
+        part = texts[at : at + 4096]
+        want = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(part, add_special_tokens=False)]
+        assert [t for t, a, b in zip(part, packing.encode_texts([t.encode() for t in part], path), want) if a != b] == []
+
+
 def test_buckets_hold_one_length(docs, spark, tmp_path):
     pieces = packing.pack(docs, packing.vocabulary("word_bpe_49k.json"))
     packing.write_buckets(pieces, f"{tmp_path}/buckets")

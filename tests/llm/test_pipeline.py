@@ -45,6 +45,27 @@ def test_near_copies_go_by_row(spark, tmp_path):
     assert len(found) == 7
 
 
+def test_near_copies_do_not_depend_on_how_files_are_split(spark, tmp_path, monkeypatch):
+    """The same rows stay when the number of cores changes between the search and the join, and from a table that is no file."""
+    rows = [(k, " ".join(f"{'x' if k % 3 else 'y'}{k // 3}w{i}" for i in range(40)) + (" end" if k % 3 == 2 else "")) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(20).write.parquet(f"{tmp_path}/docs")
+    docs, plain = spark.read.parquet(f"{tmp_path}/docs"), corpus_pipeline.jaccard.similar_documents
+    want = sorted(k for k, _ in rows if k % 3 != 2)
+
+    def search(*args):
+        found = plain(*args)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+        return found
+
+    monkeypatch.setattr(corpus_pipeline.jaccard, "similar_documents", search)
+    try:
+        for table in (docs, docs.coalesce(1).union(docs.limit(0))):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
+            assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, table, SF).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
 def a_table(spark, seed=0):
     """Awkward documents: null, empty, blank, very long, repeated rows and ids, near copies, shared lines."""
     rng = np.random.default_rng(seed)

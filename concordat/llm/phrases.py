@@ -4,7 +4,8 @@ Every run of one to four words of a piece is hashed to one of many cells, about
 hands on the cells of its texts with their counts, and executors add them up. A cell's count is an upper bound of the
 count of each of its runs, so that no frequent run is lost where runs meet in a cell. The frequent cells go into a bit
 filter. In a second pass each shard of text compiles the runs that pass the filter, with all their parts, into one
-automaton over words, with a guard between pieces, and counts its overlapping matches. The sums over shards are exact.
+automaton, guarded at the ends of words and of pieces, and counts its overlapping matches. The sums over shards are
+exact.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 
 from concordat.llm.bits import bit_filter
 from concordat.llm.stage import discard, materialise, small_batches
-from concordat.llm.text import BASE, buffers, mix, words
+from concordat.llm.text import BASE, Words, buffers, mix, words
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: A part of a longer candidate goes where the longer one has so many hundredths of its count.
 SHARE = 80
-#: Bytes of text in a shard; a longer text is cut where a piece ends.
-SHARD = 1 << 22
+#: Bytes of text in a shard; a text of more than PART bytes is cut where a piece ends; bytes hashed at once.
+SHARD, PART, AT_ONCE = 1 << 21, 1 << 19, 1 << 18
 #: Cells of one row of the sketch's table.
 CHUNK = 1 << 20
 #: Bits of the filter for each frequent cell, and at most.
@@ -39,11 +40,11 @@ PIECE_END = b".,;:!?\x0a\x0b\x0c\x0d"
 _ENDS = np.zeros(256, bool)
 _ENDS[list(PIECE_END)] = True
 _PLAIN = np.where(_ENDS, 10, np.arange(256)).astype(np.uint8)
-#: Symbols of an automaton's text: between pieces, and for words that no candidate has.
-GUARD, OTHER, FIRST = 1, 2, 3
+#: Characters of an automaton's text: between pieces, for words that no candidate has, and 0 of a code's digits.
+GUARD, OTHER, FIRST, NEXT = 1, 2, 65, 97
 
 
-def shards(batches: Iterator[pa.RecordBatch], limit: int = SHARD) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+def shards(batches: Iterator[pa.RecordBatch], limit: int = SHARD, part: int = PART) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """(languages, bytes, starts): about limit bytes of texts, each with a line end after it, and where each begins."""
     langs: list[str] = []
     held: list[np.ndarray] = []
@@ -54,9 +55,9 @@ def shards(batches: Iterator[pa.RecordBatch], limit: int = SHARD) -> Iterator[tu
         for lang, a, b in zip(batch.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist()):
             while a < b:
                 end = b
-                if b - a > limit:
-                    ends = np.flatnonzero(raw[a + limit : b] == 10)
-                    end = a + limit + int(ends[0]) if len(ends) else b
+                if b - a > part:
+                    ends = np.flatnonzero(raw[a + part : b] == 10)
+                    end = a + part + int(ends[0]) if len(ends) else b
                 langs.append(UNKNOWN if lang is None else lang)
                 held.append(raw[a:end])
                 size += end - a + 1
@@ -82,7 +83,10 @@ class Shard:
     def __init__(self, langs: list[str], data: np.ndarray, starts: np.ndarray):
         self.names = sorted(set(langs))
         index = {x: i for i, x in enumerate(self.names)}
-        self.words = w = words(data, np.array([0, len(data)]))
+        cuts = [0, *starts[np.flatnonzero(np.diff(starts // AT_ONCE)) + 1].tolist(), len(data)]
+        some = [words(data[a:b], np.array([0, b - a])) for a, b in zip(cuts, cuts[1:])]
+        begin, end = (np.concatenate([getattr(x, side) + a for x, a in zip(some, cuts)]) for side in ("start", "end"))
+        self.words = w = Words(np.concatenate([x.data for x in some]), begin, end, np.concatenate([x.hash for x in some]), np.array([0, len(begin)]))
         self.lang = np.array([index[x] for x in langs], np.int64)[np.searchsorted(starts, w.start, side="right") - 1]
         ends = np.zeros(len(data) + 1, np.int32)
         np.cumsum(data == 10, out=ends[1:])
@@ -214,26 +218,35 @@ def count_shard(s: Shard, filled: np.ndarray, cells: int) -> tuple[pa.Array, pa.
     return names, phrases, np.concatenate([x for _, _, x in out]).astype(np.int64)
 
 
-def symbols(codes: np.ndarray) -> str:
-    """One character a word; the range of surrogates is left out."""
-    x = codes + FIRST
-    return (x + np.where(x >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
+def spelt(codes: np.ndarray, digits: int) -> np.ndarray:
+    """Rows of digits to the base 16, the first of an alphabet of its own, so that a match begins where a word does."""
+    return ((codes[:, None] >> (4 * np.arange(digits)[::-1])) & 15).astype(np.uint8) + np.array([FIRST] + [NEXT] * (digits - 1), np.uint8)
 
 
 def matches(symbol: np.ndarray, piece: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
-    """How often each run of codes occurs in the words of a shard, overlaps included, never across a piece's end."""
+    """How often each run of codes occurs in the words of a shard, overlaps included, never across a piece's end.
+
+    A word is spelt in a few digits, as automata are slow at nodes with many edges; words without a code are OTHER, and
+    GUARD stands between pieces.
+    """
     if not found:
         return []
+    digits = max(1, -(-int(symbol.max(initial=0)).bit_length() // 4))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     base = 0
     for codes in found:
-        k, text = codes.shape[1], symbols(codes.ravel())
+        k, text = codes.shape[1] * digits, spelt(codes.ravel(), digits).tobytes().decode("ascii")
         for i in range(len(codes)):
             automaton.add_word(text[i * k : i * k + k], base + i)
         base += len(codes)
     automaton.make_automaton()
-    guarded = np.insert(np.where(symbol < 0, OTHER - FIRST, symbol), np.flatnonzero(np.diff(piece)) + 1, GUARD - FIRST)
-    hits = np.fromiter(map(itemgetter(1), automaton.iter(symbols(guarded))), np.int64)
+    text = spelt(np.maximum(symbol, 0), digits)
+    text[symbol < 0] = 0
+    text[symbol < 0, 0] = OTHER
+    guards = np.zeros((1, digits), np.uint8)
+    guards[0, 0] = GUARD
+    text = np.insert(text, np.flatnonzero(np.diff(piece)) + 1, guards, axis=0).ravel()
+    hits = np.fromiter(map(itemgetter(1), automaton.iter(text[text > 0].tobytes().decode("ascii"))), np.int64)
     counts = np.bincount(hits, minlength=base)
     cuts = np.cumsum([0, *map(len, found)])
     return [counts[a:b] for a, b in zip(cuts, cuts[1:])]

@@ -45,14 +45,18 @@ def top_k(df: DataFrame, keys: list[str], score: str, tie: str, k: int) -> DataF
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vector_blocks(df: DataFrame, key: str, vector: str, ids: str, data: str, rows: int) -> DataFrame:
+def vector_blocks(df: DataFrame, key: str, vector: str, ids: str, data: str, rows: int, group: str | None = None) -> DataFrame:
     """A row for so many vectors at most: ids in ascending order, and the vectors at length 1 as 64-bit floats. A null
-    vector and one of length 0 become NaN; rows without a key are left out."""
+    vector and one of length 0 become NaN; rows without a key are left out. With group all vectors of a row are of one."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            cuts = [0, batch.num_rows]
+            if group and batch.num_rows:
+                codes = batch.column(2).dictionary_encode().indices.fill_null(-1).to_numpy()
+                cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), batch.num_rows]
+            for at, end in ((a, min(a + rows, z)) for x, z in zip(cuts, cuts[1:]) for a in range(x, z, rows)):
+                part = batch.slice(at, end - at)
                 part = part.take(pc.sort_indices(part.column(0)))
                 known = part.column(1).is_valid().to_numpy(zero_copy_only=False)
                 flat = part.column(1).drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -61,19 +65,24 @@ def vector_blocks(df: DataFrame, key: str, vector: str, ids: str, data: str, row
                 length = np.sqrt((x * x).sum(axis=1, keepdims=True))
                 x /= np.where(length > 0, length, np.nan)
                 lists = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), part.column(0))
-                yield pa.RecordBatch.from_arrays([lists, pa.array([x.tobytes()], pa.binary())], [ids, data])
+                yield pa.RecordBatch.from_arrays([lists, pa.array([x.tobytes()], pa.binary()), *(c.slice(0, 1) for c in part.columns[2:])], [ids, data, *([group] if group else [])])
 
-    return df.filter(F.col(key).isNotNull()).select(key, vector).mapInArrow(pack, f"{ids} array<{df.schema[key].dataType.simpleString()}>, {data} binary")
+    held = df.filter(F.col(key).isNotNull()).select(key, vector, *([group] if group else []))
+    schema = f"{ids} array<{df.schema[key].dataType.simpleString()}>, {data} binary"
+    if group:
+        held, schema = held.repartitionByRange(group, key).sortWithinPartitions(group, key), f"{schema}, `{group}` {df.schema[group].dataType.simpleString()}"
+    return held.mapInArrow(pack, schema)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, rows: int = BLOCK) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, rows: int = BLOCK, group: str | None = None) -> DataFrame:
     """The k nearest vectors of each query (query_id, vector) by cosine to six places, itself left out.
 
     Each block of queries meets each block of vectors and keeps its k best, so that neither side has to fit anywhere
-    whole. An unknown cosine is null and ranks last.
+    whole. An unknown cosine is null and ranks last. With group, a column of vectors, the k nearest of each group are
+    found, a query's own vector among them, and unknown cosines rank as they do.
     """
     asked = vector_blocks(queries, "query_id", "vector", "query_ids", "asked", rows)
-    pairs = asked.crossJoin(vector_blocks(vectors, "vec_id", "embedding", "vec_ids", "held", rows))
+    pairs = asked.crossJoin(vector_blocks(vectors, "vec_id", "embedding", "vec_ids", "held", rows, group))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,16 +95,18 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, rows: int = BLO
                 cosine = x @ y.T
                 cosine = np.copysign(np.floor(np.abs(cosine) * 1e6 + 0.5), cosine) / 1e6
                 score = np.where(np.isnan(cosine), -2.0, cosine)
-                score[q[:, None] == v] = -3.0
+                if not group:
+                    score[q[:, None] == v] = -3.0
                 best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # vec_ids ascend: the least of equals comes first
                 row, at = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
                 other = score[row, at] > -3.0
                 row, at = row[other], at[other]
-                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(row)), vec_ids.take(pa.array(at)), pa.array(cosine[row, at] + 0.0, from_pandas=True)], ["query_id", "vec_id", "cosine"])
+                of = [batch.column(4).take(pa.array(np.full(len(row), i)))] if group else []
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(row)), vec_ids.take(pa.array(at)), pa.array(cosine[row, at] + 0.0, from_pandas=True), *of], ["query_id", "vec_id", "cosine", *([group] if group else [])])
 
     kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString())
-    near = pairs.mapInArrow(search, "query_id {}, vec_id {}, cosine double".format(*kinds))
-    return top_k(near, ["query_id"], "cosine", "vec_id", k)
+    schema = "query_id {}, vec_id {}, cosine double".format(*kinds) + (f", `{group}` {vectors.schema[group].dataType.simpleString()}" if group else "")
+    return top_k(pairs.mapInArrow(search, schema), ["query_id", *([group] if group else [])], "cosine", "vec_id", k)
 
 
 def fused(rankings: DataFrame, k: int = 60) -> DataFrame:

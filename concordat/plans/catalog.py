@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.operators import disputes, documents, frames, network, retrieval, stats, trade
+from concordat.operators import disputes, documents, frames, index, network, retrieval, stats, trade
+from concordat.sources.files import workspace
 from concordat.sources.views import oracle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -545,10 +546,23 @@ BM25 = """terms AS (SELECT source, doc_id, term, COUNT(*) AS tf FROM (SELECT sou
                FROM asked JOIN terms USING (term) JOIN df USING (source, term) JOIN sizes USING (source) JOIN lengths USING (source, doc_id) GROUP BY ALL)"""
 
 
+def stored_index(s, d, group="source"):
+    """The index of the documents, written to the shared folder and opened from there."""
+    path = workspace(s, "index")
+    docs = table(s, d, "documents").select("doc_id", "source", "text").withColumn("everything", F.lit("all"))
+    index.write_index(docs, path, "doc_id", group)
+    return index.open_index(s, path)
+
+
+def keyword_scores(s, d):
+    """query_id, source, doc_id, score of the benchmark's texts, from a stored index of the documents."""
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index.search(stored_index(s, d), asked).withColumnsRenamed({"group": "source", "key": "doc_id"})
+
+
 @query("SELECT query_id, source, doc_id, score, rank FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS INT) AS rank FROM scores) WHERE rank <= 15", BM25)
 def ret04_bm25_topk(s, d):
-    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = retrieval.bm25(table(s, d, "documents").select("doc_id", "source", "text"), asked, "doc_id", "source")
+    found = keyword_scores(s, d)
     return retrieval.top_k(found, ["query_id", "source"], "score", "doc_id", 15)
 
 
@@ -570,8 +584,7 @@ def ret03_knn(s, d):
     BM25,
 )
 def ret06_rrf(s, d):
-    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = retrieval.bm25(table(s, d, "documents").select("doc_id", "source", "text"), asked, "doc_id", "source")
+    found = keyword_scores(s, d)
     lists = [retrieval.top_k(found, keys, "score", "doc_id", k) for keys, k in ((["query_id", "source"], 15), (["query_id"], 30))]
     ranked = [x.select("query_id", F.col("doc_id").alias("parent"), (F.col("rank") - 1).alias("rank"), F.lit(0.5).alias("weight")) for x in lists]
     return retrieval.fused(ranked[0].unionByName(ranked[1]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import text as t
 from concordat.operators import cleaning, documents, retrieval
-from concordat.plans.catalog import BM25, DYADS, ROLES, SIGNED, _dyads, _scored, agg10_signed_edges, query
+from concordat.plans.catalog import BM25, DYADS, ROLES, SIGNED, _dyads, _scored, agg10_signed_edges, keyword_scores, query
 from concordat.sources.views import table
 
 #: Documents with the lines that clean-up is for.
@@ -139,21 +139,20 @@ def _retrieve_sql(task):
 def retrieve(s, d, task):
     """Route, filter, search by words and vectors within each case, fuse by parent and keep the best parents.
 
-    The queries are the fixed list of the benchmark; their vectors are compared with each case's documents, and keyword
-    results are cut to 15 before the filter, as the index of a case gives no more.
+    The queries are the texts of the benchmark; their vectors, those of equal ids, are compared with each case's
+    documents block by block. A query without a vector is searched by words alone. Keyword results come from the stored
+    index and are cut to 15 before the filter, as the index of a case gives no more.
     """
     keyword, semantic, k, langs = ROUTES[task]
-    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    docs, vectors = table(s, d, "documents").select("doc_id", "source", "lang", "text"), table(s, d, "embeddings").select("vec_id", "embedding")
-    own = F.broadcast(vectors.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda z, a: z + a)
-    cosine = F.round(dot("embedding", "q") / (F.sqrt(dot("embedding", "embedding")) * F.sqrt(dot("q", "q"))), 6)
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    docs, vectors = table(s, d, "documents").select("doc_id", "source", "lang"), table(s, d, "embeddings").select("vec_id", "embedding")
+    own = vectors.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     held = vectors.join(docs.filter(F.col("lang").isin(*langs)).select(F.col("doc_id").alias("vec_id"), "source"), "vec_id")
-    near = held.join(own, F.lit(True)).select("query_id", "source", F.col("vec_id").alias("doc_id"), cosine.alias("score"))
+    near = retrieval.cosine_top_k(held, own, k, group="source").select("query_id", "source", F.col("vec_id").alias("doc_id"), F.col("cosine").alias("score"), "rank")
     keys = ["query_id", "source"]
-    found = retrieval.top_k(retrieval.bm25(docs, asked, "doc_id", "source"), keys, "score", "doc_id", 15).drop("rank")
+    found = retrieval.top_k(keyword_scores(s, d), keys, "score", "doc_id", 15).drop("rank")
     found = found.join(docs.filter(F.col("lang").isin(*langs)).select("doc_id"), "doc_id", "left_semi")
-    lists = retrieval.top_k(near, keys, "score", "doc_id", k).withColumn("weight", F.lit(semantic)).unionByName(retrieval.top_k(found, keys, "score", "doc_id", k).withColumn("weight", F.lit(keyword)))
+    lists = near.withColumn("weight", F.lit(semantic)).unionByName(retrieval.top_k(found, keys, "score", "doc_id", k).withColumn("weight", F.lit(keyword)))
     part = F.col("weight") / (60 + F.col("rank") - 1)
     fused = lists.groupBy(*keys, F.floor(F.col("doc_id") / 4).alias("parent")).agg(F.round(F.sum(part), 9).alias("score"))
     return retrieval.top_k(fused, keys, "score", "parent", KEPT).select(*keys, "parent", "score", "rank")

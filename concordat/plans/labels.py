@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from concordat.operators import labels
+from concordat.operators import doctypes, labels
 from concordat.plans.catalog import query
 from concordat.sources.views import table
 
@@ -149,3 +149,39 @@ NAMED = """SELECT conv_id AS case_number, CAST(turn * 10 + ascii(role) % 7 AS IN
 def doc18_semantic_names(s, d):
     turns = table(s, d, "conversations").select("conv_id", "turn", "role").distinct()
     return labels.semantic_names(s.sql(NAMED + "{turns}", turns=turns)).select("case_number", "seq", "new_name")
+
+
+#: A phrase for each rule of document types, which that rule, or an earlier one of the same type, meets as a whole.
+PHRASES = """appellate body report and panel report; report of the appellate body; appellate body report; report of the panel; panel report; request for the establishment of a panel;
+    acceptance of the wish to join further consultations; acceptance of requests to join consultations; requests to join the consultations; request for joining consultations; request for consultations by;
+    request for consultations; request to reactivate consultations; request for arbitration; request by Utopia for arbitration; request of Utopia regarding consultations; request by Utopia for the establishment;
+    request from New Utopia for a decision; joint request of both for a decision; notification of an appeal by; notification of appeal; notification of a mutually-agreed solution; notification of mutually satisfactory;
+    mutually acceptable solution; notification of an understanding; notification of agreement; note by the secretariat; communication from the director-general; report by the director-general; communication from;
+    constitution of the panel; composition of the panel; award of the arbitrator; decision of the arbitrator; decision by arbitrator; arbitration award; appointment of the arbitrator; constitution of the arbitrator;
+    recourse to article 21.5; objection of Utopia to recourse; status report; working procedures; additional procedures; agreed procedures; procedural agreement; agreement on procedures; suspension of proceedings;
+    suspension of concessions; resumption of panel proceedings; action by the dispute settlement body; surveillance of implementation; implementation of the recommendations; agreement under article 21.3;
+    understanding between; extension of the time period; proposed modification; terms of reference; withdrawal of; erroneously published and cancelled; document now cancelled; executive summary; third-party submission;
+    first written submissions by the parties; second submission of parties; oral statement; statement by; questions and replies; replies from; transcript of the proceedings; interim review; modification of; addendum; corrigendum"""
+PHRASES = [x.strip() for x in PHRASES.split(";")]
+TYPE_TEXT = f"""concat(CASE CAST(doc_id % 5 AS INT)
+    WHEN 0 THEN concat('WT/DS1/1', chr(10), 'UTOPIA – MEASURES ON GOODS', chr(10), 'AND SERVICES', chr(10), chr(10), phrase, ' Utopia', chr(10), chr(10), 'The following panel report', chr(10))
+    WHEN 1 THEN concat('  UTOPIA - MEASURES', chr(10), substr(phrase, 1, CASE WHEN instr(phrase, ' ') > 0 THEN instr(phrase, ' ') - 1 ELSE length(phrase) END), chr(10), chr(10), substr(phrase, CASE WHEN instr(phrase, ' ') > 0 THEN instr(phrase, ' ') ELSE length(phrase) + 1 END), ' Utopia', chr(10), '___ corrigendum', chr(10))
+    WHEN 2 THEN concat(phrase, ' Utopia', chr(10), 'Pursuant to the appellate body report', chr(10))
+    WHEN 3 THEN concat('UTOPIA — MEASURES', chr(10), '1. Introduction: the  ', regexp_replace(phrase, ' ', chr(10)), ' Utopia it is')
+    ELSE concat(chr(10), 'Some other  thing', chr(10), 'I. The rest', chr(10)) END, rpad('', 2000, 'x '), text)"""
+
+
+def _chosen(values, quoted="array({})"):
+    return quoted.format(", ".join(f"'{x}'" for x in values))
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'UNKNOWN' ELSE {_chosen([k for _, k in doctypes.RULES], '[{}]')}[doc_id % 73 + 1] END AS doc_type,
+       CASE WHEN doc_id % 5 = 4 THEN 'Some other  thing' WHEN doc_id % 5 = 3 THEN phrase ELSE concat(phrase, ' Utopia') END AS doc_type_raw
+       FROM (SELECT doc_id, {_chosen(PHRASES, '[{}]')}[doc_id % 73 + 1] AS phrase FROM documents)"""
+)
+def doc05_document_type(s, d):
+    """Every rule in five layouts; the SQL knows the answers from how the texts are put together, without the patterns."""
+    docs = table(s, d, "documents").selectExpr("doc_id", f"element_at({_chosen(PHRASES)}, cast(doc_id % 73 + 1 as int)) AS phrase", "text")
+    typed = doctypes.with_doc_type(docs.select("doc_id", F.expr(TYPE_TEXT).alias("page")), "page")
+    return typed.select("doc_id", "doc_type", "doc_type_raw")

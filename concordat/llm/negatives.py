@@ -25,7 +25,9 @@ SAMPLE = 4096
 #: Components of a part, and centres of it.
 PART, CENTRES = 2, 256
 #: Rows of a block, and anchors of one.
-ROWS, ANCHORS = 4096, 512
+ROWS, ANCHORS = 1024, 512
+#: Bytes of lookup tables that a task keeps for a block of anchors.
+KEPT = 1 << 26
 #: Stands for a null id, which ranks last.
 NO_ID = (1 << 63) - 1
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -95,6 +97,16 @@ def encode(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.sqrt(left)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """x in the fewest bytes a number that hold it."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype("<i2" if -(1 << 15) <= low and high < 1 << 15 else "<i4" if -(1 << 31) <= low and high < 1 << 31 else "<i8")
+
+
+def widened(data: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{len(data) // max(1, rows * width) or 8}").reshape(rows, width).astype(np.int64)
+
+
 def packed_rows(table: DataFrame, width: int, centres: np.ndarray) -> DataFrame:
     """Blocks of at most ROWS encoded rows: their numbers, ids, labels, codes, residual norms and vectors as bytes."""
     shared = table.sparkSession.sparkContext.broadcast(centres)
@@ -105,7 +117,7 @@ def packed_rows(table: DataFrame, width: int, centres: np.ndarray) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 x = matrix(part.column(3), width)
                 codes, left = encode(x, shared.value)
-                fields = [part.column(c).to_numpy().astype("<i8") for c in range(3)] + [codes, left.astype("<f8"), x.astype("<i8")]
+                fields = [part.column(c).to_numpy().astype("<i8") for c in range(3)] + [codes, left.astype("<f8"), narrow(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([f.tobytes()], pa.binary()) for f in fields], ["rows", "ids", "labels", "codes", "left", "vectors"])
 
     return materialise(table.select("row", "id", "label", "vector").mapInArrow(pack, "rows binary, ids binary, labels binary, codes binary, left binary, vectors binary"), "encoded")
@@ -136,19 +148,20 @@ class Search:
         self.norms = np.sqrt((self.x.astype(np.float64) ** 2).sum(axis=1))
         self.largest = float(np.abs(self.x.astype(np.float64)).max(initial=0))
         self.centres, self.wanted = centres, np.searchsorted(self.of, np.arange(len(self.rows) + 1))
+        self.kept: dict[int, np.ndarray] = {}
         self.best = [np.zeros((3, 0), np.int64)] * len(self.of)  # scores, ids and rows, the first ones first
 
     def add(self, fields: list[bytes]) -> None:
         rows, ids, labels = (np.frombuffer(f, "<i8") for f in fields[:3])
         n = len(rows)
-        codes, left, y = np.frombuffer(fields[3], np.uint8).reshape(-1, n), np.frombuffer(fields[4], "<f8"), np.frombuffer(fields[5], "<i8").reshape(n, self.width)
+        codes, left, y = np.frombuffer(fields[3], np.uint8).reshape(-1, n), np.frombuffer(fields[4], "<f8"), widened(fields[5], n, self.width)
         small = self.width * self.largest * float(np.abs(y.astype(np.float64)).max(initial=0)) < 1 << 53
         exact = y.astype(np.float64) if small else y  # whole numbers below 2**53 are exact as doubles
         reach = np.sqrt((y.astype(np.float64) ** 2).sum(axis=1)) + left
         step = max(1, (1 << 21) // max(1, len(codes) * CENTRES, n))
         for first in range(0, len(self.rows), step):
             here = slice(first, first + step)
-            table = np.einsum("mcp,map->mac", self.centres, parts(self.x[here]))
+            table = self.tables(here)
             score = np.zeros((len(self.x[here]), n))
             for m in range(len(codes)):
                 score += table[m].take(codes[m], axis=1)
@@ -159,14 +172,27 @@ class Search:
                 for w in range(self.wanted[i], self.wanted[i + 1]):
                     self._first(w, i, low, high, other, rows, ids, exact)
 
+    def tables(self, here: slice) -> np.ndarray:
+        """(parts, anchors, CENTRES): the inner products of some anchors' parts with all centres; kept for all blocks if
+        that takes less than KEPT bytes."""
+        made = self.kept.get(here.start)
+        if made is None:
+            made = np.einsum("mcp,map->mac", self.centres, parts(self.x[here]))
+            if len(self.rows) * self.centres[..., 0].size * 8 <= KEPT:
+                self.kept[here.start] = made
+        return made
+
     def _first(self, w: int, i: int, low: np.ndarray, high: np.ndarray, other: np.ndarray, rows: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> None:
         """Want w of anchor i over one block: only rows whose interval meets the want and may reach its first ones are scored."""
         a, b, had = int(self.low[w]), int(self.high[w]), self.best[w]
-        sure = low[other & (low >= a) & (high <= b)]
-        floor = np.partition(sure, len(sure) - self.most)[len(sure) - self.most] if len(sure) >= self.most else -math.inf
+        floor = -math.inf
         if had.shape[1] >= self.most:
-            floor = max(floor, float(had[0, -1]) * (1 - math.copysign(SLACK, had[0, -1])))
+            floor = float(had[0, -1]) * (1 - math.copysign(SLACK, had[0, -1]))
         at = np.flatnonzero(other & (low <= b) & (high >= max(a, floor)))
+        if len(at) > self.most:
+            sure = low[at][(low[at] >= a) & (high[at] <= b)]
+            if len(sure) >= self.most:
+                at = at[high[at] >= np.partition(sure, len(sure) - self.most)[len(sure) - self.most]]
         if not len(at):
             return
         if exact.dtype == np.float64:
@@ -197,9 +223,10 @@ def first_in_windows(asked: DataFrame, blocks: DataFrame, centres: np.ndarray, w
     """
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast(centres)
+    asked = asked.repartition(max(1, asked.count() // ANCHORS))
     anchors = materialise(packed_anchors(asked, width), "anchors")
     n_rows, n_anchors = blocks.count(), anchors.count()
-    groups = max(1, min(n_rows, max(2 * spark.sparkContext.defaultParallelism, n_rows // 16)))
+    groups = max(1, min(n_rows, max(2 * spark.sparkContext.defaultParallelism, n_rows // 32)))
     sides = max(1, n_anchors // 16)
     dealt = lambda k, name: F.pmod(F.monotonically_increasing_id(), F.lit(k)).alias(name)
     every = lambda k, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias(name)

@@ -264,3 +264,46 @@ def change_statistics(arcs: DataFrame, nodes: DataFrame, decay: float = 0.5, edg
         out = out.join(edge_covariates, ["year", "a", "b"], "left")
         extra += [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names]
     return out.select("year", "a", "b", "tie", "mutual", "before", "delrecip", (2 * F.col("before") - 1).alias("stability"), "gwout", "gwin", *extra)
+
+
+def signed_changes(signed: DataFrame, nodes: DataFrame, decay: float = 0.5) -> DataFrame:
+    """Features of every unordered pair of a year's nodes for a signed pseudo-likelihood: its sign (-1, 0 or 1) and, for
+    a positive and for a negative tie in its place, how much each statistic of the network would change.
+
+    signed has one row (year, x, y, sign) for each tied pair, x < y. pos_degree and neg_degree are geometrically
+    weighted degrees of either sign; pos_friends and pos_enemies are those of the friends and of the enemies that the
+    ends of positive ties share, so that neg_enemies is what a negative tie does to the positive ties around it. A
+    pair's own tie never counts in its features. Wedges are joined at the node that they share, with a sum before the
+    shuffle; what is left grows with pairs of nodes, as the model does.
+    """
+    shrink = 1 - float(np.exp(-decay))
+    power = lambda n: F.pow(F.lit(shrink), n)
+    ways = signed.select("year", "x", "y", "sign").unionByName(signed.select("year", F.col("y").alias("x"), F.col("x").alias("y"), "sign"))
+    half = lambda side: ways.select("year", F.col("y").alias("k"), F.col("x").alias(side), F.col("sign").alias(f"sign_{side}"))
+    same = half("x").join(half("y"), ["year", "k"]).filter("x <> y and sign_x = sign_y")
+    shared = same.groupBy("year", "x", "y").agg(F.count_if(F.col("sign_x") == 1).alias("friends"), F.count_if(F.col("sign_x") == -1).alias("enemies"))
+    held = ways.join(shared, ["year", "x", "y"], "left").fillna(0, ["friends", "enemies"])
+    # what a tie of x and y does to the positive ties of x: by shared friends where y is a friend of the third, by enemies where it is one
+    third = held.filter("sign = 1").select("year", "x", F.col("y").alias("k"), "friends", "enemies")
+    around = third.join(half("y"), ["year", "k"]).filter("x <> y").groupBy("year", "x", "y").agg(
+        F.sum(F.when(F.col("sign_y") == 1, power(F.col("friends")))).alias("by_friends"), F.sum(F.when(F.col("sign_y") == -1, power(F.col("enemies")))).alias("by_enemies")
+    )
+    both = around.groupBy("year", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("by_friends").alias("by_friends"), F.sum("by_enemies").alias("by_enemies"))
+    degrees = ways.groupBy("year", F.col("x").alias("v")).agg(F.count_if(F.col("sign") == 1).alias("pos"), F.count_if(F.col("sign") == -1).alias("neg"))
+    end = lambda side: nodes.select("year", F.col("v").alias(side)).join(degrees.select("year", F.col("v").alias(side), F.col("pos").alias(f"pos_{side}"), F.col("neg").alias(f"neg_{side}")), ["year", side], "left").fillna(0)
+    pairs = end("x").join(end("y"), "year").filter("x < y").join(signed.select("year", "x", "y", "sign"), ["year", "x", "y"], "left")
+    pairs = pairs.join(shared, ["year", "x", "y"], "left").join(both, ["year", "x", "y"], "left").fillna(0, ["sign", "friends", "enemies", "by_friends", "by_enemies"])
+    own = lambda s: (F.col("sign") == s).cast("int")
+    scale = float(np.exp(decay))
+    without = lambda sums, s: F.col(sums) / F.when(F.col("sign") == s, shrink).otherwise(1.0)
+    return pairs.select(
+        "year",
+        "x",
+        "y",
+        "sign",
+        (power(F.col("pos_x") - own(1)) + power(F.col("pos_y") - own(1))).alias("pos_degree"),
+        (power(F.col("neg_x") - own(-1)) + power(F.col("neg_y") - own(-1))).alias("neg_degree"),
+        (scale * (1 - power(F.col("friends"))) + without("by_friends", 1)).alias("pos_friends"),
+        (scale * (1 - power(F.col("enemies")))).alias("pos_enemies"),
+        without("by_enemies", -1).alias("neg_enemies"),
+    )

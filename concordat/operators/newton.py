@@ -282,3 +282,40 @@ def brant_test(table: DataFrame, outcome: str, terms: list[str], levels: int) ->
         return x, len(gap), chi_square_tail(x, len(gap)) if len(gap) else 1.0
 
     return [("omnibus", *wald(list(range(p)))), *((t, *wald([k])) for k, t in enumerate(terms))]
+
+
+def choice_logit(table: DataFrame, chosen: str, names: list[str], features: list[list[str | None]]) -> Fit:
+    """Multinomial logistic regression over alternatives with features of their own: alternative 0 has none, the k-th
+    the columns features[k - 1], one for each parameter, None being 0. chosen holds the number of the alternative.
+
+    Rows with a null in any of the columns are left out.
+    """
+    used = list(dict.fromkeys(c for f in features for c in f if c))
+    place = {c: k + 1 for k, c in enumerate(used)}
+    p = len(names)
+    half = p * (p + 1) // 2
+    i, j = upper(p)
+    known = table.dropna(subset=[chosen, *used])
+
+    def at(params: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def sums(rows: np.ndarray) -> np.ndarray:
+            y = rows[:, 0].astype(int)
+            x = np.zeros((len(features) + 1, len(rows), p))
+            for a, columns in enumerate(features, 1):
+                for k, c in enumerate(columns):
+                    if c:
+                        x[a, :, k] = rows[:, place[c]]
+            u = x @ params[0]
+            top = u.max(axis=0)
+            share = np.exp(u - top)
+            total = share.sum(axis=0)
+            share /= total
+            mean = (share[:, :, None] * x).sum(axis=0)
+            every = np.arange(len(rows))
+            second = (share[:, :, None] * x[:, :, i] * x[:, :, j]).sum(axis=(0, 1)) - (mean[:, i] * mean[:, j]).sum(axis=0)
+            return np.concatenate([[(u[y, every] - top - np.log(total)).sum()], (x[y, every] - mean).sum(axis=0), second])
+
+        got = added_up(known, [chosen, *used], sums, 1 + p + half)
+        return got[:1], got[None, 1 : 1 + p], square(got[None, 1 + p :], p)
+
+    return newton(names, np.zeros((1, p)), at)

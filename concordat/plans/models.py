@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from concordat.operators import newton, survival
+from concordat.operators import network, newton, survival
 from concordat.plans.catalog import DYADS, ORACLES, ROLES, _dyads, _scored, grf21_change_statistics, query
 from concordat.sources.views import table
 
@@ -50,7 +50,7 @@ LOGIT_SQL = (
     """years AS (SELECT list(year ORDER BY year) AS all_years FROM (SELECT DISTINCT year FROM panel)),
     rows_ AS (SELECT i, j, y, list_concat(list_transform(all_years, lambda v: CASE WHEN v = year THEN 1.0::DOUBLE ELSE 0.0 END), [ally, trade, ally * trade]) AS x,
         list_concat([1.0::DOUBLE, ally, trade, ally * trade], list_transform(all_years[2:], lambda v: CASE WHEN v = year THEN 1.0::DOUBLE ELSE 0.0 END)) AS z FROM panel, years),
-    cells AS (SELECT x, CAST(COUNT(*) AS DOUBLE) AS n, SUM(y) AS s FROM rows_ GROUP BY x)""",
+    cells AS MATERIALIZED (SELECT x, CAST(COUNT(*) AS DOUBLE) AS n, SUM(y) AS s FROM rows_ GROUP BY x)""",
     fit_sql(10, 80),
     """beta AS (SELECT list_concat([b[1], b[8], b[9], b[10]], list_transform(b[2:7], lambda v: v - b[1])) AS b FROM fitted),
     residual AS (SELECT i, j, z, y - m AS e, m * (1 - m) AS w FROM (SELECT i, j, y, z, 1 / (1 + exp(-list_dot_product(b, z))) AS m FROM rows_, beta))""",
@@ -131,3 +131,148 @@ def mod10_bootstrapped_ties(s, d):
     rows = [("edges" if t == "intercept" else t, float(b), float(lo), float(hi), int(again.converged.sum()), len(periods)) for t, b, lo, hi in zip(whole.names, whole.params[0], low, high)]
     found = s.createDataFrame(rows, "term string, estimate double, low double, high double, replicates long, periods long")
     return found.withColumns({c: F.round(c, 5) for c in ("estimate", "low", "high")})
+
+
+#: Cases of known severity (levels 0 to 3) with numbers of respondents and third parties, and years from 1995.
+CASES = """cases AS (SELECT case_id, CASE severity WHEN 1 THEN 0 ELSE severity - 2 END AS y, COALESCE(respondents, 0) AS respondents, COALESCE(thirds, 0) AS thirds, year - 1995 AS years
+    FROM v_case LEFT JOIN (SELECT case_id, COUNT(*) FILTER (role = 'respondent') AS respondents, COUNT(*) FILTER (role = 'third_party') AS thirds FROM v_case_party GROUP BY case_id) USING (case_id) WHERE severity IS NOT NULL)"""
+_ORDERED = (
+    "cells AS MATERIALIZED (SELECT y, [CAST(respondents AS DOUBLE), CAST(thirds AS DOUBLE), CAST(years AS DOUBLE)] AS x, CAST(COUNT(*) AS DOUBLE) AS n FROM cases GROUP BY ALL)",
+    """steps(t, b) AS (SELECT 0, [0.0::DOUBLE, 0.0, 0.0, -1.0, 0.0, 1.0]
+        UNION ALL SELECT t + 1, list_transform(b, lambda v, i: v + CASE WHEN i = t % 6 + 1 THEN step ELSE 0 END) FROM (
+            SELECT t, b, SUM(n * (rise * w1 - fall * w0)) / -SUM(n * ((rise * (1 - 2 * high) - rise * rise) * w1 * w1 + 2 * rise * fall * w1 * w0 - (fall * (1 - 2 * low) + fall * fall) * w0 * w0)) AS step
+            FROM (SELECT *, high * (1 - high) / (high - low) AS rise, low * (1 - low) / (high - low) AS fall FROM (
+                SELECT t, b, n, CASE WHEN t % 6 < 3 THEN -x[t % 6 + 1] WHEN y = t % 6 - 3 THEN 1 ELSE 0 END AS w1, CASE WHEN t % 6 < 3 THEN -x[t % 6 + 1] WHEN y = t % 6 - 2 THEN 1 ELSE 0 END AS w0,
+                    CASE WHEN y = 3 THEN 1 ELSE 1 / (1 + exp(list_dot_product(b[1:3], x) - b[4 + y])) END AS high, CASE WHEN y = 0 THEN 0 ELSE 1 / (1 + exp(list_dot_product(b[1:3], x) - b[3 + y])) END AS low
+                FROM steps, cells)) GROUP BY t, b) WHERE t < 720)""",
+)
+SEVERITY_TERMS = ["respondents", "thirds", "years"]
+
+
+def _severities(s, d):
+    parties = table(s, d, "v_case_party").groupBy("case_id").agg(F.count_if(F.col("role") == "respondent").alias("respondents"), F.count_if(F.col("role") == "third_party").alias("thirds"))
+    level = F.when(F.col("severity") == 1, 0).otherwise(F.col("severity") - 2)
+    rows = table(s, d, "v_case").filter("severity is not null").join(parties, "case_id", "left").fillna(0, ["respondents", "thirds"])
+    return newton.stored(rows.select("case_id", level.alias("y"), "respondents", "thirds", (F.col("year") - 1995).alias("years")), "severities")
+
+
+@recursive
+@query("SELECT ['respondents', 'thirds', 'years', '0|1', '1|2', '2|3'][k] AS term, ROUND(b[k], 4) AS estimate FROM steps, range(1, 7) r(k) WHERE t = 720", CASES, *_ORDERED)
+def mod02_ordered_logit(s, d):
+    """Severity of cases by numbers of parties and year, with its thresholds."""
+    fit = newton.ordered_logit(_severities(s, d), "y", SEVERITY_TERMS, 4)
+    return s.createDataFrame([(t, float(b)) for t, b in zip(fit.names, fit.params[0])], "term string, estimate double").withColumn("estimate", F.round("estimate", 4))
+
+
+@query()
+def mod03_brant_test(s, d):
+    """Whether the slopes of that model are the same for all thresholds."""
+    found = newton.brant_test(_severities(s, d), "y", SEVERITY_TERMS, 4)
+    return s.createDataFrame([(t, float(x), int(df), float(p)) for t, x, df, p in found], "term string, chi_square double, df int, p double")
+
+
+#: Orders as spells from a fixed day, in quarters, with an event if filled, by priority.
+SPELLS = """spells AS (SELECT o_orderpriority AS stratum, o_custkey AS customer, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) // 90 AS INT) AS tm, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS e,
+    [CASE WHEN o_totalprice > 150000 THEN 1.0::DOUBLE ELSE 0.0 END, CAST(o_custkey % 5 AS DOUBLE)] AS x FROM orders),
+    cells AS MATERIALIZED (SELECT stratum, tm, x, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(e) AS DOUBLE) AS d FROM spells GROUP BY ALL)"""
+
+
+def _risk_sql(source: str, k: str, l: str) -> str:  # noqa: E741
+    """t, b, k, l and for each turn of tied events: gap (of the k-th terms from their mean) and spread (k by l)."""
+    run = "OVER (PARTITION BY t, kk, ll, stratum ORDER BY tm DESC)"
+    return f"""SELECT t, b, kk, ll, dx / d - (r1 - f * e1) / phi AS gap, (r2 - f * e2) / phi - (r1 - f * e1) / phi * (rl - f * el) / phi AS spread
+        FROM (SELECT *, r0 - f * e0 AS phi FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) / d AS f FROM (
+            SELECT *, SUM(s0) {run} AS r0, SUM(s1) {run} AS r1, SUM(sl) {run} AS rl, SUM(s2) {run} AS r2 FROM (
+                SELECT t, b, kk, ll, stratum, tm, SUM(d) AS d, SUM(d * xk) AS dx, SUM(n * w) AS s0, SUM(n * w * xk) AS s1, SUM(n * w * xl) AS sl, SUM(n * w * xk * xl) AS s2, SUM(d * w) AS e0, SUM(d * w * xk) AS e1, SUM(d * w * xl) AS el, SUM(d * w * xk * xl) AS e2
+                FROM (SELECT t, b, {k} AS kk, {l} AS ll, stratum, tm, n, d, exp(list_dot_product(b, x)) AS w, x[{k}] AS xk, x[{l}] AS xl FROM {source}) GROUP BY ALL)) WHERE d > 0))"""
+
+
+_COX = (
+    SPELLS,
+    f"""steps(t, b) AS (SELECT 0, [0.0::DOUBLE, 0.0] UNION ALL SELECT t + 1, list_transform(b, lambda v, i: v + CASE WHEN i = t % 2 + 1 THEN step ELSE 0 END)
+        FROM (SELECT t, b, SUM(gap) / SUM(spread) AS step FROM ({_risk_sql("steps, cells WHERE t < 40", "t % 2 + 1", "t % 2 + 1")}) GROUP BY t, b))""",
+    f"""info AS (SELECT kk, ll, SUM(spread) AS v FROM ({_risk_sql("(SELECT * FROM steps WHERE t = 40), cells, range(1, 3) a(k1), range(1, 3) c(l1)", "k1", "l1")}) GROUP BY ALL),
+    det AS (SELECT list(v ORDER BY kk, ll) AS v FROM info)""",
+)
+
+
+def _spells(s, d):
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    rows = table(s, d, "orders").select(
+        F.col("o_orderpriority").alias("stratum"), F.col("o_custkey").alias("customer"), F.floor(days / 90).cast("int").alias("tm"), (F.col("o_orderstatus") == "F").cast("int").alias("e"),
+        (F.col("o_totalprice") > 150000).cast("double").alias("heavy"), (F.col("o_custkey") % 5).cast("double").alias("rank"),
+    )
+    return newton.stored(rows, "spells")
+
+
+@recursive
+@query("SELECT ['heavy', 'rank'][k] AS term, ROUND(b[k], 5) AS estimate, ROUND(sqrt(CASE k WHEN 1 THEN v[4] ELSE v[1] END / (v[1] * v[4] - v[2] * v[3])), 5) AS std_error FROM steps, det, range(1, 3) r(k) WHERE t = 40", *_COX)
+def mod06_cox(s, d):
+    """Hazards of orders being filled, stratified by priority, with tied times by Efron's rule."""
+    fit = survival.cox(_spells(s, d), "tm", "e", ["heavy", "rank"], "stratum")
+    error = np.sqrt(np.diag(np.linalg.inv(fit.information[0])))
+    found = s.createDataFrame([(t, float(b), float(x)) for t, b, x in zip(fit.names, fit.params[0], error)], "term string, estimate double, std_error double")
+    return found.select("term", F.round("estimate", 5).alias("estimate"), F.round("std_error", 5).alias("std_error"))
+
+
+@query()
+def mod06_cox_clusters(s, d):
+    """That model with errors clustered by customer."""
+    rows, terms = _spells(s, d), ["heavy", "rank"]
+    fit = survival.cox(rows, "tm", "e", terms, "stratum")
+    error = np.sqrt(np.diag(survival.cox_cluster_covariance(fit, rows, "tm", "e", terms, "stratum", "customer")))
+    return s.createDataFrame([(t, float(b), float(x)) for t, b, x in zip(terms, fit.params[0], error)], "term string, estimate double, cluster_error double")
+
+
+#: Signed ties of severe cases: a case of severity 5 between complainant and respondent makes a pair enemies, else one
+#: between complainant and third party friends.
+SIGNED_TIES = "signed AS (SELECT year, least(a, b) AS x, greatest(a, b) AS y, MIN(CASE relation WHEN 'C-TP' THEN 1 ELSE -1 END) AS sign FROM scored WHERE a <> b AND severity = 5 AND relation <> 'TP-R' GROUP BY ALL)"
+#: The statistics' changes by counting what each third node adds, a pair's own tie left out wherever it would count.
+SIGNED_FEATURES = """w AS (SELECT year, x AS a, y AS b, sign FROM signed UNION ALL SELECT year, y, x, sign FROM signed),
+    shared AS (SELECT p.year, p.a, q.a AS b, COUNT(*) FILTER (p.sign = 1) AS f, COUNT(*) FILTER (p.sign = -1) AS e FROM w p JOIN w q ON p.year = q.year AND p.b = q.b AND p.sign = q.sign AND p.a <> q.a GROUP BY ALL),
+    wedge AS (SELECT p.year, p.a, q.b, q.sign AS far, COALESCE(s.f, 0) AS f, COALESCE(s.e, 0) AS e FROM w p JOIN w q ON p.year = q.year AND p.b = q.a AND q.b <> p.a AND p.sign = 1 LEFT JOIN shared s ON s.year = p.year AND s.a = p.a AND s.b = p.b),
+    grid AS (SELECT m.year, m.code AS x, n.code AS y, COALESCE(g.sign, 0) AS sign FROM v_node m JOIN v_node n ON m.year = n.year AND m.code < n.code LEFT JOIN signed g ON g.year = m.year AND g.x = m.code AND g.y = n.code),
+    changes AS (SELECT grid.*, r,
+        (SELECT SUM(power(r, c)) FROM (SELECT COUNT(*) FILTER (w.sign = 1 AND w.b <> CASE v WHEN grid.x THEN grid.y ELSE grid.x END) AS c FROM (VALUES (grid.x), (grid.y)) t(v) LEFT JOIN w ON w.year = grid.year AND w.a = v GROUP BY v)) AS pos_degree,
+        (SELECT SUM(power(r, c)) FROM (SELECT COUNT(*) FILTER (w.sign = -1 AND w.b <> CASE v WHEN grid.x THEN grid.y ELSE grid.x END) AS c FROM (VALUES (grid.x), (grid.y)) t(v) LEFT JOIN w ON w.year = grid.year AND w.a = v GROUP BY v)) AS neg_degree,
+        exp(0.5::DOUBLE) * (1 - power(r, COALESCE(s.f, 0))) + COALESCE(k.pf, 0) AS pos_friends, exp(0.5::DOUBLE) * (1 - power(r, COALESCE(s.e, 0))) AS pos_enemies, COALESCE(k.ne, 0) AS neg_enemies
+        FROM grid CROSS JOIN (SELECT 1 - exp(-0.5::DOUBLE) AS r) LEFT JOIN shared s ON s.year = grid.year AND s.a = grid.x AND s.b = grid.y LEFT JOIN (
+            SELECT grid.year, grid.x, grid.y, SUM(CASE WHEN far = 1 THEN power(1 - exp(-0.5::DOUBLE), f - CAST(grid.sign = 1 AS INT)) END) AS pf, SUM(CASE WHEN far = -1 THEN power(1 - exp(-0.5::DOUBLE), e - CAST(grid.sign = -1 AS INT)) END) AS ne
+            FROM grid JOIN wedge ON wedge.year = grid.year AND least(a, b) = x AND greatest(a, b) = y GROUP BY ALL) k ON k.year = grid.year AND k.x = grid.x AND k.y = grid.y)"""
+_FIGURES = ("pos_degree", "neg_degree", "pos_friends", "pos_enemies", "neg_enemies")
+
+
+def _signed_changes(s, d):
+    rows = _scored(s, d).filter("a <> b AND severity = 5 AND relation <> 'TP-R'")
+    sign = F.when(F.col("relation") == "C-TP", 1).otherwise(-1)
+    signed = rows.groupBy("year", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(sign).alias("sign"))
+    return network.signed_changes(newton.stored(signed, "signed"), table(s, d, "v_node").select("year", F.col("code").alias("v")))
+
+
+@query(f"SELECT year, x, y, sign, {', '.join(f'ROUND({c}, 6) AS {c}' for c in _FIGURES)} FROM changes", ROLES, SIGNED_TIES, SIGNED_FEATURES)
+def grf22_signed_changes(s, d):
+    """Changes of the signed network's weighted degrees, shared friends and shared enemies with every pair's tie."""
+    return _signed_changes(s, d).select("year", "x", "y", "sign", *(F.round(c, 6).alias(c) for c in _FIGURES))
+
+
+SIGNED_TERMS = ["pos_edges", "neg_edges", "pos_degree", "neg_degree", "shared_friends", "shared_enemies", "pos_ally", "neg_ally"]
+_CHOICE_SQL = (
+    """rows_ AS MATERIALIZED (SELECT CASE sign WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS y, [1.0::DOUBLE, 0, pos_degree, 0, pos_friends, pos_enemies, COALESCE(atopally, 0), 0] AS f1, [0::DOUBLE, 1, 0, neg_degree, 0, neg_enemies, 0, COALESCE(atopally, 0)] AS f2
+        FROM changes LEFT JOIN v_ally ON v_ally.year = changes.year AND v_ally.a = changes.x AND v_ally.b = changes.y)""",
+    """steps(t, b) AS (SELECT 0, list_transform(range(8), lambda i: 0.0::DOUBLE)
+        UNION ALL SELECT t + 1, list_transform(b, lambda v, i: v + CASE WHEN i = t % 8 + 1 THEN step ELSE 0 END) FROM (
+            SELECT t, b, SUM(CASE y WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE 0 END - p1 * x1 - p2 * x2) / SUM(p1 * x1 * x1 + p2 * x2 * x2 - (p1 * x1 + p2 * x2) * (p1 * x1 + p2 * x2)) AS step
+            FROM (SELECT t, b, y, f1[t % 8 + 1] AS x1, f2[t % 8 + 1] AS x2, e1 / (1 + e1 + e2) AS p1, e2 / (1 + e1 + e2) AS p2
+                FROM (SELECT t, b, y, f1, f2, exp(list_dot_product(b, f1)) AS e1, exp(list_dot_product(b, f2)) AS e2 FROM steps, rows_)) GROUP BY t, b) WHERE t < 2400)""",
+)
+
+
+@recursive
+@query("SELECT [" + ", ".join(f"'{t}'" for t in SIGNED_TERMS) + "][k] AS term, ROUND(b[k], 3) AS estimate FROM steps, range(1, 9) r(k) WHERE t = 2400", ROLES, SIGNED_TIES, SIGNED_FEATURES, *_CHOICE_SQL)
+def mod12_signed_ties(s, d):
+    """Pseudo-likelihood of the signed networks, years pooled, with balance terms."""
+    ally = table(s, d, "v_ally").select("year", F.col("a").alias("x"), F.col("b").alias("y"), F.col("atopally").alias("ally"))
+    rows = _signed_changes(s, d).join(ally, ["year", "x", "y"], "left").fillna(0, ["ally"]).withColumns({"one": F.lit(1.0), "chosen": F.when(F.col("sign") == -1, 2).otherwise(F.col("sign"))})
+    positive, negative = ["one", None, "pos_degree", None, "pos_friends", "pos_enemies", "ally", None], [None, "one", None, "neg_degree", None, "neg_enemies", None, "ally"]
+    fit = newton.choice_logit(newton.stored(rows, "signed-changes"), "chosen", SIGNED_TERMS, [positive, negative])
+    return s.createDataFrame([(t, float(b)) for t, b in zip(fit.names, fit.params[0])], "term string, estimate double").withColumn("estimate", F.round("estimate", 3))

@@ -25,7 +25,7 @@ SAMPLE = 4096
 #: Components of a part, and centres of it.
 PART, CENTRES = 2, 256
 #: Rows of a block, and anchors of one.
-ROWS, ANCHORS = 1024, 512
+ROWS, ANCHORS = 4096, 512
 #: Bytes of lookup tables that a task keeps for a block of anchors.
 KEPT = 1 << 26
 #: Stands for a null id, which ranks last.
@@ -66,7 +66,7 @@ def parts(x: np.ndarray) -> np.ndarray:
     """(parts, rows, PART) of vectors, as doubles."""
     short = -x.shape[1] % PART
     wide = np.pad(x.astype(np.float64), ((0, 0), (0, short))) if short else x.astype(np.float64)
-    return np.ascontiguousarray(wide.reshape(len(x), -1, PART).transpose(1, 0, 2))
+    return np.ascontiguousarray(wide.reshape(len(x), wide.shape[1] // PART, PART).transpose(1, 0, 2))
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -161,40 +161,54 @@ class Search:
         step = max(1, (1 << 21) // max(1, len(codes) * CENTRES, n))
         for first in range(0, len(self.rows), step):
             here = slice(first, first + step)
-            table = self.tables(here)
-            score = np.zeros((len(self.x[here]), n))
+            table, largest = self.tables(here)
+            score = np.zeros((len(self.x[here]), n), table.dtype)
             for m in range(len(codes)):
                 score += table[m].take(codes[m], axis=1)
-            width = self.norms[here][:, None] * (left + SLACK * reach) + SLACK
-            for i, (low, high) in enumerate(zip(score - width, score + width), first):
-                other = (labels == self.labels[i]) == self.same
-                other &= rows != self.rows[i]
-                for w in range(self.wanted[i], self.wanted[i + 1]):
-                    self._first(w, i, low, high, other, rows, ids, exact)
-
-    def tables(self, here: slice) -> np.ndarray:
-        """(parts, anchors, CENTRES): the inner products of some anchors' parts with all centres; kept for all blocks if
-        that takes less than KEPT bytes."""
+            width = self.norms[here][:, None] * (left + SLACK * reach) + (len(codes) + 1) * 2.0**-23 * largest[:, None] + SLACK
+            below, above = score - width, score + width
+            for i in range(first, first + len(score)):
+                wants = range(self.wanted[i], self.wanted[i + 1])
+                low, high = below[i - first], above[i - first]
+                lowest, highest = min((self.floor(w) for w in wants), default=math.inf), max((int(self.high[w]) for w in wants), default=-math.inf)
+                some = np.flatnonzero((high >= lowest) & (low <= highest) & ((labels == self.labels[i]) == self.same) & (rows != self.rows[i]))
+                if len(some):
+                    low, high = low[some], high[some]
+                    for w in wants:
+                        self._first(w, i, low, high, some, rows, ids, exact)
+
+    def floor(self, w: int) -> float:
+        """What a row has to score at least to be among the first of a want, as far as is known."""
+        had, least = self.best[w], float(self.low[w])
+        if had.shape[1] < self.most:
+            return least
+        last = float(had[0, -1])
+        return max(least, last - SLACK * abs(last))
+
+    def tables(self, here: slice) -> tuple[np.ndarray, np.ndarray]:
+        """(parts, anchors, CENTRES): the inner products of some anchors' parts with all centres, and for each anchor the
+        sum of their largest sizes; kept for all blocks if that takes less than KEPT bytes."""
         made = self.kept.get(here.start)
         if made is None:
-            made = np.einsum("mcp,map->mac", self.centres, parts(self.x[here]))
-            if len(self.rows) * self.centres[..., 0].size * 8 <= KEPT:
+            table = np.einsum("mcp,map->mac", self.centres, parts(self.x[here]))
+            largest = np.abs(table).max(axis=2, initial=0).sum(axis=0)
+            made = table.astype(np.float32 if largest.max(initial=0) < 1e30 else np.float64), largest
+            if len(self.rows) * self.centres[..., 0].size * 4 <= KEPT:
                 self.kept[here.start] = made
         return made
 
-    def _first(self, w: int, i: int, low: np.ndarray, high: np.ndarray, other: np.ndarray, rows: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> None:
-        """Want w of anchor i over one block: only rows whose interval meets the want and may reach its first ones are scored."""
+    def _first(self, w: int, i: int, low: np.ndarray, high: np.ndarray, some: np.ndarray, rows: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> None:
+        """Want w of anchor i over the rows some of one block: only those whose interval meets the want and may reach its
+        first ones are scored."""
         a, b, had = int(self.low[w]), int(self.high[w]), self.best[w]
-        floor = -math.inf
-        if had.shape[1] >= self.most:
-            floor = float(had[0, -1]) * (1 - math.copysign(SLACK, had[0, -1]))
-        at = np.flatnonzero(other & (low <= b) & (high >= max(a, floor)))
-        if len(at) > self.most:
-            sure = low[at][(low[at] >= a) & (high[at] <= b)]
+        near = np.flatnonzero((low <= b) & (high >= self.floor(w)))
+        if len(near) > self.most:
+            sure = low[near][(low[near] >= a) & (high[near] <= b)]
             if len(sure) >= self.most:
-                at = at[high[at] >= np.partition(sure, len(sure) - self.most)[len(sure) - self.most]]
-        if not len(at):
+                near = near[high[near] >= np.partition(sure, len(sure) - self.most)[len(sure) - self.most]]
+        if not len(near):
             return
+        at = some[near]
         if exact.dtype == np.float64:
             score = (exact[at] @ self.x[i].astype(np.float64)).astype(np.int64)
         else:

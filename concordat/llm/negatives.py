@@ -148,7 +148,7 @@ class Search:
         self.norms = np.sqrt((self.x.astype(np.float64) ** 2).sum(axis=1))
         self.largest = float(np.abs(self.x.astype(np.float64)).max(initial=0))
         self.centres, self.wanted = centres, np.searchsorted(self.of, np.arange(len(self.rows) + 1))
-        self.kept: dict[int, np.ndarray] = {}
+        self.kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         self.best = [np.zeros((3, 0), np.int64)] * len(self.of)  # scores, ids and rows, the first ones first
 
     def add(self, fields: list[bytes]) -> None:
@@ -159,23 +159,31 @@ class Search:
         exact = y.astype(np.float64) if small else y  # whole numbers below 2**53 are exact as doubles
         reach = np.sqrt((y.astype(np.float64) ** 2).sum(axis=1)) + left
         step = max(1, (1 << 21) // max(1, len(codes) * CENTRES, n))
-        for first in range(0, len(self.rows), step):
-            here = slice(first, first + step)
-            table, largest = self.tables(here)
-            score = np.zeros((len(self.x[here]), n), table.dtype)
-            for m in range(len(codes)):
-                score += table[m].take(codes[m], axis=1)
-            width = self.norms[here][:, None] * (left + SLACK * reach) + (len(codes) + 1) * 2.0**-23 * largest[:, None] + SLACK
-            below, above = score - width, score + width
-            for i in range(first, first + len(score)):
-                wants = range(self.wanted[i], self.wanted[i + 1])
-                low, high = below[i - first], above[i - first]
-                lowest, highest = min((self.floor(w) for w in wants), default=math.inf), max((int(self.high[w]) for w in wants), default=-math.inf)
-                some = np.flatnonzero((high >= lowest) & (low <= highest) & ((labels == self.labels[i]) == self.same) & (rows != self.rows[i]))
-                if len(some):
-                    low, high = low[some], high[some]
-                    for w in wants:
-                        self._first(w, i, low, high, some, rows, ids, exact)
+        for label in np.unique(self.labels).tolist():
+            who, these = np.flatnonzero(self.labels == label), np.flatnonzero((labels == label) == self.same)
+            if not len(these):
+                continue
+            part, far = np.ascontiguousarray(codes[:, these]), left[these] + SLACK * reach[these]
+            for first in range(0, len(who), step):
+                some = who[first : first + step]
+                table, largest = self.tables(label, first, some)
+                score = np.zeros((len(some), len(these)), table.dtype)
+                for m in range(len(codes)):
+                    score += table[m].take(part[m], axis=1)
+                width = self.norms[some][:, None] * far + (len(codes) + 1) * 2.0**-23 * largest[:, None] + SLACK
+                below, above = score - width, score + width
+                for i, low, high in zip(some.tolist(), below, above):
+                    self._meet(i, low, high, these, rows, ids, exact)
+
+    def _meet(self, i: int, low: np.ndarray, high: np.ndarray, these: np.ndarray, rows: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> None:
+        """All wants of anchor i over the rows these of one block."""
+        wants = range(self.wanted[i], self.wanted[i + 1])
+        lowest, highest = min((self.floor(w) for w in wants), default=math.inf), max((int(self.high[w]) for w in wants), default=-math.inf)
+        near = np.flatnonzero((high >= lowest) & (low <= highest))
+        near = near[rows[these[near]] != self.rows[i]]
+        if len(near):
+            for w in wants:
+                self._first(w, i, low[near], high[near], these[near], rows, ids, exact)
 
     def floor(self, w: int) -> float:
         """What a row has to score at least to be among the first of a want, as far as is known."""
@@ -185,16 +193,16 @@ class Search:
         last = float(had[0, -1])
         return max(least, last - SLACK * abs(last))
 
-    def tables(self, here: slice) -> tuple[np.ndarray, np.ndarray]:
+    def tables(self, label: int, first: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(parts, anchors, CENTRES): the inner products of some anchors' parts with all centres, and for each anchor the
         sum of their largest sizes; kept for all blocks if that takes less than KEPT bytes."""
-        made = self.kept.get(here.start)
+        made = self.kept.get((label, first))
         if made is None:
-            table = np.einsum("mcp,map->mac", self.centres, parts(self.x[here]))
+            table = np.einsum("mcp,map->mac", self.centres, parts(self.x[some]))
             largest = np.abs(table).max(axis=2, initial=0).sum(axis=0)
             made = table.astype(np.float32 if largest.max(initial=0) < 1e30 else np.float64), largest
             if len(self.rows) * self.centres[..., 0].size * 4 <= KEPT:
-                self.kept[here.start] = made
+                self.kept[label, first] = made
         return made
 
     def _first(self, w: int, i: int, low: np.ndarray, high: np.ndarray, some: np.ndarray, rows: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> None:

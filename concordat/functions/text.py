@@ -63,8 +63,9 @@ def alias(column: Column, names: Mapping[str, str]) -> Column:
 
 
 def spaced(column: Column) -> Column:
-    """White space as one blank, a blank between a letter and a digit that follows, and one after Art."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(column, r"\s+", " "), r"Art\.([0-9])", "Art. $1"), r"([a-z])([0-9])", "$1 $2"))
+    """White space as one blank, a blank between a small letter and a digit that follows, and one between Art. and a
+    capital, as of a Roman number."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(column, r"\s+", " ")), r"([a-z])([0-9])", "$1 $2"), r"Art\.([A-Z])", "Art. $1")
 
 
 def snake_key(column: Column, special: Mapping[str, str] = {}) -> Column:  # noqa: B006

@@ -82,7 +82,7 @@ def added_up(table: DataFrame, columns: list[str], sums: Callable[[np.ndarray],
     return out
 
 
-def newton(names: list[str], start: np.ndarray, sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 60, close: float = 1e-10) -> Fit:
+def newton(names: list[str], start: np.ndarray, sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 60, close: float = 1e-18) -> Fit:
     """Rounds from start, a row a fit; sums gives (log-likelihoods, gradients, information) of such rows.
 
     A step that lowers a fit's likelihood is halved. A fit has converged when its step would gain less than close.

@@ -86,10 +86,10 @@ def str11_alias(s, d):
     return _odd(s, d, "customer", STOPPED).select("c_custkey", t.alias(F.col("odd"), ALIASES).alias("name"))
 
 
-SPACED = "concat('Art.', p_size, '  ', p_name, p_size, CASE WHEN p_partkey % 2 = 0 THEN '  \t x' ELSE ' ' END)"
+SPACED = "concat('Art.', p_size, '  Art.XV', p_size, ' ', p_name, p_size, CASE WHEN p_partkey % 2 = 0 THEN '  \t x' ELSE ' ' END)"
 
 
-@query(f"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace({SPACED}, '\\s+', ' ', 'g'), 'Art\\.([0-9])', 'Art. \\1', 'g'), '([a-z])([0-9])', '\\1 \\2', 'g')) AS x FROM part")
+@query(f"SELECT p_partkey, regexp_replace(regexp_replace(trim(regexp_replace({SPACED}, '\\s+', ' ', 'g')), '([a-z])([0-9])', '\\1 \\2', 'g'), 'Art\\.([A-Z])', 'Art. \\1', 'g') AS x FROM part")
 def str12_spaced(s, d):
     return _odd(s, d, "part", SPACED).select("p_partkey", t.spaced(F.col("odd")).alias("x"))
 

@@ -150,3 +150,23 @@ def test_empty_and_separated(spark, table):
     assert newton.logit(apart, "y", ["x"]).loglik[0] > -1e-3
     with pytest.raises(ValueError):
         newton.factor(spark.range(600), "id")
+
+
+def test_choice_among_three(spark):
+    rng = np.random.default_rng(8)
+    n = 600
+    x = rng.normal(size=(n, 3))
+    f = np.zeros((3, n, 4))
+    f[1, :, 0], f[1, :, 2], f[2, :, 1], f[2, :, 2], f[2, :, 3] = 1, x[:, 0], 1, x[:, 1], x[:, 2]
+    u = f @ [0.3, -0.4, 0.8, 0.5]
+    p = np.exp(u) / np.exp(u).sum(axis=0)
+    y = (rng.random(n) > np.cumsum(p, axis=0)).sum(axis=0)
+    rows = newton.stored(spark.createDataFrame([(int(a), *map(float, b), 1.0) for a, b in zip(y, x)], "y int, a double, b double, c double, one double"), "choices")
+    fit = newton.choice_logit(rows, "y", ["e1", "e2", "shared", "own"], [["one", None, "a", None], [None, "one", "b", "c"]])
+
+    def value(t):
+        q = np.exp(f @ t) / np.exp(f @ t).sum(axis=0)
+        return (f[y, np.arange(n)] - (q[:, :, None] * f).sum(axis=0)).sum(axis=0)
+
+    want, information = climb(value, np.zeros(4))
+    assert fit.converged.all() and np.allclose(fit.params[0], want, atol=1e-7) and np.allclose(fit.information[0], information, rtol=1e-4)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordat.operators.documents import english_lines
+from concordat.operators.labels import without_footnotes, without_header
+
 #: What marks a line as a page number, as a heading that every page repeats, and as noise.
 PAGE_LINE = r"^\s*(?i:page\s+[A-Z]?-?\d+)\s*$|^\s*-\s*\d+\s*-\s*$"
 HEADING_LINE = r"^\s*RESTRICTED\s*$|^[ \t]*(?:(?:WORLD\s+TRADE|ORGANIZATION|DISPUTE\s+SETTLEMENT\s+BODY)[ \t*]*)+$|^\s*WT/DS\d+(?:/[A-Za-z0-9/.\-]*)?\s*$|^\s*G/[A-Z]+/[A-Za-z0-9/.\-]+\s*$|^\s*S/L/\d+\s*$"
 LANGUAGE_LINE = r"^\s*\(?\s*(?i:anglais|ingles|inglés)\s*/?\s*\)?\s*$|^\s*/\s*$"
 NOISE_LINE = r"^[.,:;/\\|*#@!?(){}\[\]\s]+$"
+#: A date after the heading's last word, that word before a title, and lists of codes in brackets.
+DATED_LINE = r"^[ \t]*ORGANIZATION\s+\d{1,2}\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\s*$"
+BEFORE_TITLE = r"(?m)^([ \t]*)ORGANIZATION\s+([A-Z][A-Z\s\-–])"
+BRACKETED_LINE = r"^\s*\[(?:\s*WT/[\w/]+[,\s]*(?:and\s+)?)+\]\s*$"
 #: Codes in the header of a document, in the order of extraction.
 HEADER_CODES = (r"WT/DS\d+/[A-Za-z0-9/.\-]+", r"G/[A-Z]+/[A-Za-z0-9/.\-]+", r"S/L/\d+", r"IP/D/\d+")
 
@@ -37,6 +44,27 @@ def cleaned(text: Column) -> Column:
     return even_white_space(text)
 
 
+def clean_steps(df: DataFrame, text: str, title: str | None = None) -> DataFrame:
+    """df with its text cleaned whole, ready to be cut and counted: the header, headings and lists of codes of every page,
+    language markers, page numbers, footnotes, lines in other languages, titles after the first, noise and white space.
+
+    Each step is a column of its own that reads the one before, as Spark would otherwise write out the whole of a text's
+    making wherever the next step names it. A null text is empty; a null or short title is not looked for.
+    """
+    steps = [
+        lambda x: without_header(F.coalesce(x, F.lit(""))),
+        lambda x: F.regexp_replace(blanked(blanked(x, HEADING_LINE), DATED_LINE), BEFORE_TITLE, "$1$2"),
+        lambda x: blanked(blanked(blanked(x, BRACKETED_LINE), LANGUAGE_LINE), PAGE_LINE),
+        without_footnotes,
+        english_lines,
+        *([lambda x: F.coalesce(title_once(x, F.col(title)), x)] if title else []),
+        lambda x: even_white_space(blanked(x, NOISE_LINE)),
+    ]
+    for step in steps:
+        df = df.withColumn(text, step(F.col(text)))
+    return df
+
+
 def header_codes(text: Column, first: int = 800) -> Column:
     """All codes in the header, by kind and then by place."""
     head = F.substring(text, 1, first)

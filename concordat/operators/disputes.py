@@ -11,14 +11,10 @@ RELATIONS = (("C-R", "complainant", "respondent"), ("TP-R", "third_party", "resp
 
 def role_dyads(parties: DataFrame, relations=RELATIONS) -> DataFrame:
     """case_id, a, b, relation: the products of each case's role lists. Roles are gathered once a case (lists are
-    as long as a case has parties), so each relation is two explodes and no join."""
+    as long as a case has parties); their products are one array, so parties are read and exploded once, without a join."""
     lists = parties.groupBy("case_id").agg(*(F.collect_list(F.when(F.col("role") == r, F.col("party"))).alias(r) for r in ("complainant", "respondent", "third_party")))
-    pairs = lambda a, b: lists.select("case_id", F.explode(a).alias("a"), b).select("case_id", "a", F.explode(b).alias("b"))
-    out = None
-    for name, a, b in relations:
-        part = pairs(a, b).withColumn("relation", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    product = lambda name, a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(x.alias("a"), y.alias("b"), F.lit(name).alias("relation")))))
+    return lists.select("case_id", F.inline(F.concat(*(product(*r) for r in relations))))
 
 
 def role_severity(relation: str = "relation", severity: str = "severity") -> Column:

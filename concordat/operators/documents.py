@@ -31,15 +31,14 @@ MONTHS = {
 }
 
 
-def english_lines(text: str = "text", share: float = 0.2, least: int = 5) -> Column:
+def english_lines(text: str | Column = "text", share: float = 0.2, least: int = 5) -> Column:
     """The text without lines of at least so many words of which at least such a share is French or Spanish."""
     marks = F.array(*(F.lit(w) for w in FOREIGN_WORDS))
 
-    def keep(line: Column) -> Column:
-        ws = F.filter(F.regexp_extract_all(F.lower(line), F.lit(RUN), F.lit(0)), lambda w: w.rlike(WORD))
-        return (F.size(ws) < least) | (F.size(F.filter(ws, lambda w: F.array_contains(marks, w))) < share * F.size(ws))
-
-    return F.array_join(F.filter(F.split(F.col(text), "\n"), keep), "\n")
+    cut = F.transform(F.split(F.col(text) if isinstance(text, str) else text, "\n"), lambda x: F.struct(x.alias("line"), F.filter(F.regexp_extract_all(F.lower(x), F.lit(RUN), F.lit(0)), lambda w: w.rlike(WORD)).alias("words")))
+    marked = F.transform(cut, lambda x: F.struct(x["line"].alias("line"), F.size(x["words"]).alias("n"), F.size(F.filter(x["words"], lambda w: F.array_contains(marks, w))).alias("foreign")))
+    kept = F.filter(marked, lambda x: (x["n"] < least) | (x["foreign"] < share * x["n"]))
+    return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
 
 
 def file_parts(name: str) -> Column:

@@ -53,6 +53,19 @@ def first_non_null(df: DataFrame, keys: Sequence[str], by: Sequence[Column], col
     return df.select(*keys, *(F.first(c, True).over(w).alias(c) for c in columns)).distinct()
 
 
+def with_zscore(df: DataFrame, value: str, keys: Sequence[str], name: str, digits: int = 6) -> DataFrame:
+    """df with the distance of each value from its group's mean in sample standard deviations; 0 where there is none.
+
+    Groups are summed up before the shuffle and met again by their keys, so that the rows of a large group stay apart.
+    """
+    stats = df.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_spread"))
+    same = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_{k}")) if same is None else same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    z = F.when(F.col(value).isNull(), None).when(F.col("_spread") > 0, F.round((F.col(value) - F.col("_mean")) / F.col("_spread"), digits)).otherwise(F.lit(0.0))
+    return df.join(stats, same, "left").withColumn(name, z).drop("_mean", "_spread", *(f"_{k}" for k in keys))
+
+
 def zscore(value: str, keys: Sequence[str], digits: int = 6) -> Column:
     """Distance from the group's mean in sample standard deviations; 0 where there is no deviation."""
     w = Window.partitionBy(*keys)

@@ -32,6 +32,8 @@ def query(sql: str | None = None, *parts: str):
     """Register a function under its name; sql runs after the views and the given common table expressions."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             head = "".join(f", {p}" for p in parts)
@@ -321,9 +323,11 @@ BLOC_ROLES = """bloc_roles AS (SELECT case_id, CASE WHEN a IN (SELECT code FROM
     MEMBERS,
 )
 def jon19_bloc_disaggregation(s, d):
-    members = [r["code"] for r in table(s, d, "v_bloc_member").select("code").collect()]  # a dimension of some members
-    bloc = lambda c: F.when(F.col(c).isin(members), F.lit(999)).otherwise(F.col(c)).alias(c)
-    rows = _scored(s, d).select("case_id", bloc("a"), bloc("b"), "relation", "year")
+    members, rows = table(s, d, "v_bloc_member").select("code").distinct(), _scored(s, d)
+    for end in ("a", "b"):
+        rows = rows.join(members.select(F.col("code").alias(f"member_{end}")), F.col(end) == F.col(f"member_{end}"), "left")
+    bloc = lambda c: F.when(F.col(f"member_{c}").isNotNull(), F.lit(999)).otherwise(F.col(c)).alias(c)
+    rows = rows.select("case_id", bloc("a"), bloc("b"), "relation", "year")
     for end in ("a", "b"):
         rows = disputes.disaggregated(rows, _member_years(s, d), 999, end)
     return rows
@@ -342,7 +346,8 @@ def set07_bloc_case_class(s, d):
        FROM labels JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY source)"""
 )
 def agg17_group_zscore(s, d):
-    return table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "source"), "doc_id").select("doc_id", "source", frames.zscore("quality", ["source"]).alias("z"))
+    rows = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
+    return frames.with_zscore(rows, "quality", ["source"], "z").select("doc_id", "source", "z")
 
 
 @query("SELECT year, x, y, sign FROM signed", SIGNED)
@@ -501,16 +506,6 @@ def agg21_quantiles(s, d):
     return table(s, d, "customer").groupBy("c_mktsegment").agg(q(0.5, "median"), q(0.05, "q05"), q(0.95, "q95"))
 
 
-@query(
-    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND (o_orderdate IS NULL OR o_orderdate < TIMESTAMP '1997-01-01') THEN 3 WHEN o_orderstatus = 'F' THEN 2
-       WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS final_stage FROM orders"""
-)
-def prj10_final_stage(s, d):
-    early = F.col("o_orderdate").isNull() | (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp"))
-    stage = F.when((F.col("o_orderstatus") == "F") & early, 3).when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "P", 1).otherwise(0)
-    return table(s, d, "orders").select("o_orderkey", stage.alias("final_stage"))
-
-
 @query("SELECT case_id, CAST(strptime(date_text, '%d-%b-%y') AS DATE) AS filed, year FROM v_case")
 def q02_two_digit_dates(s, d):
     return table(s, d, "v_case").select("case_id", disputes.two_digit_date("date_text").alias("filed"), "year")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from concordat.operators import doctypes, labels
-from concordat.plans.catalog import query
+from concordat.operators import cleaning, doctypes, labels
+from concordat.plans.catalog import _MARKS, _line_words, query
+from concordat.plans.cleaning import _blank, _even
 from concordat.sources.views import table
 
 #: Codes of every kind, of none, and twice the same agreement.
@@ -185,3 +186,27 @@ def doc05_document_type(s, d):
     docs = table(s, d, "documents").selectExpr("doc_id", f"element_at({_chosen(PHRASES)}, cast(doc_id % 73 + 1 as int)) AS phrase", "text")
     typed = doctypes.with_doc_type(docs.select("doc_id", F.expr(TYPE_TEXT).alias("page")), "page")
     return typed.select("doc_id", "doc_type", "doc_type_raw")
+
+
+#: Pages with all that goes: header, headings, codes, markers, page numbers, notes, other languages and titles again.
+PAGES = f"""concat({HEADED}, chr(10), 'LAND X - MEASURES ON GOODS', chr(10), 'WORLD TRADE ORGANIZATION', chr(10), '  ORGANIZATION 7 March 1999 ', chr(10), 'ORGANIZATION  LAND X – GOODS', chr(10), 'ORGANIZATION of it', chr(10), 'WT/DS', doc_id, '/R', chr(10),
+    '[WT/DS27, WT/DS361 and WT/L/625]', chr(10), '[WT/DS27, see]', chr(10), '(anglais)', chr(10), ' - 4 - ', chr(10), 'Body  text', chr(10), chr(10), 'les mesures sont dans cette page pour une fois', chr(10), 'Land X - measures   on goods again', chr(10), '. ; ,', chr(10),
+    '____', chr(10), '1 See it,', chr(10), 'and more', chr(10), chr(10), 'Body goes on', chr(10), 'Page 12', chr(10), text, chr(10), 'LAND X - MEASURES ON GOODS ')"""
+_TITLE = "LAND X - MEASURES ON GOODS"
+_AGAIN = "(?i)LAND\\s+X\\s+-\\s+MEASURES\\s+ON\\s+GOODS"
+_FOREIGN = f"""array_to_string(list_filter(string_split(x, chr(10)), lambda line: len({_line_words("line")}) < 5 OR len(list_filter({_line_words("line")}, lambda w: list_contains({_MARKS}, w))) < 0.2 * len({_line_words("line")})), chr(10))"""
+
+
+@query(
+    f"""SELECT doc_id, length(x) AS n, md5(x) AS digest FROM (SELECT doc_id, {_even(_blank("x", cleaning.NOISE_LINE))} AS x FROM (
+       SELECT doc_id, CASE WHEN strpos(x, '{_TITLE}') > 0 THEN concat(substr(x, 1, strpos(x, '{_TITLE}') + 25), regexp_replace(substr(x, strpos(x, '{_TITLE}') + 26), '{_AGAIN}', '', 'g')) ELSE x END AS x FROM (
+       SELECT doc_id, {_FOREIGN} AS x FROM (
+       SELECT doc_id, substr(regexp_replace(concat(chr(10), x), '(?:\\n{_RULE}{_NOTE})+(\\n|$)', '\\1', 'g'), 2) AS x FROM (
+       SELECT doc_id, {_blank("x", cleaning.BRACKETED_LINE, cleaning.LANGUAGE_LINE, cleaning.PAGE_LINE)} AS x FROM (
+       SELECT doc_id, regexp_replace({_blank("x", cleaning.HEADING_LINE, cleaning.DATED_LINE)}, '{cleaning.BEFORE_TITLE}', '\\1\\2', 'g') AS x FROM (
+       SELECT doc_id, concat({_headless("substr(h, 1, 2000)")}, substr(h, 2001)) AS x FROM (SELECT doc_id, {PAGES} AS h FROM documents))))))))"""
+)
+def doc14_all_steps(s, d):
+    """All ten steps of the clean-up, one after another."""
+    rows = table(s, d, "documents").select("doc_id", F.expr(PAGES).alias("text")).withColumn("title", F.lit(_TITLE))
+    return cleaning.clean_steps(rows, "text", "title").select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))

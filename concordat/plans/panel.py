@@ -546,15 +546,19 @@ def _kind(good, bad):
 
 @query(
     GROUPED
-    + """ SELECT year, gx AS grp, CAST(SUM(pos) AS BIGINT) AS internal_positive, CAST(SUM(neg) AS BIGINT) AS internal_negative, ROUND(SUM(pos) / SUM(pos + neg), 6) AS cooperation_ratio,
-       ROUND(SUM(neg) / SUM(pos + neg), 6) AS conflict_ratio, CASE WHEN SUM(pos) / SUM(pos + neg) > 0.7 THEN 'cooperation_dominant' WHEN SUM(neg) / SUM(pos + neg) > 0.7 THEN 'conflict_dominant' ELSE 'mixed' END AS kind
-       FROM tied WHERE gx = gy GROUP BY year, gx""",
+    + """, per AS (SELECT year, grp, SUM(CASE WHEN gx = gy THEN pos ELSE 0 END) AS p, SUM(CASE WHEN gx = gy THEN neg ELSE 0 END) AS n FROM (SELECT *, unnest(CASE WHEN gx = gy THEN [gx] ELSE [gx, gy] END) AS grp FROM tied) GROUP BY year, grp)
+       SELECT year, grp, CAST(p AS BIGINT) AS internal_positive, CAST(n AS BIGINT) AS internal_negative, CASE WHEN p + n = 0 THEN 0 ELSE ROUND(p / (p + n), 6) END AS cooperation_ratio,
+       CASE WHEN p + n = 0 THEN 0 ELSE ROUND(n / (p + n), 6) END AS conflict_ratio, CASE WHEN p + n = 0 THEN 'isolated' WHEN p / (p + n) > 0.7 THEN 'cooperation_dominant' WHEN n / (p + n) > 0.7 THEN 'conflict_dominant' ELSE 'mixed' END AS kind FROM per""",
     ROLES,
 )
 def grf09_community_internals(s, d):
-    good, bad = F.col("pos") / (F.col("pos") + F.col("neg")), F.col("neg") / (F.col("pos") + F.col("neg"))
-    sums = _tied(s, d).filter("gx = gy").groupBy("year", F.col("gx").alias("grp")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return sums.select("year", "grp", F.col("pos").alias("internal_positive"), F.col("neg").alias("internal_negative"), F.round(good, 6).alias("cooperation_ratio"), F.round(bad, 6).alias("conflict_ratio"), _kind(good, bad).alias("kind"))
+    """Ties inside each community of a year's network; one without any is isolated, with ratios of 0."""
+    inner, of = F.col("gx") == F.col("gy"), F.when(F.col("gx") == F.col("gy"), F.array("gx")).otherwise(F.array("gx", "gy"))
+    sums = _tied(s, d).select("year", F.explode(of).alias("grp"), *(F.when(inner, F.col(c)).otherwise(0).alias(c) for c in ("pos", "neg"))).groupBy("year", "grp").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    total = F.col("pos") + F.col("neg")
+    good, bad = (F.when(total == 0, 0.0).otherwise(F.try_divide(F.col(c), total)) for c in ("pos", "neg"))
+    kind = F.when(total == 0, "isolated").otherwise(_kind(good, bad))
+    return sums.select("year", "grp", F.col("pos").alias("internal_positive"), F.col("neg").alias("internal_negative"), F.round(good, 6).alias("cooperation_ratio"), F.round(bad, 6).alias("conflict_ratio"), kind.alias("kind"))
 
 
 @query(GROUPED + " SELECT year, least(gx, gy) AS g1, greatest(gx, gy) AS g2, CAST(SUM(pos) AS BIGINT) AS positive, CAST(SUM(neg) AS BIGINT) AS negative, ROUND(SUM(neg) / SUM(pos + neg), 6) AS tension FROM tied WHERE gx <> gy GROUP BY ALL", ROLES)

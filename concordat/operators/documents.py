@@ -166,3 +166,52 @@ def problems(cases: DataFrame) -> DataFrame:
     }
     found = F.filter(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())), lambda x: x.isNotNull())
     return cases.select("case_id", F.explode(found).alias("problem"))
+
+
+#: Classes whose file names have a number after the report's letters, and those letters in the order of trial.
+NUMBERED_REPORTS = ("PANEL_REPORT", "AB_REPORT", "RECOURSE", "ARBITRATION")
+REPORT_LETTERS = ("RW", "RA", "ABRA", "ABRW", "ARB", "R")
+
+
+def original_key(name: Column, case: Column, doc_class: Column, variant: Column) -> Column:
+    """What files of one original document share: case, number in the file name, class, variant and number of the report."""
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).try_cast("int")
+    after_case = F.when(F.startswith(name, F.concat(case.cast("string"), F.lit("-"))), F.regexp_extract(F.substring(name, F.length(case.cast("string")) + 2, F.length(name)), r"^(\d+)", 1).try_cast("int"))
+    report = F.when(doc_class.isin(*NUMBERED_REPORTS), F.coalesce(*(number(letters + r"(\d+)") for letters in REPORT_LETTERS)))
+    return F.struct(case.alias("case_number"), after_case.alias("doc_number"), doc_class.alias("doc_class"), variant.alias("variant"), report.alias("variant_number"))
+
+
+def original_documents(files: DataFrame) -> DataFrame:
+    """A row for each original document: its key, the type, date and new name of its first part, its parts and pages.
+
+    files has case_number, original_filename, new_filename, doc_type, doc_class, variant, date, part_number and
+    page_count. Parts are in the order of their numbers, one without a number first, then of their names. What is
+    gathered are the few files of a document.
+    """
+    key = original_key(F.col("original_filename"), F.col("case_number"), F.col("doc_class"), F.col("variant"))
+    part = F.struct(F.col("part_number").isNotNull().alias("numbered"), "part_number", "original_filename", "new_filename", "doc_type", "date", "page_count")
+    grouped = files.select(key.alias("key"), part.alias("part")).groupBy("key").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    first = F.col("parts")[0]
+    return grouped.select(
+        "key.*",
+        first["doc_type"].alias("doc_type"),
+        first["date"].alias("date"),
+        F.size("parts").alias("num_parts"),
+        (F.size("parts") > 1).alias("is_multi_part"),
+        F.array_join(F.transform("parts", lambda p: p["original_filename"]), ", ").alias("part_filenames"),
+        first["new_filename"].alias("new_filename_base"),
+        F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.coalesce(p["page_count"], F.lit(0))).alias("page_count_total"),
+    )
+
+
+def original_statistics(originals: DataFrame) -> DataFrame:
+    """Figures of original documents by type and over all (doc_type null, kind all)."""
+    figures = [
+        F.sum("num_parts").alias("total_files"),
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if("is_multi_part").alias("multi_part_documents"),
+        F.sum("page_count_total").alias("total_pages"),
+        F.round(F.avg("page_count_total"), 6).alias("avg_pages"),
+        F.max("num_parts").alias("max_parts"),
+    ]
+    return originals.groupingSets([["doc_type"], []], "doc_type").agg(F.when(F.grouping("doc_type") == 1, "all").otherwise("type").alias("kind"), *figures)

@@ -319,3 +319,54 @@ def choice_logit(table: DataFrame, chosen: str, names: list[str], features: list
         return got[:1], got[None, 1 : 1 + p], square(got[None, 1 + p :], p)
 
     return newton(names, np.zeros((1, p)), at)
+
+
+def correlation(table: DataFrame, columns: list[str]) -> np.ndarray:
+    """Pearson's correlations of columns over the rows that lack none, from sums about rough means in two passes."""
+    known, p = table.dropna(subset=columns), len(columns)
+    first = added_up(known, columns, lambda x: np.append(x.sum(axis=0), len(x)), p + 1)
+    centre = first[:-1] / max(first[-1], 1)
+    got = added_up(known, columns, lambda x: np.concatenate([(x - centre).sum(axis=0), ((x - centre).T @ (x - centre)).ravel()]), p + p * p)
+    n = max(first[-1], 1)
+    spread = got[p:].reshape(p, p) / n - np.outer(got[:p], got[:p]) / n**2
+    size = np.sqrt(np.diag(spread))
+    return spread / np.outer(size, size)
+
+
+def varimax(loadings: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Loadings turned so that the squares of each factor vary most, with rows at length 1 while it turns: two factors
+    at a time by the angle that is best for them, until no angle is left."""
+    length = np.sqrt((loadings**2).sum(axis=1, keepdims=True))
+    z, (p, k) = loadings / np.where(length > 0, length, 1), loadings.shape
+    for _ in range(rounds):
+        largest = 0.0
+        for i in range(k):
+            for j in range(i + 1, k):
+                u, v = z[:, i] ** 2 - z[:, j] ** 2, 2 * z[:, i] * z[:, j]
+                angle = math.atan2(2 * (u @ v - u.sum() * v.sum() / p), u @ u - v @ v - (u.sum() ** 2 - v.sum() ** 2) / p) / 4
+                turn = np.array([[math.cos(angle), -math.sin(angle)], [math.sin(angle), math.cos(angle)]])
+                z[:, [i, j]] = z[:, [i, j]] @ turn
+                largest = max(largest, abs(angle))
+        if largest < 1e-12:
+            break
+    return z * length
+
+
+def factor_analysis(r: np.ndarray, factors: int = 1, rounds: int = 20000, close: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """(loadings turned by varimax, uniquenesses) of the most likely model of a correlation matrix, by steps of
+    expectation and maximisation on that matrix alone; each factor points to where its loadings add up to more than 0."""
+    p = len(r)
+    psi = np.maximum(1 / np.diag(np.linalg.inv(r)), 0.005)
+    values, vectors = np.linalg.eigh(r)
+    load = vectors[:, ::-1][:, :factors] * np.sqrt(np.maximum(values[::-1][:factors] - psi.mean(), 0.01))
+    for _ in range(rounds):
+        beta = np.linalg.solve(load @ load.T + np.diag(psi), load).T
+        second = np.eye(factors) - beta @ load + beta @ r @ beta.T
+        new = np.linalg.solve(second, beta @ r).T
+        unique = np.maximum(np.diag(r - new @ beta @ r), 0.005)
+        moved = max(np.abs(unique - psi).max(), np.abs(new - load).max())
+        load, psi = new, unique
+        if moved < close:
+            break
+    load = varimax(load)
+    return load * np.where(load.sum(axis=0) < 0, -1, 1), psi

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from concordat.operators import cleaning, doctypes, labels
+from concordat.operators import cleaning, doctypes, documents, labels
 from concordat.plans.catalog import _MARKS, _line_words, query
 from concordat.plans.cleaning import _blank, _even
 from concordat.sources.views import table
@@ -210,3 +210,33 @@ def doc14_all_steps(s, d):
     """All ten steps of the clean-up, one after another."""
     rows = table(s, d, "documents").select("doc_id", F.expr(PAGES).alias("text")).withColumn("title", F.lit(_TITLE))
     return cleaning.clean_steps(rows, "text", "title").select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
+#: Files of original documents: numbered ones, reports of four kinds and others, in parts and variants.
+FILES = """SELECT case_number, CASE v WHEN 0 THEN concat(case_number, '-', n, CASE WHEN turn % 2 = 0 THEN 'A' ELSE '' END, turn, '.pdf') WHEN 1 THEN concat(case_number, 'RW', n, '-', turn, '.pdf') WHEN 2 THEN concat(case_number, 'ABRA', n, '-', turn, '.pdf')
+        WHEN 3 THEN concat(case_number, 'R-', turn, '.pdf') ELSE concat('D', case_number, '-', n, '-', turn, '.pdf') END AS original_filename,
+    concat('N', conv_id, '_', turn) AS new_filename, concat('T', v) AS doc_type, CASE v WHEN 0 THEN 'NUMBERED' WHEN 1 THEN 'RECOURSE' WHEN 2 THEN 'AB_REPORT' WHEN 3 THEN 'PANEL_REPORT' ELSE 'D_FILE' END AS doc_class,
+    CASE WHEN n % 2 = 0 THEN 'Add' END AS variant, concat('d', n) AS date, CASE WHEN turn > 0 THEN turn END AS part_number, 1 + turn % 5 AS page_count, v, n
+    FROM (SELECT conv_id, CAST(turn AS INT) AS turn, CAST(floor(conv_id / 10) AS INT) AS case_number, CAST(conv_id % 5 AS INT) AS v, CAST(floor(conv_id / 5) % 2 AS INT) + 1 AS n FROM {turns})"""
+_TURNS = "(SELECT DISTINCT conv_id, turn FROM conversations)"
+_ORIGINALS = f"""originals AS (SELECT case_number, CASE v WHEN 0 THEN CAST(regexp_extract(original_filename, '-([0-9]+)', 1) AS INT) END AS doc_number, doc_class, variant, CASE WHEN v IN (1, 2) THEN n END AS variant_number,
+    first(doc_type ORDER BY part_number NULLS FIRST, original_filename) AS doc_type, first(date ORDER BY part_number NULLS FIRST, original_filename) AS date, CAST(COUNT(*) AS INT) AS num_parts, COUNT(*) > 1 AS is_multi_part,
+    string_agg(original_filename, ', ' ORDER BY part_number NULLS FIRST, original_filename) AS part_filenames, first(new_filename ORDER BY part_number NULLS FIRST, original_filename) AS new_filename_base, CAST(SUM(page_count) AS BIGINT) AS page_count_total
+    FROM ({FILES.format(turns=_TURNS)}) GROUP BY ALL)"""
+
+
+def _files(s, d):
+    return s.sql(FILES, turns=table(s, d, "conversations").select("conv_id", "turn").distinct())
+
+
+@query(f", {_ORIGINALS} SELECT * FROM originals")
+def doc20_original_documents(s, d):
+    """Original documents of files in parts."""
+    return documents.original_documents(_files(s, d))
+
+
+@query(
+    f", {_ORIGINALS} SELECT doc_type, CASE WHEN GROUPING(doc_type) = 1 THEN 'all' ELSE 'type' END AS kind, CAST(SUM(num_parts) AS BIGINT) AS total_files, COUNT(*) AS documents, COUNT(*) FILTER (is_multi_part) AS multi_part_documents, CAST(SUM(page_count_total) AS BIGINT) AS total_pages, ROUND(AVG(page_count_total), 6) AS avg_pages, MAX(num_parts) AS max_parts FROM originals GROUP BY GROUPING SETS ((doc_type), ())"
+)
+def doc20_original_statistics(s, d):
+    return documents.original_statistics(documents.original_documents(_files(s, d)))

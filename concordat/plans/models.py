@@ -276,3 +276,47 @@ def mod12_signed_ties(s, d):
     positive, negative = ["one", None, "pos_degree", None, "pos_friends", "pos_enemies", "ally", None], [None, "one", None, "neg_degree", None, "neg_enemies", None, "ally"]
     fit = newton.choice_logit(newton.stored(rows, "signed-changes"), "chosen", SIGNED_TERMS, [positive, negative])
     return s.createDataFrame([(t, float(b)) for t, b in zip(fit.names, fit.params[0])], "term string, estimate double").withColumn("estimate", F.round("estimate", 3))
+
+
+#: How often documents have two letters and a point, in logarithms; how long they are is behind all three.
+SIZES = """sizes AS (SELECT ln(1 + length(text) - length(replace(text, 'e', ''))) AS e, ln(1 + length(text) - length(replace(text, 'n', ''))) AS n, ln(1 + length(text) - length(replace(text, '.', ''))) AS stops FROM documents),
+    r AS (SELECT corr(e, n) AS en, corr(e, stops) AS es, corr(n, stops) AS ns FROM sizes)"""
+
+
+@query(f", {SIZES} SELECT x.name AS variable, ROUND(sqrt(x.v), 4) AS loading, ROUND(1 - x.v, 4) AS uniqueness FROM (SELECT unnest([{{'name': 'e', 'v': en * es / ns}}, {{'name': 'n', 'v': en * ns / es}}, {{'name': 'stops', 'v': es * ns / en}}]) AS x FROM r)")
+def mod01_one_factor(s, d):
+    """Loadings of three counts on one factor; the SQL has the closed form of three variables."""
+    count = lambda c: F.log(1.0 + F.length("text") - F.length(F.replace("text", F.lit(c), F.lit(""))))
+    names = ["e", "n", "stops"]
+    sizes = newton.stored(table(s, d, "documents").select(count("e").alias("e"), count("n").alias("n"), count(".").alias("stops")), "sizes")
+    load, unique = newton.factor_analysis(newton.correlation(sizes, names))
+    found = s.createDataFrame([(n, float(a), float(u)) for n, a, u in zip(names, load[:, 0], unique)], "variable string, loading double, uniqueness double")
+    return found.select("variable", F.round("loading", 4).alias("loading"), F.round("uniqueness", 4).alias("uniqueness"))
+
+
+@recursive
+@query(
+    """SELECT ally, point, ROUND(trade, 6) AS trade, ROUND(1 / (1 + exp(-eta)), 5) AS probability, ROUND(1 / (1 + exp(1.96 * error - eta)), 5) AS low, ROUND(1 / (1 + exp(-1.96 * error - eta)), 5) AS high FROM (
+       SELECT ally, point, trade, list_dot_product(b, x) AS eta, sqrt(list_dot_product(list_transform(v, lambda r: list_dot_product(r, x)), x)) AS error FROM beta, sandwich, (
+         SELECT ally, point, trade, [1.0::DOUBLE, ally, trade, ally * trade, 0, 0, 0, 0, 0, 0] AS x FROM (SELECT CAST(a AS INT) AS ally, CAST(k AS INT) AS point, low + (high - low) * k / 199 AS trade
+           FROM (SELECT MIN(trade) AS low, MAX(trade) AS high FROM panel), range(2) q(a), range(200) p(k))))""",
+    ROLES,
+    DYADS,
+    PANEL,
+    *LOGIT_SQL,
+)
+def mod09_marginal_effects(s, d):
+    """Probability of a dispute along trade, for allies and others, in the first year, with 95 % intervals of the linear
+    predictor by the delta method and the clustered covariance."""
+    fit, covariance = _panel_fit(s, d)
+    low, high = _panel(s, d).agg(F.min("trade"), F.max("trade")).first()
+    trade = low + (high - low) * np.arange(200) / 199
+    rows = []
+    for ally in (0, 1):
+        x = np.zeros((200, len(fit.names)))
+        x[:, 0], x[:, 1], x[:, 2], x[:, 3] = 1, ally, trade, ally * trade
+        eta, error = x @ fit.params[0], np.sqrt(((x @ covariance) * x).sum(axis=1))
+        bounds = [newton.logistic(eta + k * error) for k in (0, -1.96, 1.96)]
+        rows += [(ally, k, float(trade[k]), *(float(b[k]) for b in bounds)) for k in range(200)]
+    found = s.createDataFrame(rows, "ally int, point int, trade double, probability double, low double, high double")
+    return found.select("ally", "point", F.round("trade", 6).alias("trade"), *(F.round(c, 5).alias(c) for c in ("probability", "low", "high")))

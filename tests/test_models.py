@@ -170,3 +170,21 @@ def test_choice_among_three(spark):
 
     want, information = climb(value, np.zeros(4))
     assert fit.converged.all() and np.allclose(fit.params[0], want, atol=1e-7) and np.allclose(fit.information[0], information, rtol=1e-4)
+
+
+def test_factors():
+    rng = np.random.default_rng(2)
+    load = np.array([[0.9, 0.0], [0.8, 0.0], [0.7, 0.0], [0.0, 0.8], [0.0, 0.7], [0.0, 0.6]])
+    r = load @ load.T + np.diag(1 - (load**2).sum(axis=1))
+    found, unique = newton.factor_analysis(r, 2)
+    found = found[:, np.argsort(-np.abs(found[0]))]
+    assert np.allclose(found, load, atol=1e-3) and np.allclose(unique, 1 - (load**2).sum(axis=1), atol=1e-3)
+    turn = np.linalg.qr(rng.normal(size=(2, 2)))[0]
+    spread = lambda x: ((x / np.sqrt((x**2).sum(axis=1, keepdims=True))) ** 2).var(axis=0).sum()
+    assert spread(newton.varimax(load @ turn)) >= spread(load) - 1e-9
+
+
+def test_correlation_far_from_zero(spark, data):
+    x = data[0] + 1e7
+    rows = newton.stored(spark.createDataFrame([(*map(float, r),) for r in x] + [(None, 5.0)], "a double, b double"), "far")
+    assert np.allclose(newton.correlation(rows, ["a", "b"]), np.corrcoef(x.T), atol=1e-7)

@@ -394,6 +394,41 @@ def test_token_counts(docs, empty):
     assert token_counts.allocate(first, last, np.array([0, 1]), "most")[0].tolist() == [1, 1]
 
 
+def brute_sections(text, encoding, rule):
+    """(section, start, end, n_tokens, n_crossing), token by token: the characters of its bytes, and the lines they are in."""
+    bounds = [i + 1 for i, c in enumerate(text[:-1]) if c == "\n"]
+    starts, ends = [0, *bounds], [*bounds, len(text)]
+    owner = [i for i, c in enumerate(text) for _ in c.encode()]
+    line = [sum(b <= i for b in bounds) for i in range(len(text))]
+    tokens, crossing, at = [0] * len(starts), [0] * len(starts), 0
+    for i in encoding.encode_ordinary(text):
+        size = len(encoding.decode_single_token_bytes(i))
+        chars = sorted(set(owner[at : at + size]))
+        at += size
+        lines = [line[c] for c in chars]
+        most = max(sorted(set(lines)), key=lines.count)
+        own = {"first": lines[0], "last": lines[-1], "most": most}[rule]
+        tokens[own] += 1
+        crossing[own] += len(set(lines)) > 1
+    return [(k, a, b, n, c) for k, (a, b, n, c) in enumerate(zip(starts, ends, tokens, crossing))]
+
+
+def test_token_counts_equal_brute_force(spark, docs):
+    path, pattern = packing.vocabulary("byte_bpe_50k.tiktoken"), packing.split_pattern()
+    encoding, _ = token_counts.encoder(path, pattern)
+    rng = np.random.default_rng(6)
+    bits = ["a", " ", "\n", "\n\n", "\n \n", "é", "漢", "🙂", "word", "\r\n", "\t", "3", "?!"]
+    texts = ["".join(rng.choice(bits, int(n))) for n in rng.integers(1, 60, 60)] + ["\n", "\n\n\n\n", "x\n\n\n\ny", "\n" * 50 + "🙂"]
+    rows = [(k % 50, t) for k, t in enumerate(texts)] + [(7, texts[7]), (None, texts[3])] + [(r[0], r[1]) for r in ROWS]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    crossed = 0
+    for rule in token_counts.RULES:
+        want = collections.Counter((k, *x) for k, t in rows for x in (brute_sections(t, encoding, rule) if t else [(0, 0, 0, 0, 0)]))
+        assert collections.Counter(map(tuple, token_counts.section_tokens(table, path, pattern, rule=rule).collect())) == want
+        crossed += sum(x[-1] * n for x, n in want.items())
+    assert crossed
+
+
 def plain_adpcm(data):
     """One block after another, one code at a time."""
     out = []

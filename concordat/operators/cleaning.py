@@ -101,3 +101,16 @@ def review_reason(text: Column, foreign_share: Column, least: int = 50) -> Colum
     """Why somebody has to look at a document, null if nobody has to."""
     known = F.trim(F.coalesce(text, F.lit("")))
     return F.when(known == "", "empty").when(F.length(known) < least, "scanned").when(foreign_share >= 0.2, "non_english")
+
+
+#: Names in the head of a first page in French and in Spanish.
+OTHER_HEADINGS = ("ORGANISATION MONDIALE", "ORGANIZACIÓN MUNDIAL")
+
+
+def review_entry(pages: Column, first_page: Column, doc_type: Column, error: Column, least: int = 50) -> Column:
+    """Why somebody has to look at a file, null if nobody has to: it could not be worked on (error tells why), it has no
+    pages, or no type was found, and then its first page is nearly empty, in another language, or neither."""
+    page = F.coalesce(first_page, F.lit(""))
+    other = F.contains(page, F.lit(OTHER_HEADINGS[0])) | F.contains(page, F.lit(OTHER_HEADINGS[1]))
+    untyped = F.when(F.length(F.regexp_replace(page, r"^\s+|\s+$", "")) < least, "scanned_pdf").when(other, "non_english").otherwise("unknown_doc_type")
+    return F.when(error.isNotNull(), "processing_error").when(F.coalesce(pages, F.lit(0)) == 0, "empty_pdf").when(F.coalesce(doc_type, F.lit("UNKNOWN")) == "UNKNOWN", untyped)

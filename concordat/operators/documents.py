@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -145,14 +146,29 @@ def chunks(docs: DataFrame, parent: tuple[int, int] = (6000, 800), child: tuple[
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 spans = chunk_spans(text or "", *parent)
+                ends = [end for _, end in spans]
                 for k, (a, b) in enumerate(chunk_spans(text or "", *child)):
-                    inside = [p for p, (x, y) in enumerate(spans) if x <= a < y]
-                    rows.append((doc_id, inside[0] if inside else len(spans) - 1, k, a, b, text[a:b]))
+                    p = bisect.bisect_right(ends, a)  # the first parent that ends after the child's begin
+                    rows.append((doc_id, p if p < len(spans) and spans[p][0] <= a else len(spans) - 1, k, a, b, text[a:b]))
             yield pd.DataFrame(rows, columns=["doc_id", "parent_no", "child_no", "start", "end", "chunk"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, parent_no int, child_no int, start int, end int, chunk string")
 
 
+def routed_chunks(docs: DataFrame, longest: int = 6000) -> DataFrame:
+    """doc_id, chunk_id, parent_id, is_chunked, chunk_index, n_tokens and chunk: a document of at most longest tokens (words
+    times 1.3) is one chunk and its own parent, a longer one is cut into children of its parents. Null, empty and blank
+    texts have no chunks."""
+    tokens = lambda c: F.floor(F.size(F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")) * 1.3)
+    rows = docs.select("doc_id", "text").filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumn("n_tokens", tokens("text"))
+    name = F.col("doc_id").cast("string")
+    whole = F.concat(name, F.lit("_full"))
+    short = rows.filter(F.col("n_tokens") <= longest).select("doc_id", whole.alias("chunk_id"), whole.alias("parent_id"), F.lit(False).alias("is_chunked"), F.lit(0).alias("chunk_index"), "n_tokens", F.col("text").alias("chunk"))
+    cut = chunks(rows.filter(F.col("n_tokens") > longest)).withColumn("n_tokens", tokens("chunk"))
+    numbered = lambda kind, n: F.concat(F.col("doc_id").cast("string"), F.lit(f"_{kind}_"), F.lpad(F.col(n).cast("string"), 3, "0"))
+    return short.unionByName(cut.select("doc_id", numbered("child", "child_no").alias("chunk_id"), numbered("parent", "parent_no").alias("parent_id"), F.lit(True).alias("is_chunked"), F.col("child_no").alias("chunk_index"), "n_tokens", "chunk"))
+
+
 def problems(cases: DataFrame) -> DataFrame:
     """case_id and problem, a row for each of the five classes of missing or contradictory data that a case has."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).isin("", "nan")

@@ -240,3 +240,27 @@ def doc20_original_documents(s, d):
 )
 def doc20_original_statistics(s, d):
     return documents.original_statistics(documents.original_documents(_files(s, d)))
+
+
+#: Files with every reason for a review, and with none.
+_REVIEWED = {
+    "pages": "CASE WHEN doc_id % 11 = 3 THEN 0 WHEN doc_id % 11 <> 4 THEN 2 END",
+    "page": "CASE WHEN doc_id % 5 = 0 THEN concat('  ', substr(text, 1, 20), chr(10)) WHEN doc_id % 5 = 1 THEN concat(rpad('x', 60, 'x'), ' ORGANISATION MONDIALE') WHEN doc_id % 5 = 2 THEN concat(rpad('x', 60, 'x'), ' ORGANIZACIÓN MUNDIAL ') WHEN doc_id % 5 = 3 THEN concat(rpad('x', 60, 'x'), text) END",
+    "kind": "CASE WHEN doc_id % 3 = 0 THEN 'Addendum' WHEN doc_id % 3 = 1 THEN 'UNKNOWN' END",
+    "error": "CASE WHEN doc_id % 13 = 5 THEN 'no file' END",
+}
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN error IS NOT NULL THEN 'processing_error' WHEN COALESCE(pages, 0) = 0 THEN 'empty_pdf' WHEN kind = 'Addendum' THEN NULL WHEN doc_id % 5 IN (0, 4) THEN 'scanned_pdf' WHEN doc_id % 5 IN (1, 2) THEN 'non_english' ELSE 'unknown_doc_type' END AS reason
+       FROM (SELECT doc_id, {", ".join(f"{x} AS {c}" for c, x in _REVIEWED.items())} FROM documents)"""
+)
+def doc17_review_entry(s, d):
+    rows = table(s, d, "documents").select("doc_id", *(F.expr(x).alias(c) for c, x in _REVIEWED.items()))
+    return rows.select("doc_id", cleaning.review_entry(F.col("pages"), F.col("page"), F.col("kind"), F.col("error")).alias("reason"))
+
+
+@query()
+def doc24_routed_chunks(s, d):
+    """Short documents whole, long ones in children of their parents."""
+    return documents.routed_chunks(table(s, d, "documents"))

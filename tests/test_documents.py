@@ -46,3 +46,18 @@ def test_logit_and_clusters():
     beta = stats.logit(x, y)
     assert np.allclose(beta, [0.5, -1.0], atol=0.15)
     assert (np.diag(stats.cluster_covariance(x, y, beta, rng.integers(0, 50, 4000))) > 0).all()
+
+
+def test_routed_chunks(spark):
+    long = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(40)) + "." for i in range(140))
+    rows = spark.createDataFrame([(1, "a b\nc"), (2, long), (3, None), (4, " \n ")], "doc_id long, text string")
+    found = documents.routed_chunks(rows).collect()
+    assert [tuple(r) for r in found if r.doc_id == 1] == [(1, "1_full", "1_full", False, 0, 3, "a b\nc")]
+    cut = sorted((r for r in found if r.doc_id == 2), key=lambda r: r.chunk_index)
+    assert {r.doc_id for r in found} == {1, 2} and len(cut) > 20 and all(r.is_chunked and len(r.chunk) <= 1200 for r in cut)
+    parents = documents.chunk_spans(long, 6000, 800)
+    at = 0
+    for r in cut:
+        at = long.index(r.chunk, at)
+        first = next((k for k, (a, b) in enumerate(parents) if a <= at < b), len(parents) - 1)
+        assert r.parent_id == f"2_parent_{first:03d}"

@@ -43,3 +43,23 @@ def cluster_covariance(x: np.ndarray, y: np.ndarray, beta: np.ndarray, cluster:
     score = np.zeros((g, x.shape[1]))
     np.add.at(score, code, x * (y - p)[:, None])
     return g / (g - 1) * bread @ score.T @ score @ bread
+
+
+def roc_points(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
+    """group, score, tpr, fpr and precision at each distinct score, rows at or above it being called positive, and the
+    group's areas under the receiver curve (auc) and the precision-recall curve by steps (ap).
+
+    What is windowed is one row for each distinct score, so round scores of many rows first. A null score or label is
+    left out; a rate whose total is 0 is null.
+    """
+    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    at = known.groupBy(group, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
+    down = Window.partitionBy(group).orderBy(F.desc(score))
+    all_rows, before = Window.partitionBy(group), down.rowsBetween(Window.unboundedPreceding, -1)
+    run = {f"{c}_above": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("p", "q")} | {f"{c}_all": F.sum(c).over(all_rows) for c in ("p", "q")}
+    at = at.withColumns(run).withColumns({"tp": F.col("p_above") + F.col("p"), "fp": F.col("q_above") + F.col("q")})
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    area = F.try_divide(F.col("q") * (F.col("p_above") + F.col("p") / 2), F.col("p_all") * F.col("q_all"))
+    steps = F.try_divide(F.col("p"), F.col("p_all")) * precision
+    out = at.select(group, score, F.try_divide("tp", "p_all").alias("tpr"), F.try_divide("fp", "q_all").alias("fpr"), precision.alias("precision"), F.sum(area).over(all_rows).alias("auc"), F.sum(steps).over(all_rows).alias("ap"))
+    return out.select(group, score, *(F.round(c, 6).alias(c) for c in ("tpr", "fpr", "precision", "auc", "ap")))

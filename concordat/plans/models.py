@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from concordat.operators import network, newton, survival
+from concordat.operators import network, newton, stats, survival
 from concordat.plans.catalog import DYADS, ORACLES, ROLES, _dyads, _scored, grf21_change_statistics, query
 from concordat.sources.views import table
 
@@ -320,3 +320,20 @@ def mod09_marginal_effects(s, d):
         rows += [(ally, k, float(trade[k]), *(float(b[k]) for b in bounds)) for k in range(200)]
     found = s.createDataFrame(rows, "ally int, point int, trade double, probability double, low double, high double")
     return found.select("ally", "point", F.round("trade", 6).alias("trade"), *(F.round(c, 5).alias(c) for c in ("probability", "low", "high")))
+
+
+@query(
+    """, t AS (SELECT d.year, CAST(floor(ln(exports) * 10) AS INT) AS score, CAST(EXISTS (SELECT 1 FROM scored s WHERE s.relation = 'C-R' AND s.severity >= 4 AND s.year = d.year AND s.a = d.i AND s.b = d.j) AS INT) AS y FROM dyads d),
+       at_ AS (SELECT year, score, SUM(y) AS p, SUM(1 - y) AS q FROM t GROUP BY ALL), total AS (SELECT year, SUM(p) AS pa, SUM(q) AS qa FROM at_ GROUP BY year),
+       pts AS (SELECT a.year, a.score, pa, qa, (SELECT SUM(p) FROM at_ b WHERE b.year = a.year AND b.score >= a.score) AS tp, (SELECT SUM(q) FROM at_ b WHERE b.year = a.year AND b.score >= a.score) AS fp FROM at_ a JOIN total USING (year)),
+       areas AS (SELECT x.year, SUM(CASE WHEN x.score > z.score THEN x.p * z.q WHEN x.score = z.score THEN x.p * z.q / 2 ELSE 0 END) AS wins FROM at_ x JOIN at_ z ON x.year = z.year GROUP BY x.year),
+       ap AS (SELECT at_.year, SUM(at_.p / pa * tp / (tp + fp)) AS ap FROM at_ JOIN pts USING (year, score) GROUP BY at_.year)
+       SELECT year, score, ROUND(tp / NULLIF(pa, 0), 6) AS tpr, ROUND(fp / NULLIF(qa, 0), 6) AS fpr, ROUND(tp / (tp + fp), 6) AS precision, ROUND(wins / NULLIF(pa * qa, 0), 6) AS auc, ROUND(ap, 6) AS ap FROM pts JOIN areas USING (year) JOIN ap USING (year)""",
+    ROLES,
+    DYADS,
+)
+def grf15_roc(s, d):
+    """How well trade tells disputes, year by year: the points and areas of the receiver and precision-recall curves."""
+    arcs = _scored(s, d).filter("relation = 'C-R' AND severity >= 4").select("year", F.col("a").alias("i"), F.col("b").alias("j")).distinct().withColumn("y", F.lit(1))
+    rows = _dyads(s, d).select("year", "i", "j", F.floor(F.log("exports") * 10).cast("int").alias("score")).join(arcs, ["year", "i", "j"], "left").fillna(0, ["y"])
+    return stats.roc_points(rows, "year", "score", "y")

@@ -203,7 +203,7 @@ def viz04_top_litigants(s, d):
 
 @query("SELECT ally, ROUND(quantile_cont(exports, 0.25), 4) AS q1, ROUND(quantile_cont(exports, 0.5), 4) AS q2, ROUND(quantile_cont(exports, 0.75), 4) AS q3, MIN(exports) AS least, MAX(exports) AS most FROM (SELECT exports, CASE WHEN x.a IS NULL THEN 0 ELSE 1 END AS ally FROM dyads d LEFT JOIN v_ally x ON x.year = d.year AND x.a = i AND x.b = j) GROUP BY ally", DYADS)
 def viz05_stakes_by_alliance(s, d):
-    ally = F.broadcast(table(s, d, "v_ally").select("year", F.col("a").alias("i"), F.col("b").alias("j"), F.lit(1).alias("ally")))
+    ally = table(s, d, "v_ally").select("year", F.col("a").alias("i"), F.col("b").alias("j"), F.lit(1).alias("ally"))
     rows = _dyads(s, d).join(ally, ["year", "i", "j"], "left").select("exports", F.coalesce("ally", F.lit(0)).alias("ally"))
     q = lambda p: F.round(F.percentile("exports", p), 4)
     return rows.groupBy("ally").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.min("exports").alias("least"), F.max("exports").alias("most"))

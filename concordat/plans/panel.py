@@ -329,7 +329,7 @@ def jon25_ordered_parents(s, d):
 )
 def jon28_nodes_with_participation(s, d):
     part = table(s, d, "v_case_party").join(table(s, d, "v_case").select("case_id", "year"), "case_id").groupBy(F.col("party").alias("code"), "year").agg(F.count_distinct("case_id").alias("cases"))
-    covered = F.broadcast(table(s, d, "v_ally").select(F.col("a").alias("code"), F.lit(1).alias("covered")).distinct())
+    covered = table(s, d, "v_ally").select(F.col("a").alias("code"), F.lit(1).alias("covered")).distinct()
     return table(s, d, "v_node").select("code", "year").join(part, ["code", "year"], "left").join(covered, "code", "left").fillna({"cases": 0, "covered": 0})
 
 
@@ -625,7 +625,7 @@ def grf17_edge_covariates(s, d):
     ally = table(s, d, "v_ally").select("year", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.lit(1).alias("ally")).distinct()
     pta = table(s, d, "v_pta").select("year", F.col("a").alias("x"), F.col("b").alias("y"), F.col("depth_index").alias("depth"))
     rows = _cells(s, d).join(_dyads(s, d).select("year", "i", "j", "exports"), ["year", "i", "j"], "left").withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")})
-    rows = rows.join(F.broadcast(ally), ["year", "x", "y"], "left").join(F.broadcast(pta), ["year", "x", "y"], "left").fillna({"ally": 0, "depth": 0, "exports": 0.0})
+    rows = rows.join(ally, ["year", "x", "y"], "left").join(pta, ["year", "x", "y"], "left").fillna({"ally": 0, "depth": 0, "exports": 0.0})
     distance = F.round(F.coalesce(F.abs(F.col("ip1") - F.col("ip2")), F.lit(0.0)), 6)
     return rows.select("year", "i", "j", F.round(F.log1p("exports"), 6).alias("log_trade"), "ally", "depth", distance.alias("distance"), (F.col("ally") * F.col("depth")).alias("ally_depth"))
 

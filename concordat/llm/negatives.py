@@ -107,18 +107,32 @@ def widened(data: bytes, rows: int, width: int) -> np.ndarray:
     return np.frombuffer(data, f"<i{len(data) // max(1, rows * width) or 8}").reshape(rows, width).astype(np.int64)
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of so many, the last of fewer, whatever the size that Spark hands on."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            whole = pa.concat_batches(held)
+            cut = n - n % rows
+            yield from (whole.slice(at, rows) for at in range(0, cut, rows))
+            held, n = [whole.slice(cut)], n - cut
+    if n:
+        yield pa.concat_batches(held)
+
+
 def packed_rows(table: DataFrame, width: int, centres: np.ndarray) -> DataFrame:
     """Blocks of at most ROWS encoded rows: their numbers, ids, labels, codes, residual norms and vectors as bytes."""
     shared = table.sparkSession.sparkContext.broadcast(centres)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                x = matrix(part.column(3), width)
-                codes, left = encode(x, shared.value)
-                fields = [part.column(c).to_numpy().astype("<i8") for c in range(3)] + [codes, left.astype("<f8"), narrow(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([f.tobytes()], pa.binary()) for f in fields], ["rows", "ids", "labels", "codes", "left", "vectors"])
+        for part in in_blocks(batches, ROWS):
+            x = matrix(part.column(3), width)
+            codes, left = encode(x, shared.value)
+            fields = [part.column(c).to_numpy().astype("<i8") for c in range(3)] + [codes, left.astype("<f8"), narrow(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes()], pa.binary()) for f in fields], ["rows", "ids", "labels", "codes", "left", "vectors"])
 
     return materialise(table.select("row", "id", "label", "vector").mapInArrow(pack, "rows binary, ids binary, labels binary, codes binary, left binary, vectors binary"), "encoded")
 
@@ -127,14 +141,12 @@ def packed_anchors(asked: DataFrame, width: int) -> DataFrame:
     """Blocks of at most ANCHORS anchors (row, id, label, vector, wants: array of struct(rank, low, high))."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ANCHORS):
-                part = batch.slice(at, ANCHORS)
-                wants = part.column(4)
-                of = np.repeat(np.arange(part.num_rows), np.diff(wants.offsets.to_numpy()))
-                ranges = [f.to_numpy(zero_copy_only=False).astype("<i8") for f in wants.flatten().flatten()]
-                fields = [part.column(c).to_numpy().astype("<i8") for c in range(3)] + [matrix(part.column(3), width).astype("<i8"), of.astype("<i8"), *ranges]
-                yield pa.RecordBatch.from_arrays([pa.array([f.tobytes()], pa.binary()) for f in fields], [f"a{i}" for i in range(8)])
+        for part in in_blocks(batches, ANCHORS):
+            wants = part.column(4)
+            of = np.repeat(np.arange(part.num_rows), np.diff(wants.offsets.to_numpy()))
+            ranges = [f.to_numpy(zero_copy_only=False).astype("<i8") for f in wants.flatten().flatten()]
+            fields = [part.column(c).to_numpy().astype("<i8") for c in range(3)] + [matrix(part.column(3), width).astype("<i8"), of.astype("<i8"), *ranges]
+            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes()], pa.binary()) for f in fields], [f"a{i}" for i in range(8)])
 
     return asked.select("row", "id", "label", "vector", "wants").mapInArrow(pack, ", ".join(f"a{i} binary" for i in range(8)))
 

@@ -29,13 +29,20 @@ LEVELS = 500
 
 @dataclass
 class Fit:
-    """params: a row a fit; information: minus the second derivatives there; converged: a flag a fit."""
+    """params: a row a fit; information: minus the second derivatives there; converged: a flag a fit; bounded: whether
+    the likelihood has one maximum, which separated outcomes and regressors that follow from others take from it."""
 
     names: list[str]
     params: np.ndarray
     loglik: np.ndarray
     information: np.ndarray
     converged: np.ndarray
+    bounded: np.ndarray
+
+    @property
+    def estimates(self) -> np.ndarray:
+        """params, not a number where there is no single maximum."""
+        return np.where(self.bounded[:, None], self.params, np.nan)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -82,6 +89,22 @@ def added_up(table: DataFrame, columns: list[str], sums: Callable[[np.ndarray],
     return out
 
 
+def curved(first: np.ndarray, last: np.ndarray, least: float = 1e-11) -> bool:
+    """Whether no direction has lost all of the information that it had at the start, and each had some.
+
+    Where a maximum lies at infinity, rounds go on until a direction's weights m (1 - m) are some 1e-15; a finite one
+    with weights below least would need more rows than its inverse.
+    """
+    size = np.sqrt(np.maximum(np.diag(first), 0))
+    if not (size > 0).all() or not np.isfinite(last).all():
+        return False
+    values, vectors = np.linalg.eigh(first / np.outer(size, size))
+    if values[0] < 1e-13 * len(size):
+        return False
+    unit = vectors / np.sqrt(values) / size[:, None]
+    return bool(np.linalg.eigvalsh(unit.T @ last @ unit)[0] > least)
+
+
 def newton(names: list[str], start: np.ndarray, sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 60, close: float = 1e-18) -> Fit:
     """Rounds from start, a row a fit; sums gives (log-likelihoods, gradients, information) of such rows.
 
@@ -89,6 +112,7 @@ def newton(names: list[str], start: np.ndarray, sums: Callable[[np.ndarray], tup
     """
     at = np.array(start, float)
     value, gradient, information = sums(at)
+    first = information.copy()
     done = np.zeros(len(at), bool)
     step = np.zeros_like(at)
     halved = np.zeros(len(at), int)
@@ -109,7 +133,8 @@ def newton(names: list[str], start: np.ndarray, sums: Callable[[np.ndarray], tup
         halved = np.where(worse, halved + 1, 0)
         fresh = better
         done |= halved > 30
-    return Fit(names, at, value, information, done & (halved <= 30))
+    bounded = np.array([curved(a, b) for a, b in zip(first, information)])
+    return Fit(names, at, value, information, done & (halved <= 30), bounded)
 
 
 def logistic(eta: np.ndarray) -> np.ndarray:
@@ -161,8 +186,11 @@ def cluster_covariance(fit: Fit, table: DataFrame, outcome: str, terms: list[str
     """The sandwich of a logit's information and the scores added up by cluster, times g / (g - 1) for g clusters.
 
     Scores are added up by one aggregation, partly before the shuffle, so that a cluster of any size is fine; their
-    outer products by another pass over the clusters. A null cluster is one of its own.
+    outer products by another pass over the clusters. A null cluster is one of its own. Without a single maximum
+    nothing is known of any of it.
     """
+    if not fit.bounded[0]:
+        return np.full_like(fit.information[0], np.nan)
     beta, known = fit.params[0], table.dropna(subset=[outcome, *terms])
     eta = F.lit(float(beta[0]))
     for b, t in zip(beta[1:], terms):

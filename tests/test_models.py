@@ -152,6 +152,18 @@ def test_empty_and_separated(spark, table):
         newton.factor(spark.range(600), "id")
 
 
+def test_no_finite_maximum(spark, table):
+    """A period of one outcome, all of one outcome, and a regressor that is always 0."""
+    terms = ["a", "b", "period_2003"]
+    rows = table.withColumn("period_2003", (table["period"] == 2003).cast("double"))
+    assert newton.logit(rows, "y", terms).bounded.all()
+    for y, more in (("CASE WHEN period = 2003 THEN 1.0 ELSE y END", terms), ("1.0", terms), ("y", ["a", "nil"])):
+        apart = newton.stored(rows.selectExpr("*", f"{y} AS gone", "a * 0 AS nil"), "apart")
+        fit = newton.logit(apart, "gone", more)
+        assert not fit.bounded.any() and np.isnan(fit.estimates).all()
+        assert np.isnan(newton.cluster_covariance(fit, apart, "gone", more, "grp")).all()
+
+
 def test_choice_among_three(spark):
     rng = np.random.default_rng(8)
     n = 600

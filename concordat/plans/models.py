@@ -90,10 +90,13 @@ def _panel_fit(s, d):
     *LOGIT_SQL,
 )
 def mod07_logit_fixed_effects(s, d):
-    """Disputes of dyad-years on alliance, trade and their product with year effects, and errors clustered by dyad."""
+    """Disputes of dyad-years on alliance, trade and their product with year effects, and errors clustered by dyad.
+
+    Where every dyad of a year has a dispute no estimate is finite, and all figures are NaN."""
     fit, covariance = _panel_fit(s, d)
-    error, cluster = np.sqrt(np.diag(np.linalg.inv(fit.information[0]))), np.sqrt(np.diag(covariance))
-    rows = [(t, float(b), float(e), float(c), float(b / c)) for t, b, e, c in zip(fit.names, fit.params[0], error, cluster)]
+    bread = np.linalg.inv(fit.information[0]) if fit.bounded[0] else np.full_like(covariance, np.nan)
+    error, cluster = np.sqrt(np.diag(bread)), np.sqrt(np.diag(covariance))
+    rows = [(t, float(b), float(e), float(c), float(b / c)) for t, b, e, c in zip(fit.names, fit.estimates[0], error, cluster)]
     found = s.createDataFrame(rows, "term string, estimate double, std_error double, cluster_error double, z double")
     return found.select("term", *(F.round(c, 5).alias(c) for c in ("estimate", "std_error", "cluster_error")), F.round("z", 3).alias("z"))
 

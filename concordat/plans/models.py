@@ -318,7 +318,7 @@ def mod09_marginal_effects(s, d):
     for ally in (0, 1):
         x = np.zeros((200, len(fit.names)))
         x[:, 0], x[:, 1], x[:, 2], x[:, 3] = 1, ally, trade, ally * trade
-        eta, error = x @ fit.params[0], np.sqrt(((x @ covariance) * x).sum(axis=1))
+        eta, error = x @ fit.estimates[0], np.sqrt(((x @ covariance) * x).sum(axis=1))
         bounds = [newton.logistic(eta + k * error) for k in (0, -1.96, 1.96)]
         rows += [(ally, k, float(trade[k]), *(float(b[k]) for b in bounds)) for k in range(200)]
     found = s.createDataFrame(rows, "ally int, point int, trade double, probability double, low double, high double")

@@ -273,12 +273,13 @@ _CHOICE_SQL = (
 @recursive
 @query("SELECT [" + ", ".join(f"'{t}'" for t in SIGNED_TERMS) + "][k] AS term, ROUND(b[k], 3) AS estimate FROM steps, range(1, 9) r(k) WHERE t = 2400", ROLES, SIGNED_TIES, SIGNED_FEATURES, *_CHOICE_SQL)
 def mod12_signed_ties(s, d):
-    """Pseudo-likelihood of the signed networks, years pooled, with balance terms."""
+    """Pseudo-likelihood of the signed networks, years pooled, with balance terms; NaN where it has no finite maximum, as
+    when every pair has a tie."""
     ally = table(s, d, "v_ally").select("year", F.col("a").alias("x"), F.col("b").alias("y"), F.col("atopally").alias("ally"))
     rows = _signed_changes(s, d).join(ally, ["year", "x", "y"], "left").fillna(0, ["ally"]).withColumns({"one": F.lit(1.0), "chosen": F.when(F.col("sign") == -1, 2).otherwise(F.col("sign"))})
     positive, negative = ["one", None, "pos_degree", None, "pos_friends", "pos_enemies", "ally", None], [None, "one", None, "neg_degree", None, "neg_enemies", None, "ally"]
     fit = newton.choice_logit(newton.stored(rows, "signed-changes"), "chosen", SIGNED_TERMS, [positive, negative])
-    return s.createDataFrame([(t, float(b)) for t, b in zip(fit.names, fit.params[0])], "term string, estimate double").withColumn("estimate", F.round("estimate", 3))
+    return s.createDataFrame([(t, float(b)) for t, b in zip(fit.names, fit.estimates[0])], "term string, estimate double").withColumn("estimate", F.round("estimate", 3))
 
 
 #: How often documents have two letters and a point, in logarithms; how long they are is behind all three.

@@ -184,6 +184,15 @@ def test_choice_among_three(spark):
     assert fit.converged.all() and np.allclose(fit.params[0], want, atol=1e-7) and np.allclose(fit.information[0], information, rtol=1e-4)
 
 
+def test_choices_without_finite_maximum(spark):
+    """An alternative that nobody chose, and a feature that is always 0."""
+    rows = newton.stored(spark.createDataFrame([(k % 3, float(k % 7), 1.0, 0.0) for k in range(120)], "y int, a double, one double, nil double"), "choices")
+    names, features = ["e1", "e2", "slope"], [["one", None, "a"], [None, "one", None]]
+    assert newton.choice_logit(rows, "y", names, features).bounded.all()
+    assert np.isnan(newton.choice_logit(rows.filter("y > 0"), "y", names, features).estimates).all()
+    assert np.isnan(newton.choice_logit(rows, "y", names, [["one", None, "nil"], [None, "one", None]]).estimates).all()
+
+
 def test_factors():
     rng = np.random.default_rng(2)
     load = np.array([[0.9, 0.0], [0.8, 0.0], [0.7, 0.0], [0.0, 0.8], [0.0, 0.7], [0.0, 0.6]])

@@ -28,7 +28,9 @@ def with_cases(dyads: DataFrame, cases: DataFrame) -> DataFrame:
 def disputed_trade(dyads: DataFrame, sections: DataFrame, flows: DataFrame, lags: int = 3) -> DataFrame:
     """Sum and mean of trade in a case's sections, in both directions and for years 0 to lags back.
 
-    Each dyad is exploded over sections and lags and met with the section flows by equality; NULL where none match.
+    Each dyad is exploded over sections and lags and met with the section flows by equality; NULL where none match. The
+    flows are broadcast, as there is one at most for two nations, a section and a year; so all rows of a case stay where
+    its dyads and sections have met, and the sums need no shuffle of the exploded rows.
     """
     wanted = (
         dyads.select("case_id", "a", "b", "year")
@@ -38,7 +40,7 @@ def disputed_trade(dyads: DataFrame, sections: DataFrame, flows: DataFrame, lags
         .select("*", F.explode(F.array(F.struct(F.lit("out").alias("way"), F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.lit("back").alias("way"), F.col("b").alias("i"), F.col("a").alias("j")))).alias("d"))
         .select("case_id", "a", "b", "year", "section", "lag", "d.way", "d.i", "d.j", (F.col("year") - F.col("lag")).alias("at"))
     )
-    met = wanted.join(flows.withColumnRenamed("year", "at"), ["i", "j", "at", "section"], "left")
+    met = wanted.join(F.broadcast(flows.withColumnRenamed("year", "at")), ["i", "j", "at", "section"], "left")
     return met.groupBy("case_id", "a", "b", "year", "way", "lag").agg(F.round(F.sum("exports"), 2).alias("total"), F.round(F.avg("exports"), 6).alias("mean"))
 
 

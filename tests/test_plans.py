@@ -19,3 +19,10 @@ def test_disputed_trade_stays_with_its_case(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not re.search(r"Exchange hashpartitioning\([^)]*\b(lag|way)#", found)
+
+
+def test_flows_are_added_up_once_for_all_years(spark, monkeypatch):
+    written, write = [], files.files.write_csv
+    monkeypatch.setattr(files.files, "write_csv", lambda df, path: (written.append(plan(df)), write(df, path)))
+    assert files.src04_file_per_year(spark, SF).count()
+    assert len(written) == 5 and not any("Join" in p or "Exchange" in p for p in written)

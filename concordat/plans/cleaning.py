@@ -196,7 +196,8 @@ def viz02_type_counts(s, d):
 
 @query("SELECT party, COUNT(DISTINCT case_id) FILTER (role = 'complainant') AS brought, COUNT(DISTINCT case_id) FILTER (role = 'respondent') AS faced FROM v_case_party GROUP BY party ORDER BY brought + faced DESC, party LIMIT 12")
 def viz04_top_litigants(s, d):
-    of = lambda role: F.count_distinct(F.when(F.col("role") == role, F.col("case_id")))
+    """A party has a role in a case once, so that its cases are counted without telling them apart again."""
+    of = lambda role: F.count_if(F.col("role") == role)
     per = table(s, d, "v_case_party").groupBy("party").agg(of("complainant").alias("brought"), of("respondent").alias("faced"))
     return per.orderBy(F.desc(F.col("brought") + F.col("faced")), "party").limit(12)
 

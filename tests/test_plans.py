@@ -26,3 +26,7 @@ def test_flows_are_added_up_once_for_all_years(spark, monkeypatch):
     monkeypatch.setattr(files.files, "write_csv", lambda df, path: (written.append(plan(df)), write(df, path)))
     assert files.src04_file_per_year(spark, SF).count()
     assert len(written) == 5 and not any("Join" in p or "Exchange" in p for p in written)
+
+
+def test_litigants_are_counted_without_telling_cases_apart_again(spark):
+    assert "Expand" not in plan(cleaning.viz04_top_litigants(spark, SF))

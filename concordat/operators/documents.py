@@ -138,6 +138,16 @@ def chunk_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return [*out, (held[0][0], held[-1][1])] if held else out
 
 
+def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
+    """df; the session's Arrow batches have so many rows at most from now on, so that long texts do not add up in the
+    memory of Python workers, whatever the size of a task."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+    return df
+
+
 def chunks(docs: DataFrame, parent: tuple[int, int] = (6000, 800), child: tuple[int, int] = (1200, 200)) -> DataFrame:
     """Child chunks of documents with the parent each begins in: doc_id, parent_no, child_no, start, end, chunk."""
 
@@ -152,7 +162,7 @@ def chunks(docs: DataFrame, parent: tuple[int, int] = (6000, 800), child: tuple[
                     rows.append((doc_id, p if p < len(spans) and spans[p][0] <= a else len(spans) - 1, k, a, b, text[a:b]))
             yield pd.DataFrame(rows, columns=["doc_id", "parent_no", "child_no", "start", "end", "chunk"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, parent_no int, child_no int, start int, end int, chunk string")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, parent_no int, child_no int, start int, end int, chunk string")
 
 
 def routed_chunks(docs: DataFrame, longest: int = 6000) -> DataFrame:

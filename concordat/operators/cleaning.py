@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.operators.documents import english_lines
+from concordat.operators.documents import english_lines, small_batches
 from concordat.operators.labels import without_footnotes, without_header
 
 #: What marks a line as a page number, as a heading that every page repeats, and as noise.
@@ -60,6 +60,7 @@ def clean_steps(df: DataFrame, text: str, title: str | None = None) -> DataFrame
         *([lambda x: F.coalesce(title_once(x, F.col(title)), x)] if title else []),
         lambda x: even_white_space(blanked(x, NOISE_LINE)),
     ]
+    df = small_batches(df)
     for step in steps:
         df = df.withColumn(text, step(F.col(text)))
     return df

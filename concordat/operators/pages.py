@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import text as t
+from concordat.operators.documents import small_batches
 
 #: Elements that have no content.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -139,7 +140,7 @@ def pieces(html: Column) -> Column:
 def case_titles(pages: DataFrame, html: str = "html") -> DataFrame:
     """case_no and title of the cases that pages list, the last of equal numbers on a page: links of the class clean-link
     whose text is DS, a number and a title; where a page has none, links to a case's page with such a text."""
-    found = pages.select(*(c for c in pages.columns if c != html), pieces(F.col(html))["links"].alias("_links"))
+    found = small_batches(pages).select(*(c for c in pages.columns if c != html), pieces(F.col(html))["links"].alias("_links"))
     named = lambda x: x["text"].rlike(r"^DS(\d+)\s*(.+)$")
     clean = F.filter("_links", lambda x: F.array_contains(F.split(x["class"], r"\s+"), F.lit("clean-link")) & named(x))
     linked = F.filter("_links", lambda x: x["href"].rlike(r"/cases_e/ds(\d+)_e\.htm") & named(x))
@@ -171,7 +172,7 @@ def case_records(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with current_status, case_number_raw, summary and facts (a map by normal key, the last of equal keys) in
     place of html; null, or an empty map, where the page has none of it."""
     keep = [c for c in pages.columns if c != html]
-    rows = pages.select(*keep, pieces(F.col(html)).alias("_p"))
+    rows = small_batches(pages).select(*keep, pieces(F.col(html)).alias("_p"))
     facts = F.transform("_p.facts", lambda x: F.struct(fact_key(x["key"]).alias("key"), t.spaced(x["value"]).alias("value")))
     facts = F.filter(facts, lambda x: F.coalesce(x["key"], F.lit("")) != "")
     last = F.filter(facts, lambda x, i: F.size(F.filter(facts, lambda y, j: (y["key"] == x["key"]) & (j > i))) == 0)

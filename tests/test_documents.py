@@ -61,3 +61,18 @@ def test_routed_chunks(spark):
         at = long.index(r.chunk, at)
         first = next((k for k, (a, b) in enumerate(parents) if a <= at < b), len(parents) - 1)
         assert r.parent_id == f"2_parent_{first:03d}"
+
+
+def test_long_texts_go_to_python_in_small_batches(spark):
+    from concordat.operators import cleaning, documents, pages
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.createDataFrame([(1, "a b", "<p>x</p>")], "doc_id long, text string, html string")
+    before = spark.conf.get(key)
+    try:
+        for use in (documents.chunks, lambda df: cleaning.clean_steps(df, "text"), pages.case_titles, pages.case_records):
+            spark.conf.set(key, "10000")
+            use(rows)
+            assert int(spark.conf.get(key)) <= 256
+    finally:
+        spark.conf.set(key, before)

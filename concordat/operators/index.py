@@ -72,16 +72,19 @@ def asked_terms(queries: DataFrame, buckets: int, text: str = "text") -> DataFra
 def search(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, group, key, score of the documents that share a term with a query, by Okapi BM25 within each group.
 
-    Only the buckets of the queries' terms are read.
+    Only the buckets of the queries' terms are read. The queries and the weights of their terms, which do not grow with
+    the documents, are broadcast. Postings are dealt by document before they meet the queries, so that what is shuffled
+    are the postings of asked terms, and not a row for each of them and query.
     """
     asked = asked_terms(queries, index.buckets)
     wanted = [r[0] for r in asked.select("bucket").distinct().collect()]
     here = F.col("bucket").isin(wanted) if wanted else F.lit(False)
     terms = asked.select("term", "bucket").distinct()
     idf = index.terms.filter(here).join(terms, ["bucket", "term"], "left_semi").join(index.groups.select("group", "mean_length"), "group")
-    met = index.postings.filter(here).join(terms, ["bucket", "term"], "left_semi").join(idf.drop("df"), ["bucket", "group", "term"])
+    met = index.postings.filter(here).join(F.broadcast(idf.drop("df")), ["bucket", "group", "term"])
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = met.select("bucket", "term", "group", "key", weight.alias("weight")).join(asked, ["bucket", "term"])
+    dealt = met.select("term", "group", "key", weight.alias("weight")).repartition("group", "key")
+    scored = dealt.join(F.broadcast(asked.select("query_id", "term")), "term")
     return scored.groupBy("query_id", "group", "key").agg(F.round(F.sum("weight"), 6).alias("score"))
 
 

@@ -97,3 +97,11 @@ def test_authors_and_sections_of_odd_rows(spark):
     got = {r.k: (r.sections, r.case_type, r.method, r.confidence) for r in cascades.with_sections(codes.withColumn("p", F.lit("product")), "codes", "f", "p", "t", "p").collect()}
     every = "|".join(map(str, range(1, 22)))
     assert got == {1: ("1|21", "product", "explicit_hs", "high"), 2: (every, "product", "model", "medium"), 3: ("1|2", "product", "title_fallback", "low")}
+
+
+def test_scores_are_added_up_where_the_document_is(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "g", f"a b{k % 3}") for k in range(20)], "doc_id long, source string, text string")
+    index.write_index(docs, str(tmp_path / "index"), "doc_id", "source")
+    found = index.search(index.open_index(spark, str(tmp_path / "index")), spark.createDataFrame([(1, "a b1"), (2, "b2")], "query_id long, text string"))
+    assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 20 + 6

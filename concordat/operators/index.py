@@ -1,19 +1,25 @@
 """A keyword index that is stored: postings in buckets by term, weights of terms, lengths of groups; and a key-value store.
 
 The corpus is split into terms once, when the index is written. A search names the buckets of its terms, so that the
-scan opens those folders only, and within them the files' statistics of the sorted terms. Postings are dealt by ranges
-of bucket, term and key, so that a term in every document fills several files instead of one task.
+scan opens those folders only; their files are sorted by term. Postings are dealt by bucket and a hash of the key, so that
+a term in every document fills several files instead of one task, and a folder has as many files at any size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of postings; a search lists at most so many numbers on the driver.
-BUCKETS = 64
+from concordat.operators.documents import small_batches
+
+#: Folders of postings; a search lists at most so many numbers on the driver. Files of a folder at most.
+BUCKETS, SLICES = 64, 8
 #: Fixed values of the scoring.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -33,24 +39,71 @@ class Index:
     buckets: int
 
 
+def cut_terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The terms of texts one after another, the place of the text of each, and how many each text has."""
+    cut = pc.ascii_split_whitespace(texts)
+    term, text = cut.flatten(), pc.list_parent_indices(cut).to_numpy()
+    some = pc.not_equal(term, "")
+    text = text[some.to_numpy(zero_copy_only=False)]
+    return term.filter(some), text, np.bincount(text, minlength=len(cut)).astype(np.int32)
+
+
+def counted_terms(texts: DataFrame) -> DataFrame:
+    """group, key, length, term and tf of rows of group, key and texts: what a row's texts of one length hold together."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term, text, length = cut_terms(batch.column("texts").flatten())
+            row = pc.list_parent_indices(batch.column("texts")).to_numpy()
+            (row, length), document = np.unique(np.stack([row, length]), axis=1, return_inverse=True)
+            found = pa.table({"document": document.ravel()[text], "term": term}).group_by(["document", "term"], use_threads=False).aggregate([([], "count_all")])
+            for part in found.to_batches():
+                of = part.column("document").to_numpy()
+                at = pa.array(row[of])
+                columns = [batch.column("group").take(at), batch.column("key").take(at), pa.array(length[of].astype(np.int32)), part.column("term"), part.column("count_all")]
+                yield pa.RecordBatch.from_arrays(columns, ["group", "key", "length", "term", "tf"])
+
+    kinds = (texts.schema[c].dataType.simpleString() for c in ("group", "key"))
+    return small_batches(texts).mapInArrow(count, "`group` {}, key {}, length int, term string, tf bigint".format(*kinds))
+
+
+def text_lengths(docs: DataFrame) -> DataFrame:
+    """group and n, the number of terms, of each row of group and text."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(cut_terms(batch.column("text"))[2])], ["group", "n"])
+
+    return small_batches(docs).mapInArrow(measure, f"`group` {docs.schema['group'].dataType.simpleString()}, n int")
+
+
+def in_folders(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt by bucket and a hash of by, so that a folder has at most SLICES files, whatever the number of tasks."""
+    return rows.repartition("bucket", F.pmod(F.xxhash64(*by), F.lit(SLICES)))
+
+
 def write_index(docs: DataFrame, path: str, key: str, group: str, text: str = "text", buckets: int = BUCKETS) -> None:
     """Store an index of the texts of docs. Terms are split at white space, case kept; a null text has none.
 
     A term in more than half of a group's documents has EPSILON times the mean weight of the group's terms instead of
     its negative one. Rows that share a key are one document of their added terms only if they share a text's length.
+    Terms are counted where the text is read; texts are shuffled only if a key of a group comes twice.
     """
     spark = docs.sparkSession
-    terms = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    cut = docs.select(F.col(group).alias("group"), F.col(key).alias("key"), terms.alias("terms")).withColumn("length", F.size("terms"))
-    counted = cut.select("group", "key", "length", F.explode("terms").alias("term")).groupBy("group", "key", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dealt = counted.withColumn("bucket", bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "group", "key")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    sizes = docs.select(F.col(group).alias("group"), F.size(terms).alias("n")).groupBy("group").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean_length"))
+    rows = docs.select(F.col(group).alias("group"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if rows.groupBy("group", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).isEmpty():
+        texts = rows.select("group", "key", F.array("text").alias("texts"))
+    else:
+        texts = rows.groupBy("group", "key").agg(F.collect_list("text").alias("texts"))
+    postings = counted_terms(texts).withColumn("bucket", bucket(F.col("term"), buckets))
+    in_folders(postings, "key").sortWithinPartitions("bucket", "term", "group", "key").write.partitionBy("bucket").parquet(f"{path}/postings")
+    sizes = text_lengths(rows.select("group", "text")).groupBy("group").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean_length"))
     sizes.write.parquet(f"{path}/sizes")
     sizes = spark.read.parquet(f"{path}/sizes")
     postings = spark.read.parquet(f"{path}/postings")
     df = postings.groupBy("bucket", "group", "term").agg(F.count(F.lit(1)).alias("df")).join(sizes.select("group", "n_docs"), "group")
-    df.select("bucket", "group", "term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")).write.partitionBy("bucket").parquet(f"{path}/terms")
+    weights = df.select("bucket", "group", "term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    in_folders(weights, "term", "group").write.partitionBy("bucket").parquet(f"{path}/terms")
     means = spark.read.parquet(f"{path}/terms").groupBy("group").agg(F.avg("raw").alias("mean_idf"), F.count(F.lit(1)).alias("n_terms"))
     sizes.join(means, "group", "left").write.parquet(f"{path}/groups")
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")

@@ -105,3 +105,33 @@ def test_scores_are_added_up_where_the_document_is(spark, tmp_path):
     found = index.search(index.open_index(spark, str(tmp_path / "index")), spark.createDataFrame([(1, "a b1"), (2, "b2")], "query_id long, text string"))
     assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 20 + 6
+
+
+def test_index_has_few_files_whatever_the_tasks(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"g{k % 2}", " ".join(f"w{k}x{j}" for j in range(60))) for k in range(60)], "doc int, grp string, text string")
+    keys = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        index.write_index(docs, f"{tmp_path}/i", "doc", "grp", buckets=2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    held = index.open_index(spark, f"{tmp_path}/i")
+    for part in ("terms", "postings"):
+        assert len(spark.read.parquet(f"{tmp_path}/i/{part}").inputFiles()) <= 2 * index.SLICES
+    assert held.postings.count() == held.terms.count() == 3600
+
+
+def test_index_of_odd_rows(spark, tmp_path):
+    once = [(1, "g", "a\x0bb\x0c\ra\x1ca  "), (2, "g", "a\xa0a a"), (3, "g", None), (4, "g", " \n"), (5, "h", ""), (2, None, "a"), (None, "g", "é é")]
+    more = [(2, "g", " b a"), (2, "g", "a"), (None, "g", "é a")]
+    known = {("g", 1, 3, "a", 1), ("g", 1, 3, "b", 1), ("g", 1, 3, "a\x1ca", 1), ("g", 2, 2, "a\xa0a", 1), ("g", 2, 2, "a", 1), (None, 2, 1, "a", 1), ("g", None, 2, "é", 2)}
+    added = known - {("g", 2, 2, "a", 1), ("g", None, 2, "é", 2)} | {("g", 2, 2, "a", 2), ("g", 2, 2, "b", 1), ("g", 2, 1, "a", 1), ("g", None, 2, "é", 3), ("g", None, 2, "a", 1)}
+    for name, rows, postings, n in (("once", once, known, 5), ("more", once + more, added, 8)):
+        index.write_index(spark.createDataFrame(rows, "doc int, grp string, text string"), f"{tmp_path}/{name}", "doc", "grp")
+        held = index.open_index(spark, f"{tmp_path}/{name}")
+        found = held.postings.select("group", "key", "length", "term", "tf").collect()
+        assert set(map(tuple, found)) == postings and len(found) == len(postings)
+        assert {(r["group"], r.n_docs) for r in held.groups.collect()} == {("g", n), (None, 1), ("h", 1)}

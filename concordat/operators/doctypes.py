@@ -1,11 +1,16 @@
 """The type of a case document from its head: the text between title and body, else the head as a whole.
 
 Lines are cut once into an array; where the title ends and where the body begins are positions in that array, found
-with array functions. The rules are data, tried in order on a text that is computed once; all of it stays in Catalyst.
+with array functions. The rules are data, tried in order on a text that is computed once, each where its words are; all
+of it stays in Catalyst.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,58 +99,73 @@ DASH = "[–—-]"
 HEAD, WHOLE, MORE_TITLE, BEFORE_BODY = 2000, 1200, 3, 15
 UNKNOWN = "UNKNOWN"
 #: White space beyond that of regular expressions here, all read as blanks.
-OTHER_SPACE = r"[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+OTHER_SPACE = "\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def capitals(line: Column) -> Column:
     """Whether a line is in capitals, or more than half of its more than five characters are."""
-    some = F.length(F.regexp_replace(line, r"\P{Lu}", ""))
+    some = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
     return ((some > 0) & ~line.rlike(r"[\p{Ll}\p{Lt}]")) | ((F.length(line) > 5) & (some > 0.5 * F.length(line)))
 
 
+def plain_space(text: Column) -> Column:
+    return F.translate(text, OTHER_SPACE, " " * len(OTHER_SPACE))
+
+
 def head_lines(text: Column) -> Column:
-    """The lines of a text's head, stripped, each with whether it is in capitals (caps)."""
-    lines = F.split(F.regexp_replace(F.substring(text, 1, HEAD), OTHER_SPACE, " "), "\n", -1)
-    stripped = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return F.transform(stripped, lambda x: F.struct(x.alias("line"), capitals(x).alias("caps")))
+    """The lines of a text's head, stripped."""
+    lines = F.split(plain_space(F.substring(text, 1, HEAD)), "\n", -1)
+    return F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
 
 
-def before_body(lines: Column) -> Column:
-    """The text between title and body; lines as head_lines gives them.
+def with_before_body(df: DataFrame) -> DataFrame:
+    """df with _between, the text between title and body, from _lines as head_lines gives them.
 
     The title is the first line in capitals of ten characters or more with a dash, and up to MORE_TITLE lines in
-    capitals after it; without one the text begins with the head. Blank lines do not count.
+    capitals after it; without one the text begins with the head. Blank lines do not count. Each position is a column,
+    so that it is found once.
     """
-    title = F.array_position(F.transform(lines, lambda x: (F.length(x["line"]) >= 10) & x["caps"] & x["line"].rlike(DASH)), True)
-    after = F.slice(lines, title.cast("int") + 1, MORE_TITLE)
-    ends = F.array_position(F.transform(after, lambda x: x["caps"]), False)
-    more = F.when(title == 0, 0).when(ends == 0, F.size(after)).otherwise(ends.cast("int") - 1)
-    rest = F.transform(F.slice(lines, title.cast("int") + more + 1, BEFORE_BODY), lambda x: x["line"])
-    stop = F.array_position(F.transform(rest, lambda x: x.rlike(BODY) | x.rlike(BODY_CASED)), True)
-    kept = F.when(stop == 0, rest).otherwise(F.slice(rest, 1, F.greatest(stop.cast("int") - 1, F.lit(0))))
-    return F.array_join(F.filter(kept, lambda x: x != ""), " ")
+    title, more, rest, stop = map(F.col, held := ("_title", "_more", "_rest", "_stop"))
+    rows = df.withColumn("_title", F.array_position(F.transform("_lines", lambda x: (F.length(x) >= 10) & x.rlike(DASH) & capitals(x)), True).cast("int"))
+    caps = F.transform(F.slice("_lines", title + 1, MORE_TITLE), capitals)
+    rows = rows.withColumn("_more", caps).withColumn("_more", F.struct(F.size(more).alias("n"), F.array_position(more, False).cast("int").alias("end")))
+    goes_on = F.when(title == 0, 0).when(more["end"] == 0, more["n"]).otherwise(more["end"] - 1)
+    rows = rows.withColumn("_rest", F.slice("_lines", title + goes_on + 1, BEFORE_BODY))
+    rows = rows.withColumn("_stop", F.array_position(F.transform(rest, lambda x: x.rlike(BODY) | x.rlike(BODY_CASED)), True).cast("int"))
+    kept = F.when(stop == 0, rest).otherwise(F.slice(rest, 1, F.greatest(stop - 1, F.lit(0))))
+    return rows.withColumn("_between", F.array_join(F.filter(kept, lambda x: x != ""), " ")).drop(*held)
+
+
+def needed_words(pattern: str) -> list[str]:
+    """Words in small letters that occur in whatever the pattern meets, longest first; the pattern has no choice outside
+    of brackets."""
+    while (bare := re.sub(r"\((?:\?:)?[^()]*\)[?*+]*", " ", pattern)) != pattern:
+        pattern = bare
+    bare = re.sub(r"\[[^]]*\]|\\.|.[?*]", " ", pattern)
+    return sorted(set(re.findall("[a-z]+", bare)), key=lambda w: (-len(w), w))
 
 
-#: Stands between what the rules met.
-MARK = "\x01"
-#: All rules in one: alternatives are tried in order, each on the whole text, and the first that occurs is captured.
-ANY_RULE = "(?is)^(?:" + "|".join(f"(?=.*?({p}))" for p, _ in RULES) + ").*$"
-EVERY_GROUP = MARK.join(f"${k}" for k in range(1, len(RULES) + 1))
+def first_rule(text: Column, small: Column) -> Column:
+    """The number of the first rule that occurs in text, from 1; null if none does. small is text in small letters: a
+    pattern is tried only where its two longest words are, as most texts have the words of few rules."""
+    there = [reduce(and_, (F.contains(small, F.lit(w)) for w in needed_words(p)[:2])) for p, _ in RULES]
+    return F.coalesce(*(F.when(here & text.rlike(f"(?is){p}"), k) for k, (here, (p, _)) in enumerate(zip(there, RULES), 1)))
 
 
-def first_rule(text: Column) -> Column:
-    """doc_type and met, the part of text, of the first rule that occurs in text; null if none does."""
-    met = F.split(F.regexp_replace(F.translate(text, MARK, " "), ANY_RULE, EVERY_GROUP), MARK, -1)
-    at = F.array_position(F.transform(met, lambda x: x != ""), True)
-    found = F.struct(F.element_at(F.array(*(F.lit(k) for _, k in RULES)), at.cast("int")).alias("doc_type"), F.regexp_replace(F.element_at(met, at.cast("int")), r"^\s+|\s+$", "").alias("met"))
-    return F.when(F.size(met) == len(RULES), found)
+def met_by(text: Column, rule: Column) -> Column:
+    """The part of text that a rule meets."""
+    pattern = F.element_at(F.array(*(F.lit(f"(?is){p}") for p, _ in RULES)), rule)
+    return F.regexp_replace(F.regexp_substr(text, pattern), r"^\s+|\s+$", "")
 
 
 def with_doc_type(df: DataFrame, text: str, doc_type: str = "doc_type", raw: str = "doc_type_raw") -> DataFrame:
     """df with the type of the document and what it was taken from. A null text is UNKNOWN, from an empty one."""
-    rows = df.withColumn("_lines", head_lines(F.coalesce(F.col(text), F.lit("")))).withColumn("_between", before_body(F.col("_lines"))).drop("_lines")
-    whole = F.regexp_replace(F.regexp_replace(F.substring(F.coalesce(F.col(text), F.lit("")), 1, WHOLE), OTHER_SPACE, " "), r"\s+", " ")
-    found = rows.withColumn("_near", first_rule(F.col("_between")))
-    found = found.withColumn("_type", F.coalesce("_near", F.when(F.col("_near").isNull(), first_rule(whole))))
-    kind, met = F.coalesce("_type.doc_type", F.lit(UNKNOWN)), F.when(F.col("_near").isNull() & F.col("_type").isNotNull(), F.col("_type.met")).otherwise(F.col("_between"))
-    return found.withColumns({doc_type: kind, raw: met}).drop("_between", "_near", "_type")
+    given = F.coalesce(F.col(text), F.lit(""))
+    rows = with_before_body(df.withColumn("_lines", head_lines(given))).drop("_lines")
+    near = rows.withColumn("_small", F.lower("_between")).withColumn("_near", first_rule(F.col("_between"), F.col("_small")))
+    whole = F.regexp_replace(plain_space(F.substring(given, 1, WHOLE)), r"\s+", " ")
+    found = near.withColumn("_whole", F.when(F.col("_near").isNull(), whole)).withColumn("_small", F.lower("_whole")).withColumn("_far", first_rule(F.col("_whole"), F.col("_small")))
+    rows = found.withColumn("_rule", F.coalesce("_near", "_far", F.lit(0)))
+    kind = F.element_at(F.array(F.lit(UNKNOWN), *(F.lit(k) for _, k in RULES)), F.col("_rule") + 1)
+    met = F.when(F.col("_far").isNotNull(), met_by(F.col("_whole"), F.col("_rule"))).otherwise(F.col("_between"))
+    return rows.withColumns({doc_type: kind, raw: met}).drop("_between", "_near", "_small", "_whole", "_far", "_rule")

@@ -135,3 +135,17 @@ def test_index_of_odd_rows(spark, tmp_path):
         found = held.postings.select("group", "key", "length", "term", "tf").collect()
         assert set(map(tuple, found)) == postings and len(found) == len(postings)
         assert {(r["group"], r.n_docs) for r in held.groups.collect()} == {("g", n), (None, 1), ("h", 1)}
+
+
+def test_first_rule_of_any_text(spark):
+    import random
+
+    words = sorted({w for p, _ in doctypes.RULES for w in re.findall("[a-z]+", p.replace("\\s", " "))} | {"replies", "21.5", "21.3", "22.6", "\x01", "an", "utopia"})
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice((str.upper, str.title, str))(w) for w in rng.choices(words, k=rng.randint(2, 60))) for _ in range(300)] + ["panel\x01report", "panel report", "Key status report"]
+    table = spark.createDataFrame([(k, f"{t}\n") for k, t in enumerate(texts)], "k int, text string")
+    typed = doctypes.with_doc_type(table, "text")
+    found = {r.k: r.doc_type for r in typed.collect()}
+    first = lambda t: next((name for p, name in doctypes.RULES if re.search(p, t.replace(" ", " "), re.I | re.S | re.A)), "UNKNOWN")
+    assert [found[k] for k in range(len(texts))] == [first(t) for t in texts]
+    assert "(?=" not in typed._jdf.queryExecution().optimizedPlan().toString()
